@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "curation", "splits")
 
 
 def _load():

@@ -1,6 +1,7 @@
 """Session defaults for local runs and tests; on a cluster the submitted configuration wins."""
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -25,13 +27,22 @@ def local_session(app="tallymark", cpus=None, shuffle_partitions=8, memory="8g")
     return spark
 
 
-def work_dir(spark, name):
-    """A new folder for written intermediates, below the shared checkpoint folder the session names. Only when the
-    session names none (tests, local mode) is a machine-local folder made."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def checkpoint_dir(spark):
+    """The shared checkpoint folder the session names. Only where it names none (tests, local mode) is a folder made."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="tallymark-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base.rstrip('/')}/{name}-{token}"
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df):
+    """Reliable checkpoint: cuts the lineage and survives lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def work_dir(spark, name):
+    """A new folder for written intermediates below the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
