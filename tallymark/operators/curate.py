@@ -87,9 +87,15 @@ def overlap(a, b, key="skey"):
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
 
 
-def unique_pairs_by_family(pairs, n):
+def _first_users(pairs):
+    """Pairs that come first for at least one of their hashes; only these can ever be kept when there is no quota."""
+    first = pairs.select("ord", F.explode(F.array("h1", "h2")).alias("h")).groupBy("h").agg(F.min("ord").alias("ord")).select("ord").distinct()
+    return pairs.join(first, "ord", "left_semi")
+
+
+def unique_pairs_by_family(pairs, n=None):
     """Pairs (family, ord, h1, h2) in order of the unique `ord`: a pair is skipped when either hash belongs to an
-    earlier kept pair, and a family stops at n. Only kept pairs block, so the state is the kept set (families x n rows):
+    earlier kept pair, and a family stops at n (no limit when None). Only kept pairs block, so the state is the kept set (families x n rows):
     each round recomputes it from the previous one, and every round settles at least the next pair in order, usually all."""
     kept = None
     while True:
@@ -99,8 +105,11 @@ def unique_pairs_by_family(pairs, n):
             for side in ("h1", "h2"):
                 free = free.join(first.select(F.col("h").alias(side), F.col("m").alias(f"_m_{side}")), side, "left")
             free = free.filter(~F.coalesce(F.least("_m_h1", "_m_h2") < F.col("ord"), F.lit(False))).drop("_m_h1", "_m_h2")
-        w = Window.partitionBy("family").orderBy("ord")
-        new = settle(free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r"))
+        if n is None:
+            new = settle(_first_users(free))
+        else:
+            w = Window.partitionBy("family").orderBy("ord")
+            new = settle(free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r"))
         if kept is not None and new.select("ord").exceptAll(kept.select("ord")).isEmpty() and kept.count() == new.count():
             return new
         kept = new

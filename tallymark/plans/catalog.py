@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("scoring", "curation", "splits")
+MODULES = ("scoring", "curation", "splits", "perturb")
 
 
 def _load():

@@ -82,7 +82,7 @@ def _(t):
 
 
 @query("P8_first_groups_per_source", sql(f"""select id, split from u where split<>'test' and (split,source,gid) in (select (split,source,gid) from (select split,source,gid,row_number() over (partition by split,source order by min(id), gid) as rn
- from u group by all) where rn<=2)""", "states", u=f"select *, id//2 as gid, {SPLIT_SQL.format(x='(' + h(repr('fz'), 'skey') + ')')} as split from states"))
+ from u group by split, source, gid) where rn<=2)""", "states", u=f"select *, id//2 as gid, {SPLIT_SQL.format(x='(' + h(repr('fz'), 'skey') + ')')} as split from states"))
 def _(t):
     d = t.states().withColumn("group_id", F.floor(F.col("id") / 2)).withColumn("position", F.col("id")).withColumn("split", split_of("fz", F.col("skey")))
     return P.first_groups_per_source(d, 2).select("id", "split")

@@ -17,7 +17,7 @@ def connect(sf_dir):
 
 
 def _text(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "~"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
