@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("scoring", "curation", "splits", "perturb")
+MODULES = ("scoring", "curation", "splits", "perturb", "calibrate")
 
 
 def _load():

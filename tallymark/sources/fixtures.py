@@ -164,6 +164,21 @@ class Tables:
                              .when(bad, F.array(F.substring(sha("ghost", F.col("event_id")), 1, 24))).otherwise(F.array("prev_request_id")))
                 .withColumn("dep_version", F.when(h32("ver", F.col("event_id")) % 25 == 0, F.col("prev_version") + 1).otherwise(F.col("prev_version"))))
 
+    # ---- window predictions ----------------------------------------------------------------------------------------
+    def window_rows(self, model="A"):
+        """Origin predictions for windows of four transactions of each observed view of an episode."""
+        from ..operators.events import apply_masks
+        v = apply_masks(self.tx_ordered())
+        w = v.groupBy("episode_id", "group_id", "split", "regime", "family", "origin", "profile", F.floor(F.col("ordinal") / 4).alias("w")).agg(F.count(F.lit(1)).alias("n_requests"))
+        keys = lit_array(("human", "script", "agent"))
+        w = w.select(F.substring(sha(F.col("episode_id"), F.col("profile"), F.col("w")), 1, 24).alias("id"), "group_id", F.col("episode_id").alias("parent"),
+                     F.concat(F.lit("sev_"), "family").alias("source"), "split", "regime", F.col("profile").alias("view"),
+                     F.when(F.col("profile") == "full", "clean").otherwise(F.col("profile")).alias("variant"), keys.alias("keys"),
+                     (F.array_position(keys, F.col("origin")) - 1).cast("int").alias("label"), "n_requests", F.lit("choice").alias("type"),
+                     F.lit("operator_origin").alias("question"), F.lit("operator_origin").alias("task"))
+        z = F.transform("keys", lambda k, i: (h32(F.lit("w" + model), F.col("id"), k) % 6000) / F.lit(1000.0) + F.when(i == F.col("label"), F.lit(BONUS[model])).otherwise(0.0))
+        return w.withColumn("logits", z).withColumn("p", V.softmax("logits")).withColumn("inference_temperature", F.lit(1.0))
+
     # ---- experiment ledger -----------------------------------------------------------------------------------------
     def trials(self):
         """Eight trials (four recipes, two seeds each) re-scoring the clean questions; one row per prediction."""
