@@ -96,3 +96,17 @@ def spread_quantiles(df, by, value, qs, bucket=None):
     out = hist.groupBy(*by).agg(F.sum("_n").alias("n"), *aggs)
     return out.select(*by, "n", *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_f_{k}")).alias(k)
                                   for k in qs])
+
+
+def carry_last(df, by, order, value, chunk, name, inclusive=True):
+    """Last non-null `value` (a column) at or before each row inside `by` along `order`: an as-of lookup without sorting a
+    whole key in one task. Inside a chunk a window finds it; otherwise the nearest earlier chunk that had one supplies it."""
+    c = df.withColumn("_c", chunk).withColumn("_v", value)
+    upto = Window.partitionBy(*by, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = c.withColumn("_in", F.last("_v", ignorenulls=True).over(upto))
+    tails = c.filter(F.col("_v").isNotNull()).groupBy(*by, "_c").agg(F.max_by("_v", F.struct(*[_c(o) for o in order])).alias("_tail"))
+    every = c.select(*by, "_c").distinct().join(tails, [*by, "_c"], "left")
+    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.select(*by, "_c", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    out = join_keys(inner, carry, [*by, "_c"])
+    return out.withColumn(name, F.coalesce("_in", "_carry")).drop("_c", "_v", "_in", "_carry")

@@ -173,27 +173,39 @@ def _delta(stat, by, aggregation, arms=("candidate", "reference")):
     return p.groupBy(*by).agg(F.avg(F.col(arms[0]) - F.col(arms[1])).alias("delta"))
 
 
-def paired_bootstrap(a, b, metric="nll", aggregation="macro", samples=1000, seed="boot"):
-    """Candidate minus reference with a percentile interval. Groups are resampled inside each source, so sibling
-    questions move together; additive metrics average, the others are recomputed per draw from (confidence, error)
-    histograms; macro is the mean of per-task deltas. Check pairing_violations first."""
-    keep = ["source", "group_id", "task", "ok", "conf", "nll", "brier", "confident_error", "confidence_bias"]
-    both = M.row_scores(M.scored_rows(a)).select(*keep, F.lit("candidate").alias("arm")).unionByName(
-        M.row_scores(M.scored_rows(b)).select(*keep, F.lit("reference").alias("arm")))
-    both = both.withColumn("part", F.col("task") if aggregation == "macro" else F.lit("all"))
-    sums = _sums(both, ["source", "group_id", "arm", "part"], metric)
-    point = _delta(_statistic(sums, ["arm", "part"], metric), [], aggregation).withColumnRenamed("delta", "point")
-    units = resampling_units(M.scored_rows(a), seed)
+KEEP = ["source", "group_id", "task", "ok", "conf", "nll", "brier", "confident_error", "confidence_bias"]
+
+
+def bootstrap_arms(both, metric, samples, seed, by=(), aggregation="macro"):
+    """Point delta and percentile interval per `by` for scored rows with `arm` (candidate/reference) and `part` columns. All
+    pairs share the draws; the resampled units are those of the reference rows."""
+    by = list(by)
+    sums = _sums(both, [*by, "source", "group_id", "arm", "part"], metric)
+    point = _delta(_statistic(sums, [*by, "arm", "part"], metric), by, aggregation).withColumnRenamed("delta", "point")
+    units = resampling_units(both.filter(F.col("arm") == "reference"), seed)
     draws = draw_units(units, samples, seed)
     tagged = sums.join(units.drop("units"), ["source", "group_id"]).drop("group_id")
     drawn = tagged.join(draws, ["source", "unit"])
     drawn = drawn.withColumn("x", F.col("x") * F.col("m")).withColumn("n", F.col("n") * F.col("m"))
-    d = _delta(_statistic(drawn, ["s", "arm", "part"], metric), ["s"], aggregation)
-    ci = d.agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("samples"))   # one value per sample
+    d = _delta(_statistic(drawn, [*by, "s", "arm", "part"], metric), [*by, "s"], aggregation)
+    ci = d.groupBy(*by).agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("samples"))   # one value per sample
+    out = point.join(ci, by) if by else point.crossJoin(F.broadcast(ci))                     # one-row side
     n = units.agg(F.count(F.lit(1)).alias("groups"))
-    one = lambda x: F.broadcast(x)   # one-row sides
-    return point.crossJoin(one(ci)).crossJoin(one(n)).withColumn("metric", F.lit(metric)).withColumn("aggregation", F.lit(aggregation)) \
-        .select("metric", "aggregation", F.col("point").alias("delta"), "lo", "hi", "samples", "groups")
+    return out.crossJoin(F.broadcast(n)).withColumnRenamed("point", "delta")                 # one-row side
+
+
+def arm_rows(a, b, aggregation, *extra):
+    both = M.row_scores(M.scored_rows(a)).select(*KEEP, *extra, F.lit("candidate").alias("arm")).unionByName(
+        M.row_scores(M.scored_rows(b)).select(*KEEP, *extra, F.lit("reference").alias("arm")))
+    return both.withColumn("part", F.col("task") if aggregation == "macro" else F.lit("all"))
+
+
+def paired_bootstrap(a, b, metric="nll", aggregation="macro", samples=1000, seed="boot"):
+    """Candidate minus reference with a percentile interval. Groups are resampled inside each source, so sibling
+    questions move together; additive metrics average, the others are recomputed per draw from (confidence, error)
+    histograms; macro is the mean of per-task deltas. Check pairing_violations first."""
+    out = bootstrap_arms(arm_rows(a, b, aggregation), metric, samples, seed, aggregation=aggregation)
+    return out.withColumn("metric", F.lit(metric)).withColumn("aggregation", F.lit(aggregation)).select("metric", "aggregation", "delta", "lo", "hi", "samples", "groups")
 
 
 def cross_validated_temperature(df, folds=5, seed="cv", samples=1000, aggregation="micro", points=81):
