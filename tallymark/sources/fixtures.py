@@ -186,7 +186,7 @@ class Tables:
         q = self.questions().select("*", F.inline(spec))
         z = F.transform("keys", lambda k, i: (h32(F.col("trial"), F.col("id"), F.col("task"), k) % 6000) / F.lit(1000.0)
                         + F.when(i == F.col("label"), F.col("bonus")).otherwise(0.0))
-        return q.drop("bonus").withColumn("logits", z).withColumn("p", V.softmax("logits"))
+        return q.withColumn("logits", z).withColumn("p", V.softmax("logits")).drop("bonus")
 
 
 # option bonus per trial: trials 2r and 2r+1 are the two seeds of recipe r (fixed values)
