@@ -4,6 +4,8 @@ Scale notes. A grid fit never keeps row x temperature pairs: they are summed map
 The bootstrap works on per-unit sums; a draw is a (sample, source, picked unit) multiplicity, so rows are never resampled.
 """
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 
@@ -121,54 +123,96 @@ def pairing_violations(a, b):
 def resampling_units(df, seed, strata="source", group="group_id"):
     """Distinct (stratum, group) with a rank inside its stratum and the stratum size."""
     u = df.select(strata, group).distinct().withColumn("_o", sha(F.lit(seed), F.col(strata), F.col(group)))
-    u = spread.spread_rank(u, [strata], ["_o"], spread.hash_bucket("_o"), "unit").drop("_o")
-    sizes = u.groupBy(strata).agg(F.max("unit").alias("units"))
-    return u.join(sizes, strata)
+    return spread.spread_rank(u, [strata], ["_o"], spread.hash_bucket("_o"), "unit", total="units").drop("_o")
 
 
 def draw_units(units, samples, seed, strata="source"):
-    """Multiplicity of every unit in every sample: each unit row stands for one slot of its stratum and picks a unit of the
-    same stratum by digest."""
-    d = units.select(strata, "unit", "units", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
+    """(s, stratum, unit) picks: each unit row stands for one slot of its stratum and picks a unit of the same stratum by digest,
+    once per sample. Sample -1 holds every unit once, so that the point estimate comes out of the same pass."""
+    # a fixed number of partitions: the rows are about to be multiplied, so they must not be coalesced by their present size
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = units.repartition(n, strata, "unit").select(strata, "unit", "units", F.explode(F.sequence(F.lit(-1), F.lit(samples - 1))).alias("s"))
     pick = h32(F.lit(seed), F.col("s"), F.col(strata), F.col("unit")) % F.col("units") + 1
-    return d.groupBy("s", strata, pick.alias("unit")).agg(F.count(F.lit(1)).alias("m"))
+    return d.select("s", strata, F.when(F.col("s") < 0, F.col("unit")).otherwise(pick).alias("unit"))
 
 
-ADDITIVE = ("acc", "nll", "brier", "mean_conf", "confident_error_rate", "coverage_at_0_9", "confidence_bias")
-CURVE = ("aurc", "coverage_at_5pct_error", "coverage_at_1pct_error")
+def with_draws(sums, units, draws, strata="source", group="group_id"):
+    """Sums of the picked units, one copy per pick. Picks are spread evenly over (stratum, unit), so hashing the smaller side
+    per partition is safe."""
+    n = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = sums.join(units.drop("units"), [strata, group]).drop(group).repartition(n, strata, "unit")
+    return draws.repartition(n, strata, "unit").join(tagged.hint("shuffle_hash"), [strata, "unit"])
 
 
-def _value(metric):
-    d = lambda c: c.cast("double")
-    return {"acc": d(F.col("ok")), "nll": F.col("nll"), "brier": F.col("brier"), "mean_conf": F.col("conf"), "confident_error_rate": d(F.col("confident_error")),
-            "coverage_at_0_9": d(F.col("conf") >= 0.9), "confidence_bias": F.col("confidence_bias")}[metric]
+ARMS = ("candidate", "reference")
+
+
+class Metric(NamedTuple):
+    """What the bootstrap needs to know about a metric. kind `additive`: `expr` gives a row's value, the metric is its mean.
+    kind `bins`: the calibration error. kind `curve`: `expr` is an aggregate over the risk-coverage curve columns (conf, n,
+    errors, cum_n, cum_errors, tot_n), recomputed in every draw."""
+    name: str
+    kind: str
+    expr: Callable = None
+
+
+METRICS = {}
+
+
+def register_metric(name, kind, expr=None):
+    if kind not in ("additive", "bins", "curve"):
+        raise ValueError(f"unsupported metric kind: {kind}")
+    METRICS[name] = Metric(name, kind, expr)
+    return METRICS[name]
+
+
+def _flag(c):
+    return c.cast("double")
+
+
+register_metric("acc", "additive", lambda: _flag(F.col("ok")))
+register_metric("nll", "additive", lambda: F.col("nll"))
+register_metric("brier", "additive", lambda: F.col("brier"))
+register_metric("mean_conf", "additive", lambda: F.col("conf"))
+register_metric("confident_error_rate", "additive", lambda: _flag(F.col("confident_error")))
+register_metric("coverage_at_0_9", "additive", lambda: _flag(F.col("conf") >= 0.9))
+register_metric("confidence_bias", "additive", lambda: F.col("confidence_bias"))
+register_metric("ece", "bins")
+register_metric("aurc", "curve", M.aurc_expr)
+register_metric("coverage_at_5pct_error", "curve", lambda: M.coverage_expr(0.05))
+register_metric("coverage_at_1pct_error", "curve", lambda: M.coverage_expr(0.01))
+
+
+def _metric(name):
+    if name not in METRICS:
+        raise ValueError(f"unsupported bootstrap metric: {name}")
+    return METRICS[name]
 
 
 def _statistic(df, by, metric):
-    """Value of one metric per group from rows (by..., n, and what the metric needs), see _sums."""
-    if metric in ADDITIVE:
+    """Value of one metric per group from the sums of _sums."""
+    m = _metric(metric)
+    if m.kind == "additive":
         return df.groupBy(*by).agg((F.sum("x") / F.sum("n")).alias("v"))
-    if metric == "ece":
+    if m.kind == "bins":
         b = df.groupBy(*by, "bin").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         return b.groupBy(*by).agg((F.sum(F.abs("x")) / F.sum("n")).alias("v"))
     h = df.groupBy(*by, "conf").agg(F.sum("n").alias("n"), F.sum("x").alias("errors"))
     curve = spread.running_totals(h, by, "conf", F.floor(F.col("conf") * 100), ["n", "errors"], descending=True)
-    e = M.aurc_expr() if metric == "aurc" else M.coverage_expr(0.05 if metric == "coverage_at_5pct_error" else 0.01)
-    return curve.groupBy(*by).agg(e.alias("v"))
+    return curve.groupBy(*by).agg(m.expr().alias("v"))
 
 
 def _sums(scored, keys, metric):
     """Per unit and task: the sufficient sums of a metric (arm kept as a column)."""
-    if metric in ADDITIVE:
-        return scored.groupBy(*keys).agg(F.sum(_value(metric)).alias("x"), F.count(F.lit(1)).alias("n"))
-    if metric == "ece":
+    m = _metric(metric)
+    if m.kind == "additive":
+        return scored.groupBy(*keys).agg(F.sum(m.expr()).alias("x"), F.count(F.lit(1)).alias("n"))
+    if m.kind == "bins":
         return scored.groupBy(*keys, M.ece_bin("conf").alias("bin")).agg(F.sum(F.col("ok").cast("double") - F.col("conf")).alias("x"), F.count(F.lit(1)).alias("n"))
-    if metric in CURVE:
-        return scored.groupBy(*keys, "conf").agg(F.sum((~F.col("ok")).cast("bigint")).alias("x"), F.count(F.lit(1)).alias("n"))
-    raise ValueError(f"unsupported bootstrap metric: {metric}")
+    return scored.groupBy(*keys, "conf").agg(F.sum((~F.col("ok")).cast("bigint")).alias("x"), F.count(F.lit(1)).alias("n"))
 
 
-def _delta(stat, by, aggregation, arms=("candidate", "reference")):
+def _delta(stat, by, aggregation, arms=ARMS):
     p = stat.groupBy(*by, "part").agg(*[F.max(F.when(F.col("arm") == a, F.col("v"))).alias(a) for a in arms])
     return p.groupBy(*by).agg(F.avg(F.col(arms[0]) - F.col(arms[1])).alias("delta"))
 
@@ -176,22 +220,30 @@ def _delta(stat, by, aggregation, arms=("candidate", "reference")):
 KEEP = ["source", "group_id", "task", "ok", "conf", "nll", "brier", "confident_error", "confidence_bias"]
 
 
+def interval(c):
+    """Percentile interval over the drawn samples (one value per sample; sample -1 is the point estimate)."""
+    v = F.when(F.col("s") >= 0, F.col(c))
+    return [F.percentile(v, F.lit(0.025)).alias(f"{c}_lo"), F.percentile(v, F.lit(0.975)).alias(f"{c}_hi")]
+
+
 def bootstrap_arms(both, metric, samples, seed, by=(), aggregation="macro"):
     """Point delta and percentile interval per `by` for scored rows with `arm` (candidate/reference) and `part` columns. All
     pairs share the draws; the resampled units are those of the reference rows."""
     by = list(by)
     sums = _sums(both, [*by, "source", "group_id", "arm", "part"], metric)
-    point = _delta(_statistic(sums, [*by, "arm", "part"], metric), by, aggregation).withColumnRenamed("delta", "point")
+    if _metric(metric).kind == "additive":      # both arms side by side: half the rows to draw
+        sums = sums.groupBy(*by, "source", "group_id", "part").agg(*[F.sum(F.when(F.col("arm") == a, F.col(c))).alias(f"{c}_{a}") for a in ARMS for c in ("x", "n")])
     units = resampling_units(both.filter(F.col("arm") == "reference"), seed)
-    draws = draw_units(units, samples, seed)
-    tagged = sums.join(units.drop("units"), ["source", "group_id"]).drop("group_id")
-    drawn = tagged.join(draws, ["source", "unit"])
-    drawn = drawn.withColumn("x", F.col("x") * F.col("m")).withColumn("n", F.col("n") * F.col("m"))
-    d = _delta(_statistic(drawn, [*by, "s", "arm", "part"], metric), [*by, "s"], aggregation)
-    ci = d.groupBy(*by).agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("samples"))   # one value per sample
-    out = point.join(ci, by) if by else point.crossJoin(F.broadcast(ci))                     # one-row side
+    drawn = with_draws(sums, units, draw_units(units, samples, seed))
+    if _metric(metric).kind == "additive":
+        st = drawn.groupBy(*by, "s", "part").agg(*[(F.sum(f"x_{a}") / F.sum(f"n_{a}")).alias(a) for a in ARMS])
+        d = st.groupBy(*by, "s").agg(F.avg(F.col(ARMS[0]) - F.col(ARMS[1])).alias("delta"))
+    else:
+        d = _delta(_statistic(drawn, [*by, "s", "arm", "part"], metric), [*by, "s"], aggregation)
+    out = d.groupBy(*by).agg(F.max(F.when(F.col("s") < 0, F.col("delta"))).alias("delta"), *interval("delta"))
     n = units.agg(F.count(F.lit(1)).alias("groups"))
-    return out.crossJoin(F.broadcast(n)).withColumnRenamed("point", "delta")                 # one-row side
+    return out.crossJoin(F.broadcast(n)).withColumnRenamed("delta_lo", "lo").withColumnRenamed("delta_hi", "hi") \
+        .withColumn("samples", F.lit(samples).cast("bigint"))                                # one-row side
 
 
 def arm_rows(a, b, aggregation, *extra):
@@ -222,13 +274,11 @@ def cross_validated_temperature(df, folds=5, seed="cv", samples=1000, aggregatio
 
 def ece_interval(scored, samples, seed, arms=("raw", "out_of_fold")):
     sums = _sums(scored, ["source", "group_id", "arm"], "ece")
-    units = resampling_units(scored, seed)
-    drawn = sums.join(units.drop("units"), ["source", "group_id"]).drop("group_id").join(draw_units(units, samples, seed), ["source", "unit"])
-    drawn = drawn.withColumn("x", F.col("x") * F.col("m")).withColumn("n", F.col("n") * F.col("m"))
+    units = resampling_units(scored.filter(F.col("arm") == arms[0]), seed)
+    drawn = with_draws(sums, units, draw_units(units, samples, seed))
     v = _statistic(drawn, ["s", "arm"], "ece").groupBy("s").agg(*[F.max(F.when(F.col("arm") == x, F.col("v"))).alias(x) for x in arms])
     v = v.withColumn("delta", F.col(arms[1]) - F.col(arms[0]))
-    q = lambda c, f: F.percentile(c, F.lit(f))
-    out = v.agg(*[q(c, f).alias(f"{c}_{tag}") for c in (*arms, "delta") for tag, f in (("lo", 0.025), ("hi", 0.975))])
+    out = v.agg(*[e for c in (*arms, "delta") for e in interval(c)])
     return out.withColumn("separated", (F.col("delta_hi") < 0) | (F.col("delta_lo") > 0))
 
 
@@ -270,10 +320,9 @@ def group_sufficient_stats(scored, keys, weight="weight"):
 BINS = [f"b{i}" for i in range(10)]
 
 
-def summarize_stats(stats, by, mult=None):
-    """Weighted accuracy, nll, brier and ECE per `by` from group sums (optionally times a draw multiplicity)."""
-    m = F.lit(1.0) if mult is None else F.col(mult)
-    tot = stats.groupBy(*by).agg(*[F.sum(F.col(c) * m).alias(c) for c in ("w", "acc", "nll", "brier", *BINS)])
+def summarize_stats(stats, by):
+    """Weighted accuracy, nll, brier and ECE per `by` from group sums."""
+    tot = stats.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("w", "acc", "nll", "brier", *BINS)])
     e = sum((F.abs(F.col(c)) for c in BINS[1:]), F.abs(F.col("b0")))
     return tot.select(*by, *[(F.col(c) / F.col("w")).alias(c) for c in ("acc", "nll", "brier")], (e / F.col("w")).alias("ece"))
 
@@ -301,19 +350,11 @@ def paired_panels(parent, candidate, samples, seed="panel", metrics=("acc", "nll
         return group_sufficient_stats(p, ["panel", "group_id"]).withColumn("arm", F.lit(arm))
     both = stats(parent, "parent").unionByName(stats(candidate, "candidate"))
     units = resampling_units(both.filter(F.col("arm") == "parent"), seed, strata="panel")
-    draws = draw_units(units, samples, seed, strata="panel")
-    drawn = both.join(units.drop("units"), ["panel", "group_id"]).drop("group_id").join(draws, ["panel", "unit"])
-
-    def long(df, by):
-        arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
-        flat = df.select(*by, "arm", F.inline(arr))
-        return flat.groupBy(*by, "metric").agg(*[F.max(F.when(F.col("arm") == a, F.col("v"))).alias(a) for a in ("parent", "candidate")]) \
-            .withColumn("delta", F.col("candidate") - F.col("parent"))
-    point = long(summarize_stats(both, ["panel", "arm"]), ["panel"])
-    boot = long(summarize_stats(drawn, ["s", "panel", "arm"], "m"), ["s", "panel"])
-    q = lambda c, f: F.percentile(c, F.lit(f))   # one value per sample
-    ci = boot.groupBy("panel", "metric").agg(*[q(c, f).alias(f"{c}_{tag}") for c in ("parent", "candidate", "delta") for tag, f in (("lo", 0.025), ("hi", 0.975))])
-    return point.join(ci, ["panel", "metric"])
+    drawn = with_draws(both, units, draw_units(units, samples, seed, strata="panel"), strata="panel")
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
+    flat = summarize_stats(drawn, ["s", "panel", "arm"]).select("s", "panel", "arm", F.inline(arr))
+    wide = flat.groupBy("s", "panel", "metric").agg(*[F.max(F.when(F.col("arm") == a, F.col("v"))).alias(a) for a in ("parent", "candidate")]).withColumn("delta", F.col("candidate") - F.col("parent"))
+    return wide.groupBy("panel", "metric").agg(*[F.max(F.when(F.col("s") < 0, F.col(c))).alias(c) for c in ("parent", "candidate", "delta")], *[e for c in ("parent", "candidate", "delta") for e in interval(c)])
 
 
 def episode_temperature(df, points=121):

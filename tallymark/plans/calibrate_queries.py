@@ -5,6 +5,7 @@ from ..functions.text import h32
 from ..functions.vectors import r6
 from ..operators import calibrate as C
 from ..operators import scoring as M
+from ..session import settle
 from .oracle import SCORES, h, r6 as R, softmax, sql
 from .registry import query
 from .scoring_queries import EDGE, rounded
@@ -50,7 +51,7 @@ CV = {"f": FOLDS, "g": grid_sql(81), "per": f"select fold, ti, t, sum({NLL_T}) a
 
 @query("C3_out_of_fold", sql(f"select id, task, {R('q[label+1]')} as p_label from oof", "decA", **CV))
 def _(t):
-    oof, _temps = C.out_of_fold(t.decisions("A"), 5, "cv", "micro", 81)
+    oof, _temps = C.out_of_fold(settle(t.decisions("A")), 5, "cv", "micro", 81)
     from ..functions import vectors as V
     return oof.select("id", "task", r6(V.at("p", "label"), "p_label"))
 
@@ -104,7 +105,7 @@ def _(t):
 @query("C4_cross_validated_blocks", sql(f"""select arm, {R('avg(nll)')} as nll, {R('avg(brier)')} as brier, {R('avg(conf)')} as mean_conf, {R('avg((conf>=0.9e0 and not ok)::int::double)')} as confident_error_rate from (
  select 'raw' as arm, nll, brier, conf, ok from scA union all select 'out_of_fold', nll, brier, conf, ok from sco) group by arm""", "scA", **CV, oof2="select * replace(q as p, z as logits) from oof", sco=SCORES.format(src="oof2")))
 def _(t):
-    block, _ci = C.cross_validated_temperature(t.decisions("A"), 5, "cv", SAMPLES, "micro", 81)
+    block, _ci = C.cross_validated_temperature(settle(t.decisions("A")), 5, "cv", SAMPLES, "micro", 81)
     return rounded(block.select("arm", "nll", "brier", "mean_conf", "confident_error_rate"))
 
 
@@ -114,7 +115,7 @@ def _(t):
                               sums=f"select source, group_id, arm, {EDGE} as bin, sum(ok::int-conf) as x, count(*) as n from (select source, group_id, 'raw' as arm, ok, conf from scA union all select source, group_id, 'oof', ok, conf from sco) group by all",
                               bn="select s, arm, bin, sum(x*m) as x, sum(n*m) as n from sums join units using(source, group_id) join draws using(source, unit) group by s, arm, bin", st="select s, arm, sum(abs(x))/sum(n) as v from bn group by s, arm"))
 def _(t):
-    _block, ci = C.cross_validated_temperature(t.decisions("A"), 5, "cv", SAMPLES, "micro", 81)
+    _block, ci = C.cross_validated_temperature(settle(t.decisions("A")), 5, "cv", SAMPLES, "micro", 81)
     return rounded(ci)
 
 
@@ -126,7 +127,7 @@ WORK = {"fit": f"select arg_min(t,loss) as t from (select t, avg({NLL_T}) as los
 @query("C5_workload_report", sql(f"""select arm, count(*) as n, {R('avg(ok::int::double)')} as acc, {R('avg(nll)')} as nll, {R('avg(brier)')} as brier, {R('avg(conf)')} as mean_conf, {R('avg((conf>=0.9e0 and not ok)::int::double)')} as confident_error_rate, false as accuracy_changed
  from sw group by arm""", "decA", **CV, **WORK, sw=SCORES.format(src="arms")))
 def _(t):
-    shipped = M.temper(t.decisions("A"), 0.8)
+    shipped = settle(M.temper(t.decisions("A"), 0.8))
     r = C.workload_report(C.workload_arms(shipped, 5, "cv", 81))
     return rounded(r.select("arm", "n", "acc", "nll", "brier", "mean_conf", "confident_error_rate", "accuracy_changed"))
 

@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("scoring", "curation", "splits", "perturb", "calibrate", "events", "ledger", "streaming")
+MODULES = ("scoring", "curation", "splits", "perturb", "calibrate", "events", "ledger", "streaming", "surface")
 
 
 def _load():

@@ -125,7 +125,7 @@ CTES["views"] = f"""select txo.*, v.profile from txo cross join (values ('full')
  or (v.profile='sampled_loss' and {h("'mask'", 'group_id', 'ordinal::varchar')}/4294967296e0<0.8e0)"""
 for _m, _b in (("A", "1.2"), ("B", "0.9")):
     CTES[f"win{_m}"] = f"""select *, {softmax('logits')} as p from (select *, list_transform(range(3), lambda i: ({h(repr('w' + _m), 'id', 'keys[i+1]')}%6000)/1000e0+case when i=label then {_b}e0 else 0e0 end) as logits from (
- select substr(sha256(episode_id||':'||profile||':'||w),1,24) as id, group_id, episode_id as parent, 'sev_'||family as source, split, regime, profile as view, case when profile='full' then 'clean' else profile end as variant,
+ select substr(sha256(episode_id||':'||profile||':'||w),1,24) as id, group_id, episode_id as parent, 'ops_'||family as source, split, regime, profile as view, case when profile='full' then 'clean' else profile end as variant,
  ['human','script','agent'] as keys, list_position(['human','script','agent'],origin)-1 as label, n_requests, 'choice' as type from (
  select episode_id, group_id, split, regime, family, origin, profile, ordinal//4 as w, count(*) as n_requests from views group by all)))"""
     CTES[f"scw{_m}"] = SCORES.format(src=f"win{_m}")

@@ -172,7 +172,7 @@ class Tables:
         w = v.groupBy("episode_id", "group_id", "split", "regime", "family", "origin", "profile", F.floor(F.col("ordinal") / 4).alias("w")).agg(F.count(F.lit(1)).alias("n_requests"))
         keys = lit_array(("human", "script", "agent"))
         w = w.select(F.substring(sha(F.col("episode_id"), F.col("profile"), F.col("w")), 1, 24).alias("id"), "group_id", F.col("episode_id").alias("parent"),
-                     F.concat(F.lit("sev_"), "family").alias("source"), "split", "regime", F.col("profile").alias("view"),
+                     F.concat(F.lit("ops_"), "family").alias("source"), "split", "regime", F.col("profile").alias("view"),
                      F.when(F.col("profile") == "full", "clean").otherwise(F.col("profile")).alias("variant"), keys.alias("keys"),
                      (F.array_position(keys, F.col("origin")) - 1).cast("int").alias("label"), "n_requests", F.lit("choice").alias("type"),
                      F.lit("operator_origin").alias("question"), F.lit("operator_origin").alias("task"))
