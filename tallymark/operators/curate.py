@@ -146,6 +146,7 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
             break
     acc = state.filter("acc").select("source", "rank", key, "o")
     ends = acc.groupBy("source").agg(F.max("o").alias("last"), F.count(F.lit(1)).alias("accepted"))
+    ends = sources.select("source").join(ends, "source", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
     considered = d.join(F.broadcast(ends), "source").filter((F.col("accepted") < n) | (F.col(order) <= F.col("last")))   # one row per source
     owner = acc.groupBy(key).agg(F.min(F.struct("rank", "o")).alias("first"), F.collect_list(F.struct("rank", "o")).alias("all"))   # at most one per source
     c = considered.join(owner, key, "left")
