@@ -7,6 +7,7 @@ from ..functions.text import h32, sha
 from ..functions.vectors import r6
 from ..operators import perturb as A
 from ..operators import rules as RU
+from ..session import settle
 from ..sources.fixtures import TIERS, lit_array
 from .oracle import cat, h, r6 as R, sql
 from .registry import query
@@ -317,7 +318,7 @@ def _(t):
 @query("R8_audit_rule_groups", sql(f"""select group_id, unnest(case x when 0 then ['answer'] when 1 then ['text'] when 2 then ['policy'] when 3 then ['size'] when 4 then ['label','answer','intervention'] end) as code from (
  select distinct case_id as group_id, {h(repr('rg'), 'case_id')}%10 as x from cand where got<>verdict and unk) where x<=4""", "cases", rc=RC, at_=AT, ev=EV, cand=CANDS))
 def _(t):
-    d = RU.decisive_edits(rule_cases(t), RULE, ATOMS, FACTS, EDIT_DOMAINS, ("route", (111, 222)))
+    d = settle(RU.decisive_edits(rule_cases(t), RULE, ATOMS, FACTS, EDIT_DOMAINS, ("route", (111, 222))))
     shown = {**{f: F.col(f) for f in FACTS}, "route": F.col("route")}
     x = h32("rg", F.col("group_id")) % 10
     last = (F.col("pair_kind") == "irrelevant") & (F.col("sibling") == "b")
