@@ -40,6 +40,20 @@ def spread_rank(df, by, order, bucket, name="rank", total=None):
     return out.withColumn(name, (F.col("_r") + F.col("_off")).cast("bigint")).drop("_r", "_off", "_b")
 
 
+PRUNED = 1000   # quotas up to spark.sql.optimizer.windowGroupLimitThreshold are cut inside each map task
+
+
+def first_n(df, by, order, n, bucket):
+    """The first n rows of every group along `order` (None = all). Small quotas use a plain rank, which Spark prunes before the
+    shuffle; larger ones use the bucketed rank, so that no group is sorted in one task."""
+    if n is None:
+        return df
+    if n <= PRUNED:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
+    return spread_rank(df, by, order, bucket, "_rk").filter(F.col("_rk") <= n).drop("_rk")
+
+
 def running_totals(df, by, order, bucket, sums, descending=False):
     """Adds `cum_<c>` (inclusive running sum along `order`) and `tot_<c>` (group total) for every column in `sums`.
     Rows of one group must differ in `order`."""

@@ -87,7 +87,7 @@ def fold_temperatures(df, folds, seed, aggregation="micro", points=81):
     rows = grouped_folds(M.scored_rows(df), folds, seed)
     per = grid_losses(rows, ["fold", "task"], points)
     total = per.groupBy("task", "ti", "t").agg(F.sum("loss").alias("tl"), F.sum("w").alias("tw"))
-    pairs = per.select("fold").distinct().join(total, how="cross")       # folds x tasks x grid: a few thousand rows
+    pairs = total.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(folds - 1).cast("bigint"))))
     own = per.select("fold", "task", "ti", "loss", "w")
     comp = pairs.join(own, ["fold", "task", "ti"], "left").select(
         "fold", "task", "ti", "t", (F.col("tl") - F.coalesce("loss", F.lit(0.0))).alias("loss"), (F.col("tw") - F.coalesce("w", F.lit(0.0))).alias("w")).filter(F.col("w") > 0)

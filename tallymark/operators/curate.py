@@ -78,7 +78,7 @@ def admit_groups(df, reserved, quota, group="group_id", family="family", key="sk
     bad = df.join(reserved.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
     over = (F.col(size) > max_size) if max_size is not None else F.lit(False)
     g = bad.groupBy(family, group).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False)) | over).alias("_bad")).withColumn("_o", F.sha2(F.col(group).cast("string"), 256))
-    ok = g.filter(~F.col("_bad")).withColumn("_r", F.row_number().over(Window.partitionBy(family).orderBy("_o"))).filter(F.col("_r") <= quota)
+    ok = spread.first_n(g.filter(~F.col("_bad")), [family], ["_o"], quota, spread.hash_bucket("_o"))
     return df.join(ok.select(family, group), [family, group], "left_semi")
 
 
@@ -108,8 +108,7 @@ def unique_pairs_by_family(pairs, n=None):
         if n is None:
             new = settle(_first_users(free))
         else:
-            w = Window.partitionBy("family").orderBy("ord")
-            new = settle(free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r"))
+            new = settle(spread.first_n(free, ["family"], ["ord"], n, spread.magnitude_bucket("ord", 256)))
         if kept is not None and new.select("ord").exceptAll(kept.select("ord")).isEmpty() and kept.count() == new.count():
             return new
         kept = new
@@ -130,9 +129,9 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
     if seen is not None:
         fit = fit.join(seen.select(key).distinct(), key, "left_anti")
     keys = fit.groupBy("source", "rank", key).agg(F.min(order).alias("o"))
-    top = keys.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("o")))
     count = sources.count()
-    cand = settle(top.filter((F.col("_r") <= n * count) & (F.col("_r") <= F.col("rank") * n)).drop("_r"))
+    top = spread.spread_rank(keys, ["source"], ["o"], spread.hash_bucket("o"), "_rk")      # `order` is a digest
+    cand = settle(top.filter(F.col("_rk") <= F.col("rank") * n).drop("_rk"))
     state = cand.withColumn("acc", F.lit(False))
     for _ in range(count + 1):
         earlier = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)

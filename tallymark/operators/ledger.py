@@ -143,7 +143,7 @@ def screen(arms, sources, controls, rule, tol=1e-12):
     s = sources.select(F.col("arm"), "source", F.col("acc").alias("s_acc"))
     sc = s.filter(~F.col("arm").isin(*controls)).join(s.filter(F.col("arm").isin(*controls)).select(F.col("arm").alias("control"), "source", F.col("s_acc").alias("b_acc")), "source") \
         .groupBy("arm", "control").agg(F.bool_and(F.col("s_acc") - F.col("b_acc") >= rule["source"] - tol).alias("sources_ok"))
-    j = cand.crossJoin(F.broadcast(ctl)).join(sc, ["arm", "control"])       # controls are one row each
+    j = cand.withColumn("control", F.explode(F.array(*[F.lit(c) for c in controls]))).join(ctl, "control").join(sc, ["arm", "control"])
     ok = ((F.col("coverage") - F.col("c_cov") >= rule["coverage"] - tol) & (F.col("acc") - F.col("c_acc") >= rule["acc"] - tol) & (F.col("aurc") - F.col("c_aurc") <= rule["aurc"] + tol) & F.col("sources_ok"))
     v = j.groupBy("arm").agg(F.bool_and(ok).alias("passes"))
     out = cand.join(v, "arm")

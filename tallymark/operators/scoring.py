@@ -7,12 +7,10 @@ logits[]. Confidence is rounded to six decimals before anything is ranked by it,
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spread
 from ..functions import vectors as V
-from ..functions.text import h32
 
 TOP_BINS = (0.9, 0.95, 0.99)
 EDGES = tuple(i * 0.1 for i in range(11))   # left-closed bins; the last one is closed on both sides

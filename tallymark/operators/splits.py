@@ -54,7 +54,7 @@ def carve_partitions(df, sizes, order="row_sha", holdout=()):
 def calibration_groups_per_family(df, k, group="group_id", family="family", position="position"):
     """The first k whole groups of each family (by first position) calibrate; a family with <= k groups is reported."""
     g = df.groupBy(family, group).agg(F.min(position).alias("_p"))
-    first = g.withColumn("_r", F.row_number().over(Window.partitionBy(family).orderBy("_p", group))).filter(F.col("_r") <= k).select(family, group)
+    first = spread.first_n(g, [family], ["_p", group], k, spread.magnitude_bucket("_p", 256)).select(family, group)
     out = df.join(first.withColumn("_c", F.lit(True)), [family, group], "left")
     short = _total(g, [family]).filter(F.col("_n") <= k)
     return out.withColumn("split", F.when(F.col("_c"), "calibration").otherwise("train")).drop("_c"), short
@@ -74,7 +74,7 @@ def sample_groups_by_family(df, split, quota, salt, group="group_id", family="fa
     problems = g.filter((F.col(family) != F.col("_f2")) | F.col("_wrong")).select(
         F.col(group).cast("string").alias("subject"), F.when(F.col(family) != F.col("_f2"), "straddles_families").otherwise("wrong_split").alias("problem"))
     o = sha(F.lit(salt), F.lit(split), F.col(family), F.col(group))
-    top = g.withColumn("_o", o).withColumn("_r", F.row_number().over(Window.partitionBy(family).orderBy("_o"))).filter(F.col("_r") <= quota)
+    top = spread.first_n(g.withColumn("_o", o), [family], ["_o"], quota, spread.hash_bucket("_o"))
     short = _total(g, [family]).filter(F.col("_n") < quota).select(F.col(family).cast("string").alias("subject"), F.lit("underfilled").alias("problem"))
     return df.join(top.select(group), group, "left_semi"), problems.unionByName(short)
 
@@ -83,7 +83,7 @@ def sample_replay_groups(df, k, salt, fits="fits", group="group_id", source="sou
     """(rows, rejected groups): k groups per source whose rows all fit, in digest order."""
     g = df.groupBy(source, group).agg(F.bool_and(fits).alias("_ok"))
     o = sha(F.lit(salt), F.col(source), F.col(group))
-    top = g.filter("_ok").withColumn("_o", o).withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy("_o"))).filter(F.col("_r") <= k)
+    top = spread.first_n(g.filter("_ok").withColumn("_o", o), [source], ["_o"], k, spread.hash_bucket("_o"))
     return df.join(top.select(source, group), [source, group], "left_semi"), g.filter(~F.col("_ok")).select(source, group)
 
 
@@ -91,7 +91,7 @@ def first_groups_per_source(df, k, group="group_id", source="source", position="
     """Smoke subset: the first k units of each source; the test split is emptied."""
     d = df.filter(F.col("split") != "test")
     g = d.groupBy("split", source, group).agg(F.min(position).alias("_p"))
-    top = g.withColumn("_r", F.row_number().over(Window.partitionBy("split", source).orderBy("_p", group))).filter(F.col("_r") <= k)
+    top = spread.first_n(g, ["split", source], ["_p", group], k, spread.magnitude_bucket("_p", 256))
     return d.join(top.select("split", source, group), ["split", source, group], "left_semi")
 
 

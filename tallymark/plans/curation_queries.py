@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.python_side import json_leaves, regex_counter
-from ..functions.text import first_words, h32, norm_text, sha, state_key, word_count, words
+from ..functions.text import h32, sha, state_key, word_count
 from ..functions.vectors import r6
 from ..operators import curate as D
 from ..operators import scoring as M
@@ -12,7 +12,7 @@ from ..session import work_dir
 from ..sources import labelled as L
 from ..sources import suites as S
 from ..sources.fixtures import lit_array
-from .oracle import collapse, h, norm, r6 as R, softmax, sql, words as W
+from .oracle import collapse, h, norm, r6 as R, sql, words as W
 from .registry import query
 from .scoring_queries import rounded
 

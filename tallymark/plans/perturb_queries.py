@@ -3,13 +3,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.text import h32, sha
-from ..functions.vectors import r6
+from ..functions.text import h32
 from ..operators import perturb as A
 from ..operators import rules as RU
 from ..session import settle
 from ..sources.fixtures import TIERS, lit_array
-from .oracle import cat, h, r6 as R, sql
+from .oracle import cat, h, sql
 from .registry import query
 
 U = lambda *p: f"({h(*p)}/4294967296e0)"
@@ -231,7 +230,7 @@ def _(t):
 
 def pair_rows(t):
     """Sibling rows with sentences, evidence flags and drop-one labels; some are damaged by digest."""
-    pairs, _report = RU.counterfactual_pairs(t.cases(), case_edits(), case_label(F.col("family")), 10 ** 9)
+    pairs, _report = RU.counterfactual_pairs(t.cases(), case_edits(), case_label(F.col("family")), None)
     s = RU.siblings(pairs).withColumn("x", h32("defect", F.col("pair_id")) % 12)
     x, b = F.col("x"), F.col("sibling") == "b"
     qty = F.col("family") == "quantity_limit"

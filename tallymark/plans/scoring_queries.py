@@ -1,13 +1,12 @@
 """M queries: scoring and metrics."""
 from pyspark.sql import functions as F
 
-from ..functions import spread
 from ..functions import vectors as V
 from ..functions.text import h32, sha, word_count
 from ..functions.vectors import r6
 from ..operators import scoring as M
 from ..sources.fixtures import lit_array
-from .oracle import _z, collapse, h, r6 as R, softmax, sql
+from .oracle import collapse, h, r6 as R, softmax, sql
 from .registry import query
 
 CURVE = "select *, sum(n) over w as cum, sum(errors) over w as cume, sum(n) over (partition by {by}) as tot from hist window w as (partition by {by} order by conf desc)"

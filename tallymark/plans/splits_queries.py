@@ -3,9 +3,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import h32, sha, word_count
 from ..operators import splits as P
-from ..sources.fixtures import lit_array
 from .curation_queries import FITS, SPLIT_SQL, split_of
-from .oracle import h, norm, sql
+from .oracle import h, sql
 from .registry import query
 
 STATE_RANK = "select skey, row_number() over (order by sha256('{seed}:'||skey)) as rn, count(*) over () as n from (select distinct skey from {src})"

@@ -3,8 +3,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_words, sha, state_key
+from ..session import settle
 
 MAX_OPTIONS = 255
+MAX_SPLITS = 2_000_000
 QUESTION = "struct<type:string,instructions:string,criteria:string,label:variant,target:string>"
 RECORD = f"state string, questions map<string,{QUESTION}>, _bad string"
 
@@ -20,8 +22,9 @@ def number_lines(df):
                      F.monotonically_increasing_id().alias("_m"))
     sizes = base.groupBy("file", "block").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("file", "block", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = base.join(sizes, ["file", "block"])
+    sizes = settle(sizes.select("file", "block", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")))
+    # one row per file split: broadcast after a look at its size, so that the lines themselves are not shuffled
+    out = base.join(F.broadcast(sizes) if sizes.count() <= MAX_SPLITS else sizes, ["file", "block"])
     return out.select("value", "file", (F.col("_off") + F.col("_m") - F.col("_m0") + 1).alias("line"))
 
 
