@@ -124,12 +124,13 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
     Returns (accepted rows, per-source report)."""
     sources = df.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     sources = sources.withColumn("rank", F.row_number().over(Window.orderBy("source")))   # one row per source
-    d = df.join(F.broadcast(sources.select("source", "rank")), "source")                  # bounded by the number of sources
+    count = sources.count()
+    small = (lambda t: F.broadcast(t)) if count <= 100_000 else (lambda t: t)             # tables with one row per source
+    d = df.join(small(sources.select("source", "rank")), "source")
     fit = d.filter(F.col(fits))
     if seen is not None:
         fit = fit.join(seen.select(key).distinct(), key, "left_anti")
     keys = fit.groupBy("source", "rank", key).agg(F.min(order).alias("o"))
-    count = sources.count()
     top = spread.spread_rank(keys, ["source"], ["o"], spread.hash_bucket("o"), "_rk")      # `order` is a digest
     cand = settle(top.filter(F.col("_rk") <= F.col("rank") * n).drop("_rk"))
     state = cand.withColumn("acc", F.lit(False))
@@ -146,7 +147,7 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
     acc = state.filter("acc").select("source", "rank", key, "o")
     ends = acc.groupBy("source").agg(F.max("o").alias("last"), F.count(F.lit(1)).alias("accepted"))
     ends = sources.select("source").join(ends, "source", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
-    considered = d.join(F.broadcast(ends), "source").filter((F.col("accepted") < n) | (F.col(order) <= F.col("last")))   # one row per source
+    considered = d.join(small(ends), "source").filter((F.col("accepted") < n) | (F.col(order) <= F.col("last")))
     owner = acc.groupBy(key).agg(F.min(F.struct("rank", "o")).alias("first"), F.collect_list(F.struct("rank", "o")).alias("all"))   # at most one per source
     c = considered.join(owner, key, "left")
     if seen is not None:

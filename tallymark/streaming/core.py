@@ -6,20 +6,27 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def replay(df, order, slices=4, flush=None):
     """A batch table as a stream of `slices` micro-batches in the order of a numeric column: written slice by slice into a new
-    folder and read back one file group at a time. `flush` rows (same schema) come last, to move the watermark past the end.
-    On a real deployment the source is a topic or a landing folder; everything after it is the same."""
+    folder and read back one slice per trigger. Slices hold about equally many rows and are written as the same number of
+    files, one per million rows. `flush` rows (same schema) come last, to move the watermark past the end. On a real
+    deployment the source is a topic or a landing folder; everything after it is the same."""
     spark = df.sparkSession
     path = work_dir(spark, "replay")
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = (hi - lo) / slices + 1
-    for i in range(slices):
-        part = df.filter((F.col(order) >= lo + i * width) & (F.col(order) < lo + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)       # one file per slice, so that one trigger reads one slice
+    cuts = F.percentile_approx(order, F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(10000))
+    total, edges = df.agg(F.count(F.lit(1)), cuts).first()
+    files = max(1, total // (slices * ROWS_PER_FILE))
+    edges = [None, *(edges or []), None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = df if lo is None else df.filter(F.col(order) > lo)
+        part = part if hi is None else part.filter(F.col(order) <= hi)
+        part.repartition(files).write.mode("append").parquet(path)
     if flush is not None:
-        flush.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        flush.select(*df.columns).coalesce(1).write.mode("append").parquet(path)     # one row
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream, name="stream"):
