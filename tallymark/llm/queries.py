@@ -1,7 +1,8 @@
 """Registered queries of the subpackage and the DuckDB SQL that must give the same rows, where SQL can say it."""
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, rule_ledger, url_rules
+from ..session import work_dir
+from . import fingerprint, mixing, near_dup, rule_ledger, token_store, url_rules
 
 QUERIES, ORACLES = {}, {}
 W = r"'[^\x20\x09-\x0D]+'"
@@ -94,3 +95,24 @@ def rule_ledger_query(spark, sf_dir):
     entries = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     judged = rule_ledger.apply_policy(rule_ledger.apply_policy(entries, "v1", "_base"), "v2")
     return judged.withColumn("base_failed", ~F.col("_base")).drop("_base")
+
+
+@query("op6_token_store")
+def token_store_query(spark, sf_dir):
+    path = work_dir(spark, "token-store")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_store.read_tokens(spark, path)
+
+
+@query("op2_chosen_path", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) end as s from w),
+n as (select doc_id, len(s) as n from s), e as (select doc_id, unnest(s) as g from s),
+f as (select g, count(*) as df from e group by g), r as (select doc_id, g, row_number() over (partition by doc_id order by df, g) as r from e join f using (g)),
+p as (select doc_id, g, n from r join n using (doc_id) where r <= n - ceil(0.8 * n - 1e-9) + 1),
+c as (select distinct x.doc_id as a, y.doc_id as b, x.n as na, y.n as nb from p x join p y on x.g = y.g and x.doc_id < y.doc_id and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+l as (select a, b from c join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * len(list_intersect(sa.s, sb.s)) >= 80 * (na + nb - len(list_intersect(sa.s, sb.s)))),
+k as (select a, b from l union all select b, a from l), t as (select doc_id as a, doc_id as b from n union select t.a, k.b from t join k on t.b = k.a)
+select doc_id, n as n_shingles, least_id as component_id, least_id = doc_id as kept from n join (select a, min(b) as least_id from t group by a) on a = doc_id""")
+def chosen_path_query(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
