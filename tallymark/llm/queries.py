@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import fingerprint, mixing, near_dup, rule_ledger, token_store, url_rules
+from . import edit_counts, fingerprint, mixing, near_dup, piece_codec, rule_ledger, token_store, url_rules
 
 QUERIES, ORACLES = {}, {}
 W = r"'[^\x20\x09-\x0D]+'"
@@ -116,3 +116,23 @@ k as (select a, b from l union all select b, a from l), t as (select doc_id as a
 select doc_id, n as n_shingles, least_id as component_id, least_id = doc_id as kept from n join (select a, min(b) as least_id from t group by a) on a = doc_id""")
 def chosen_path_query(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query("op9_piece_codec")
+def piece_codec_query(spark, sf_dir):
+    coded = piece_codec.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def revision(docs):
+    """Three edits of every document: a cut in the first third, its beginning repeated in the middle, a note near the end."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    edits = F.array(F.struct(F.floor(n / 3).alias("start"), F.floor(n / 16).alias("length"), F.lit("").alias("insert")),
+                    F.struct(F.floor(n / 2).alias("start"), F.lit(0).cast("bigint").alias("length"), F.substring(F.coalesce("text", F.lit("")), 1, 24).alias("insert")),
+                    F.struct(F.floor(n * 3 / 4).alias("start"), F.lit(7).cast("bigint").alias("length"), F.concat(F.lit("'s note "), F.col("doc_id").cast("string")).alias("insert")))
+    return docs.select("doc_id", "text", edits.alias("edits"))
+
+
+@query("op10_edit_counts")
+def edit_counts_query(spark, sf_dir):
+    return edit_counts.count_edits(revision(table(spark, sf_dir, "documents")))
