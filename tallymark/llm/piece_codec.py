@@ -187,7 +187,7 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def vocabulary(model):
     v = Vocabulary(model)
-    return v, UnitCodes(v.viterbi, most=500_000)
+    return v, UnitCodes(v.viterbi)
 
 
 def split_units(text):
@@ -201,7 +201,7 @@ def _codec(model, text_at):
         table = np.array([vocab.bytes_of.get(i, b"") for i in range(len(vocab.pieces))], object)
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            for lo, hi in grouped(texts, 1_000_000):
+            for lo, hi in grouped(texts):
                 flat, ends = coder.encode_all([split_units(t) for t in texts[lo:hi]])
                 parts = table[flat].tolist()
                 ids, decoded, start = [], [], 0

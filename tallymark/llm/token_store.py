@@ -8,6 +8,7 @@ A store is a Parquet folder of segments in document order: `segment` (ascending)
 `codes`, the bytes described above.
 """
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -99,16 +100,34 @@ class Codes:
         return int(self.range(i, i + 1)[0])
 
 
+PLAIN = re.compile(rb"[a-z]+")
+TAIL = re.compile(rb"(.*[A-Za-z0-9])([,.!?;:|]+)\Z", re.S)
+
+
+def _word_and_tail(word):
+    """Parts that the pre-tokenizer always separates: a letter or digit from punctuation after it. ASCII words are lower-cased,
+    as the tokenizer does; words that may hold a special token are left whole."""
+    if b"<|" in word:
+        return None
+    match = TAIL.match(word)
+    core = match[1] if match else word
+    lower = core.lower() if core.isascii() else core
+    return (lower, match[2]) if match else (lower,) if lower != word else None
+
+
 @lru_cache(maxsize=4)
 def word_coder(definition):
-    """Unit table of a tokenizer whose pre-tokens never cross an ASCII blank, by its JSON text."""
+    """Unit table of a lower-casing tokenizer whose pre-tokens never cross an ASCII blank or a word's end, by its JSON text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(definition)
 
     def encode(parts):
-        return [e.ids for e in tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
-    return UnitCodes(encode)
+        plain = [PLAIN.fullmatch(p) is not None for p in parts]     # normal form, one pre-token, bytes that stand for themselves
+        rest = iter(tokenizer.encode_batch_fast([p.decode() for p, is_plain in zip(parts, plain) if not is_plain], add_special_tokens=False))
+        model = tokenizer.model
+        return [[t.id for t in model.tokenize(p.decode())] if is_plain else next(rest).ids for p, is_plain in zip(parts, plain)]
+    return UnitCodes(encode, split=_word_and_tail)
 
 
 def _segments(definition, end_id, segment_tokens):

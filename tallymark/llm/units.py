@@ -1,7 +1,9 @@
 """Encoding texts by their repeated parts: each distinct unit is encoded once per worker and looked up afterwards."""
+from itertools import repeat
+
 import numpy as np
 
-MOST_UNITS = 1_000_000
+MOST_UNITS = 600_000
 
 
 def ragged(starts, lengths):
@@ -14,43 +16,79 @@ def ragged(starts, lengths):
 
 
 class UnitCodes(dict):
-    """unit -> row of a table of id sequences. `encode` turns a list of new units into a list of id lists. The table is
-    emptied when it holds `most` units, so memory stays bounded; results do not depend on it."""
+    """unit -> row of a table of id sequences. `encode` turns a list of new units into a list of id lists; `split` may name
+    the parts (units themselves) whose ids, one after the other, are a unit's ids. When the table holds `most` units, a new
+    one is begun and the last is kept aside: frequent units move over, rare ones are forgotten, so memory stays bounded.
+    Results do not depend on it."""
 
-    def __init__(self, encode, most=MOST_UNITS):
+    def __init__(self, encode, most=MOST_UNITS, split=None):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.split = encode, most, split
         self._reset()
 
     def _reset(self):
+        self.aside = (dict(self), self.start, self.length, self.ids) if len(self) else None
         self.clear()
         self.start, self.length, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def _room(self, name, size):
         a = getattr(self, name)
         if size > len(a):
-            grown = np.zeros(max(size, 2 * len(a)), a.dtype)
+            grown = np.zeros(max(size, len(a) + len(a) // 2), a.dtype)
             grown[:len(a)] = a
             setattr(self, name, grown)
 
+    def _add(self, units, lengths, ids):
+        n = len(self)
+        for name, size in (("start", n + len(units)), ("length", n + len(units)), ("ids", self.used + len(ids))):
+            self._room(name, size)
+        self.start[n:n + len(units)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:n + len(units)] = lengths
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.update(zip(units, range(n, n + len(units))))
+
+    def _learn(self, fresh):
+        if self.aside:
+            known = [u for u in fresh if u in self.aside[0]]
+            if known:
+                table, start, length, ids = self.aside
+                rows = np.fromiter(map(table.__getitem__, known), np.int64, len(known))
+                self._add(known, length[rows], ids[ragged(start[rows], length[rows])])
+                fresh = list(set(fresh).difference(known))
+        whole = []
+        if self.split:
+            whole, parts = [], []
+            for u in fresh:
+                p = self.split(u)
+                if p:
+                    whole.append(u)
+                    parts.append(p)
+            if whole:
+                need = {x for p in parts for x in p}.difference(self, whole)
+                fresh = list(set(fresh).difference(whole) | need)
+        if fresh:
+            codes = self.encode(fresh)
+            lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+            self._add(fresh, lengths, np.fromiter((i for c in codes for i in c), np.uint32, int(lengths.sum())))
+        if whole:
+            rows = np.fromiter((self[x] for p in parts for x in p), np.int64, sum(map(len, parts)))
+            each = self.length[rows]
+            ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([len(p) for p in parts])]
+            self._add(whole, np.diff(ends, prepend=0), self.ids[ragged(self.start[rows], each)])
+
     def rows(self, units):
         """Row of every unit, as an array."""
-        fresh = list(set(units).difference(self))
-        if fresh:
+        found = np.fromiter(map(self.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = list({units[k] for k in missing.tolist()})
             if len(self) + len(fresh) > self.most and len(self):
                 self._reset()
                 return self.rows(units)
-            codes = self.encode(fresh)
-            lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-            n, total = len(self), int(lengths.sum())
-            for name, size in (("start", n + len(fresh)), ("length", n + len(fresh)), ("ids", self.used + total)):
-                self._room(name, size)
-            self.start[n:n + len(fresh)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n:n + len(fresh)] = lengths
-            self.ids[self.used:self.used + total] = np.fromiter((i for c in codes for i in c), np.uint32, total)
-            self.used += total
-            self.update(zip(fresh, range(n, n + len(fresh))))
-        return np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+            self._learn(fresh)
+            found[missing] = [self[units[k]] for k in missing.tolist()]
+        return found
 
     def encode_all(self, unit_lists):
         """(ids, ends): the ids of all lists one after the other, and where each list ends."""
@@ -62,7 +100,7 @@ class UnitCodes(dict):
         return ids, done[np.cumsum([len(us) for us in unit_lists])] if unit_lists else np.zeros(0, np.int64)
 
 
-def grouped(texts, size=4_000_000):
+def grouped(texts, size=1_000_000):
     """Slices (lo, hi) of a list of byte strings, each of about `size` bytes or one string."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
