@@ -71,7 +71,8 @@ def mix(docs, weights=None, share=1.5, max_epochs=2, seed="mix"):
 
 
 def mixed_documents(docs, **how):
-    """The documents themselves, each as often as the mix repeats it. Needs distinct doc_ids; see `mix`."""
-    plan = mix(docs, **how).filter("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats")
-    again = no_clash(docs, "repeats").join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return again.select(*docs.columns, F.explode(F.sequence(F.lit(1), "repeats")).alias("_copy")).drop("_copy")
+    """The documents themselves, each as often as the mix repeats it; see `mix`. Rows that share a doc_id are taken equally
+    often."""
+    plan = mix(docs, **how).filter("repeats > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats"))
+    again = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return again.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_repeats")).alias("_copy")).drop("_copy")

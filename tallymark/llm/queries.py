@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import edit_counts, fingerprint, mixing, near_dup, piece_codec, rule_ledger, token_store, url_rules
+from . import edit_counts, fingerprint, mixing, near_dup, ngram_quality, piece_codec, preference, rule_ledger, token_store, url_rules
 
 QUERIES, ORACLES = {}, {}
 W = r"'[^\x20\x09-\x0D]+'"
@@ -136,3 +136,28 @@ def revision(docs):
 @query("op10_edit_counts")
 def edit_counts_query(spark, sf_dir):
     return edit_counts.count_edits(revision(table(spark, sf_dir, "documents")))
+
+
+@query("op7_kneser_ney")
+def kneser_ney_query(spark, sf_dir):
+    return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+PIECE_SQL = "'<|' || replace({t}.role, '<|', '< |') || '|>' || chr(10) || replace({t}.text, '<|', '< |') || chr(10)"
+SIDE_SQL = """{s}_side as (select conv_id, coalesce(string_agg(p, '' order by turn), '') as txt, coalesce(string_agg(case when role = 'assistant' then (cum - len + head)::varchar || '-' || cum::varchar end, ',' order by turn), '') as mask
+  from (select *, sum(len) over (partition by conv_id order by turn) as cum from (select conv_id, turn, role, {p} as p, length({p}) as len, length(role) + 5 as head
+    from {s} t join common using (conv_id) where pos > n_common)) group by conv_id)"""
+
+
+@query("op3_preference", f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn) as pos, count(*) over (partition by conv_id) as n from conversations),
+last as (select conv_id, coalesce(lead(text) over (order by conv_id), first_value(text) over (order by conv_id)) as other from t where pos = n),
+chosen as (select conv_id, turn, role, text, pos from t), rejected as (select conv_id, turn, role, case when pos = n then other else text end as text, pos from t join last using (conv_id)),
+common as (select conv_id, coalesce(min(case when c.text <> r.text then pos end) - 1, max(pos)) as n_common from chosen c join rejected r using (conv_id, pos) group by conv_id),
+{SIDE_SQL.format(s='chosen', p=PIECE_SQL.format(t='t'))}, {SIDE_SQL.format(s='rejected', p=PIECE_SQL.format(t='t'))},
+prompt as (select conv_id, string_agg({PIECE_SQL.format(t='t')}, '' order by turn) as prompt from chosen t join common using (conv_id) where pos <= n_common group by conv_id)
+select conv_id as pair_id, n_common, coalesce(prompt, '') as prompt, coalesce(c.txt, '') as chosen, coalesce(r.txt, '') as rejected, coalesce(c.mask, '') as chosen_mask, coalesce(r.mask, '') as rejected_mask
+from common left join prompt using (conv_id) left join chosen_side c using (conv_id) left join rejected_side r using (conv_id)""")
+def preference_query(spark, sf_dir):
+    out = preference.preference_examples(*preference.swapped_answers(table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: preference.spans_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
