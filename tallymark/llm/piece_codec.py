@@ -8,7 +8,6 @@ per worker, and many units at a time - the trie is walked for all of them in ste
 The vocabulary may be of either kind. Where its scores are merge ranks (0, -1, -2, ...) instead of log probabilities, the
 log score of rank r is -log(r + 2) less the logarithm of the vocabulary size: frequent, early-merged pieces stay cheaper and fewer pieces win.
 """
-import re
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -17,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 
 from .common import no_clash, text_of, tokenizer_path
-from .units import UnitCodes, grouped
+from .units import UnitTable, grouped
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-UNIT = re.compile(b"(?:" + MARK + b")*[^\xe2]*(?:(?!" + MARK + b")\xe2[^\xe2]*)*")
 TEXT_COLUMN = "text"
 WINDOW = 4096              # places tried at once when a trie node is laid out
 
@@ -110,7 +108,8 @@ class Vocabulary:
 
     def viterbi(self, units):
         """Ids of every unit (non-empty UTF-8 byte strings): greatest total score, on equal scores the earlier start of the
-        last piece. All units of about one length advance together."""
+        last piece. Blanks are read as markers. All units of about one length advance together."""
+        units = [u.replace(b" ", MARK) for u in units]
         out = [None] * len(units)
         order = sorted(range(len(units)), key=lambda k: len(units[k]))
         at = 0
@@ -187,12 +186,23 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def vocabulary(model):
     v = Vocabulary(model)
-    return v, UnitCodes(v.viterbi)
+    return v, UnitTable(v.viterbi)
 
 
-def split_units(text):
-    """Units of a UTF-8 text: runs of markers with the characters after them. An empty text has none."""
-    return [u for u in UNIT.findall(MARK + text.replace(b" ", MARK)) if u] if text else []
+def unit_slices(texts):
+    """(buffer, starts, ends, units per text) of byte strings: each text behind one blank, cut before every run of blanks. A
+    marker in a text stands for a blank; an empty text has no unit."""
+    texts = [b" " + t.replace(MARK, b" ") if t else t for t in texts]
+    raw = b"".join(texts)
+    blank = np.frombuffer(raw, np.uint8) == 32
+    limits = np.cumsum([len(t) for t in texts])
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first[np.unique(limits[limits < len(raw)])] = True
+    if len(first):
+        first[0] = True
+    starts = np.flatnonzero(first)
+    return raw, starts, np.append(starts[1:], len(raw)), np.diff(np.searchsorted(starts, limits, side="left"), prepend=0)
 
 
 def _codec(model, text_at):
@@ -202,7 +212,7 @@ def _codec(model, text_at):
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             for lo, hi in grouped(texts):
-                flat, ends = coder.encode_all([split_units(t) for t in texts[lo:hi]])
+                flat, ends = coder.encode_all(*unit_slices(texts[lo:hi]))
                 parts = table[flat].tolist()
                 ids, decoded, start = [], [], 0
                 for end in ends.tolist():

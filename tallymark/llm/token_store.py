@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spread import running_totals
 from .common import small_side, text_of, tokenizer_path
-from .units import UnitCodes, grouped
+from .units import UnitTable, grouped, word_slices
 
 MAGIC = b"DAC1"
 CHUNK_BITS, BLOCK_BITS = 8, 512
@@ -105,14 +105,13 @@ TAIL = re.compile(rb"(.*[A-Za-z0-9])([,.!?;:|]+)\Z", re.S)
 
 
 def _word_and_tail(word):
-    """Parts that the pre-tokenizer always separates: a letter or digit from punctuation after it. ASCII words are lower-cased,
-    as the tokenizer does; words that may hold a special token are left whole."""
+    """(word, punctuation behind it), which the pre-tokenizer always separates: a letter or digit from what follows. ASCII words
+    are lower-cased, as the tokenizer does; words that may hold a special token are left whole."""
     if b"<|" in word:
-        return None
+        return word, b""
     match = TAIL.match(word)
     core = match[1] if match else word
-    lower = core.lower() if core.isascii() else core
-    return (lower, match[2]) if match else (lower,) if lower != word else None
+    return core.lower() if core.isascii() else core, match[2] if match else b""
 
 
 @lru_cache(maxsize=4)
@@ -122,12 +121,17 @@ def word_coder(definition):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(definition)
 
+    @lru_cache(maxsize=10_000)
+    def tail_ids(tail):
+        return tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+
     def encode(parts):
-        plain = [PLAIN.fullmatch(p) is not None for p in parts]     # normal form, one pre-token, bytes that stand for themselves
-        rest = iter(tokenizer.encode_batch_fast([p.decode() for p, is_plain in zip(parts, plain) if not is_plain], add_special_tokens=False))
+        split = [_word_and_tail(p) for p in parts]
+        plain = [PLAIN.fullmatch(core) is not None for core, _ in split]     # normal form, one pre-token, bytes that stand for themselves
+        rest = iter(tokenizer.encode_batch_fast([core.decode() for (core, _), is_plain in zip(split, plain) if not is_plain], add_special_tokens=False))
         model = tokenizer.model
-        return [[t.id for t in model.tokenize(p.decode())] if is_plain else next(rest).ids for p, is_plain in zip(parts, plain)]
-    return UnitCodes(encode, split=_word_and_tail)
+        return [([t.id for t in model.tokenize(core.decode())] if is_plain else next(rest).ids) + (tail_ids(tail) if tail else []) for (core, tail), is_plain in zip(split, plain)]
+    return UnitTable(encode)
 
 
 def _segments(definition, end_id, segment_tokens):
@@ -144,7 +148,7 @@ def _segments(definition, end_id, segment_tokens):
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in grouped(texts):
-                flat, ends = coder.encode_all([t.split() for t in texts[lo:hi]])
+                flat, ends = coder.encode_all(*word_slices(texts[lo:hi]))
                 start = 0
                 for name, end in zip(names[lo:hi], ends.tolist()):
                     docs.append(name)

@@ -1,9 +1,16 @@
-"""Encoding texts by their repeated parts: each distinct unit is encoded once per worker and looked up afterwards."""
-from itertools import repeat
+"""Encoding texts by their repeated parts: each distinct unit is encoded once per worker and looked up afterwards.
 
+Units are slices of one byte buffer. Those of up to 23 bytes are their own exact key, three 64-bit lanes with the length in
+the last byte, and a whole batch is looked up at once in an open-addressing table; longer ones are rare and go through a dict.
+"""
 import numpy as np
 
-MOST_UNITS = 600_000
+MOST_UNITS = 500_000
+SLOTS = 1 << 20
+LONGEST_KEY = 23
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def ragged(starts, lengths):
@@ -15,22 +22,65 @@ def ragged(starts, lengths):
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-class UnitCodes(dict):
-    """unit -> row of a table of id sequences. `encode` turns a list of new units into a list of id lists; `split` may name
-    the parts (units themselves) whose ids, one after the other, are a unit's ids. When the table holds `most` units, a new
-    one is begun and the last is kept aside: frequent units move over, rare ones are forgotten, so memory stays bounded.
-    Results do not depend on it."""
+def grouped(texts, size=1_000_000):
+    """Slices (lo, hi) of a list of byte strings, each of about `size` bytes or one string."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
-    def __init__(self, encode, most=MOST_UNITS, split=None):
-        super().__init__()
-        self.encode, self.most, self.split = encode, most, split
-        self._reset()
 
-    def _reset(self):
-        self.aside = (dict(self), self.start, self.length, self.ids) if len(self) else None
-        self.clear()
+def word_slices(texts):
+    """(buffer, starts, ends, words per text) of the words of byte strings: maximal runs without the six ASCII blanks."""
+    raw = b" " + b" ".join(texts) + b" "
+    blank = _SPACE[np.frombuffer(raw, np.uint8)]
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = turns[0::2], turns[1::2]
+    limits = np.cumsum([len(t) + 1 for t in texts])
+    return raw, starts, ends, np.diff(np.searchsorted(starts, limits, side="right"), prepend=0)
+
+
+def _lanes(raw, starts, lengths):
+    """Key lanes (n, 3) of slices of at most LONGEST_KEY bytes."""
+    padded = raw + bytes(32)
+    at = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, strides=(1,))
+    keys = np.empty((len(starts), 3), np.uint64)
+    for k in range(3):
+        keys[:, k] = at[starts + 8 * k] & _MASKS[np.clip(lengths - 8 * k, 0, 8)]
+    keys[:, 2] |= lengths.astype(np.uint64) << np.uint64(56)
+    return keys
+
+
+def _slots(keys):
+    h = np.zeros(len(keys), np.uint64)
+    for k in range(3):
+        h = (h ^ keys[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64)
+
+
+class UnitTable:
+    """Looks up id sequences of units; `encode` turns a list of new units (bytes) into a list of id lists. When `most` units are
+    held a new table is begun and the last is kept aside: frequent units move over, rare ones are forgotten, so memory stays
+    bounded. Results do not depend on it."""
+
+    def __init__(self, encode, most=MOST_UNITS, slots=SLOTS):
+        self.encode, self.most, self.size = encode, most, slots
+        self.aside = None
+        self._clear()
+
+    def _clear(self):
+        self.table, self.long, self.count = np.zeros((self.size, 4), np.uint64), {}, 0
         self.start, self.length, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
+    def _begin_anew(self):
+        self.aside = (self.table, self.start, self.length, self.ids)
+        self._clear()
+
     def _room(self, name, size):
         a = getattr(self, name)
         if size > len(a):
@@ -38,75 +88,86 @@ class UnitCodes(dict):
             grown[:len(a)] = a
             setattr(self, name, grown)
 
-    def _add(self, units, lengths, ids):
-        n = len(self)
-        for name, size in (("start", n + len(units)), ("length", n + len(units)), ("ids", self.used + len(ids))):
+    def _add(self, lengths, ids):
+        """Appends id sequences; their rows."""
+        n = self.count
+        for name, size in (("start", n + len(lengths)), ("length", n + len(lengths)), ("ids", self.used + len(ids))):
             self._room(name, size)
-        self.start[n:n + len(units)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n:n + len(units)] = lengths
+        self.start[n:n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:n + len(lengths)] = lengths
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
-        self.update(zip(units, range(n, n + len(units))))
-
-    def _learn(self, fresh):
-        if self.aside:
-            known = [u for u in fresh if u in self.aside[0]]
-            if known:
-                table, start, length, ids = self.aside
-                rows = np.fromiter(map(table.__getitem__, known), np.int64, len(known))
-                self._add(known, length[rows], ids[ragged(start[rows], length[rows])])
-                fresh = list(set(fresh).difference(known))
-        whole = []
-        if self.split:
-            whole, parts = [], []
-            for u in fresh:
-                p = self.split(u)
-                if p:
-                    whole.append(u)
-                    parts.append(p)
-            if whole:
-                need = {x for p in parts for x in p}.difference(self, whole)
-                fresh = list(set(fresh).difference(whole) | need)
-        if fresh:
-            codes = self.encode(fresh)
-            lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-            self._add(fresh, lengths, np.fromiter((i for c in codes for i in c), np.uint32, int(lengths.sum())))
-        if whole:
-            rows = np.fromiter((self[x] for p in parts for x in p), np.int64, sum(map(len, parts)))
-            each = self.length[rows]
-            ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([len(p) for p in parts])]
-            self._add(whole, np.diff(ends, prepend=0), self.ids[ragged(self.start[rows], each)])
-
-    def rows(self, units):
-        """Row of every unit, as an array."""
-        found = np.fromiter(map(self.get, units, repeat(-1)), np.int64, len(units))
+        self.count = n + len(lengths)
+        return np.arange(n, self.count)
+
+    def _encoded(self, units):
+        codes = self.encode(units)
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+        return self._add(lengths, np.fromiter((i for c in codes for i in c), np.uint32, int(lengths.sum())))
+
+    def _find(self, table, keys):
+        found, where, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), _slots(keys) & (len(table) - 1)
+        while len(where):
+            entry, key = table[slot], keys[where]
+            used = entry[:, 3] > 0
+            same = used & (entry[:, 0] == key[:, 0]) & (entry[:, 1] == key[:, 1]) & (entry[:, 2] == key[:, 2])
+            found[where[same]] = entry[same, 3].astype(np.int64) - 1
+            on = used & ~same
+            where, slot = where[on], (slot[on] + 1) & (len(table) - 1)
+        return found
+
+    def _insert(self, keys, rows):
+        """Distinct new keys."""
+        slot, left = _slots(keys) & (self.size - 1), np.arange(len(keys))
+        while len(left):
+            free = self.table[slot, 3] == 0
+            take, at = left[free], slot[free]
+            self.table[at, 3] = rows[take].astype(np.uint64) + np.uint64(1)       # of several at one slot the last stays
+            won = self.table[at, 3] == rows[take].astype(np.uint64) + np.uint64(1)
+            self.table[at[won], :3] = keys[take[won]]
+            again = ~free
+            again[np.flatnonzero(free)[~won]] = True
+            left, slot = left[again], (slot[again] + 1) & (self.size - 1)
+
+    def rows(self, raw, starts, ends):
+        """Row of every slice."""
+        lengths = ends - starts
+        short = np.flatnonzero(lengths <= LONGEST_KEY)
+        keys = _lanes(raw, starts[short], lengths[short])
+        found = self._find(self.table, keys)
         missing = np.flatnonzero(found < 0)
+        longer = np.flatnonzero(lengths > LONGEST_KEY)
+        if self.count + len(missing) + len(longer) > self.most and self.count:
+            self._begin_anew()
+            missing, found = np.arange(len(short)), np.full(len(short), -1, np.int64)
+        if len(missing) and self.aside:
+            old = self._find(self.aside[0], keys[missing])
+            have = np.flatnonzero(old >= 0)
+            rows, first = np.unique(old[have], return_index=True)
+            lengths_of = self.aside[2][rows]
+            self._insert(keys[missing[have[first]]], self._add(lengths_of, self.aside[3][ragged(self.aside[1][rows], lengths_of)]))
+            missing = missing[old < 0]
         if len(missing):
-            fresh = list({units[k] for k in missing.tolist()})
-            if len(self) + len(fresh) > self.most and len(self):
-                self._reset()
-                return self.rows(units)
-            self._learn(fresh)
-            found[missing] = [self[units[k]] for k in missing.tolist()]
-        return found
+            at = {}
+            for k, s, e in zip(missing.tolist(), starts[short[missing]].tolist(), ends[short[missing]].tolist()):
+                at.setdefault(raw[s:e], k)
+            self._insert(keys[list(at.values())], self._encoded(list(at)))
+        if (found < 0).any():
+            gap = np.flatnonzero(found < 0)
+            found[gap] = self._find(self.table, keys[gap])
+        out = np.empty(len(starts), np.int64)
+        out[short] = found
+        if len(longer):
+            units = [raw[s:e] for s, e in zip(starts[longer].tolist(), ends[longer].tolist())]
+            fresh = list(set(units).difference(self.long))
+            if fresh:
+                self.long.update(zip(fresh, self._encoded(fresh).tolist()))
+            out[longer] = [self.long[u] for u in units]
+        return out
 
-    def encode_all(self, unit_lists):
-        """(ids, ends): the ids of all lists one after the other, and where each list ends."""
-        units = [u for us in unit_lists for u in us]
-        rows = self.rows(units)
+    def encode_all(self, raw, starts, ends, per_text):
+        """(ids, ends): the ids of all texts one after the other, and where each text's end."""
+        rows = self.rows(raw, starts, ends)
         lengths = self.length[rows]
-        ids = self.ids[ragged(self.start[rows], lengths)]
         done = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, done[np.cumsum([len(us) for us in unit_lists])] if unit_lists else np.zeros(0, np.int64)
-
-
-def grouped(texts, size=1_000_000):
-    """Slices (lo, hi) of a list of byte strings, each of about `size` bytes or one string."""
-    lo, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield lo, i + 1
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+        return self.ids[ragged(self.start[rows], lengths)], done[np.cumsum(per_text)]
