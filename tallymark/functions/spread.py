@@ -16,6 +16,14 @@ def _on(left, right, keys):
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def counted_broadcast(df, row_bytes, limit=BROADCAST_BYTES):
+    """Marks a side table for broadcast where its counted rows times `row_bytes` stay within `limit`; otherwise Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def join_keys(left, right, keys, how="inner"):
     """Equi-join that also matches null keys and keeps one copy of the key columns."""
     keep = [right[c] for c in right.columns if c not in keys]

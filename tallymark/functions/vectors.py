@@ -11,6 +11,12 @@ def let(value, fn):
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def settled(p):
+    """Probabilities rounded to nine decimals: derived tables must agree between engines to the last bit, because operators
+    compare and order them as they are."""
+    return F.transform(p, lambda x: F.round(x, 9))
+
+
 def asum(arr):
     return F.aggregate(_c(arr), F.lit(0.0), lambda a, x: a + x)
 

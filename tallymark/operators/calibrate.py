@@ -60,7 +60,7 @@ def fit_temperature(df, aggregation="micro", points=81, by=(), weight=None):
 
 def temper_by(df, temperatures, by):
     """Rows tempered by a per-group temperature; groups without one keep T=1. The table has one row per group."""
-    j = df.join(temperatures.select(*by, "temperature"), list(by), "left") if by else df.crossJoin(F.broadcast(temperatures.select("temperature")))   # one-row side
+    j = df.join(spread.counted_broadcast(temperatures.select(*by, "temperature"), 200), list(by), "left") if by else df.crossJoin(F.broadcast(temperatures.select("temperature")))   # one-row side
     return M.temper(j.withColumn("_t", F.coalesce("temperature", F.lit(1.0))), F.col("_t")).drop("_t", "temperature")
 
 

@@ -114,14 +114,17 @@ def unique_pairs_by_family(pairs, n=None):
         kept = new
 
 
-def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
+def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits", row="id"):
     """Per source (in name order) the first n rows by `order` whose key no earlier kept row has, size-admitted rows only.
 
     Source i can be blocked by at most (i-1)*n keys, so only its first i*n distinct keys matter: the candidate table is
     bounded by sources^2 * n whatever the input size. Acceptance is then settled in rounds: a key is blocked where an
     earlier source accepted it, and each source accepts its first n unblocked keys; after round r the first r sources are
-    final, and usually two or three rounds reach the fixed point.
+    final, and usually two or three rounds reach the fixed point. Rows with equal digests follow in the order of the unique
+    column `row`.
     Returns (accepted rows, per-source report)."""
+    digest, order = order, "_place"
+    df = df.withColumn(order, F.concat_ws(":", digest, F.lpad(F.col(row).cast("string"), 24, "0")) if row in df.columns else F.col(digest))
     sources = df.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     sources = sources.withColumn("rank", F.row_number().over(Window.orderBy("source")))   # one row per source
     count = sources.count()
@@ -138,8 +141,8 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
         earlier = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         blocked = state.withColumn("blocked", F.coalesce(F.max("acc").over(earlier), F.lit(False)))
         free = F.when(F.col("blocked"), 0).otherwise(1)
-        running = F.sum(free).over(Window.partitionBy("source").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
-        new = settle(blocked.withColumn("now", ~F.col("blocked") & (running <= n)))
+        running = spread.running_totals(blocked.withColumn("_free", free), ["source"], "o", spread.hash_bucket("o"), ["_free"])
+        new = settle(running.withColumn("now", ~F.col("blocked") & (F.col("cum__free") <= n)))
         changed = not new.filter(F.col("acc") != F.col("now")).isEmpty()
         state = new.select("source", "rank", key, "o", F.col("now").alias("acc"))
         if not changed:
@@ -159,5 +162,5 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits"):
     report = c.groupBy("source").agg(
         F.count(F.lit(1)).alias("considered"), F.sum(dup.cast("bigint")).alias("duplicate_state"),
         F.sum((~dup & ~F.col(fits)).cast("bigint")).alias("context_rejected"), F.max("accepted").alias("accepted"))
-    rows = d.join(acc.select("source", F.col("o").alias(order)), ["source", order], "left_semi").drop("rank")
+    rows = d.join(acc.select("source", F.col("o").alias(order)), ["source", order], "left_semi").drop("rank", order)
     return rows, report.withColumn("short", F.col("accepted") < n)

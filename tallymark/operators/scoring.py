@@ -92,7 +92,7 @@ def row_scores(df):
     """M6: additive quantities of every row."""
     nll = V.nll_logits("logits", "label") if "logits" in df.columns else V.nll_probs("p", "label")
     is_score = F.col("type") == "score"
-    out = (df.withColumn("ok", V.argmax0("p") == F.col("label")).withColumn("conf", F.round(F.array_max("p"), 6))
+    out = (df.withColumn("ok", V.argmax0("p") == F.col("label")).withColumn("conf", F.array_max("p"))
            .withColumn("nll", nll).withColumn("brier", V.brier("p", "label"))
            .withColumn("mae", F.when(is_score, F.abs(V.mean_level("p") - F.col("label"))))
            .withColumn("rps", F.when(is_score, V.rps("p", "label"))))
@@ -200,7 +200,7 @@ def select_threshold(scored, by, budget, min_accepted=1):
 
 def apply_threshold(scored, by, cuts):
     """A fixed threshold per group applied to another table."""
-    j = scored.join(cuts, by)
+    j = scored.join(spread.counted_broadcast(cuts, 200), by)      # one row per group
     took = F.coalesce(F.col("conf") >= F.col("cut"), F.lit(False))
     out = j.groupBy(*by).agg(F.max("cut").alias("cut"), F.count(F.lit(1)).alias("n"), F.sum(_lng(took)).alias("accepted"),
                              F.sum(_lng(took & ~F.col("ok"))).alias("errors"))
@@ -237,7 +237,6 @@ def order_stability(runs, by=("task",)):
     top = V.at("keys", V.argmax0("p"))
     right = F.element_at(F.col("p"), F.array_position("keys", F.col("truth")).cast("int"))
     per = runs.groupBy(*by, "id", "question").agg((F.min(top) != F.max(top)).alias("flip"), (F.max(right) - F.min(right)).alias("gap"))
-    per = per.withColumn("gap", F.round("gap", 6))
     q = spread.spread_quantiles(per, list(by), "gap", {"p90_spread": 0.9}, F.floor(F.col("_v") * 1000))
     m = per.groupBy(*by).agg(F.avg(F.col("flip").cast("double")).alias("flip_rate"), F.avg("gap").alias("mean_spread"))
     return spread.join_keys(q, m, list(by))
@@ -250,7 +249,7 @@ def rotation_average(runs, field="logits", floor=1e-12):
     base = runs.withColumn("canon", F.array_sort("keys"))
     base = base.withColumn("z", V.let(z, lambda v: F.transform("canon", lambda k: F.element_at(v, F.array_position("keys", k).cast("int")))))
     g = base.groupBy("id", "task").agg(F.array_sort(F.collect_list(F.struct("rotation", "z"))).alias("rs"), F.first("canon").alias("keys"))
-    total = F.aggregate(F.slice("rs", 2, 1000), F.element_at("rs", 1)["z"], lambda a, r: F.zip_with(a, r["z"], lambda x, y: x + y))
+    total = F.aggregate(F.slice(F.col("rs"), F.lit(2), F.size("rs")), F.element_at("rs", 1)["z"], lambda a, r: F.zip_with(a, r["z"], lambda x, y: x + y))
     g = g.withColumn("rotations", F.size("rs").cast("bigint")).withColumn("logits", V.let(total, lambda t: F.transform(t, lambda x: x / F.col("rotations"))))
     return g.withColumn("p", V.softmax("logits")).drop("rs")
 
@@ -313,7 +312,7 @@ def iia_shift(base, extended):
     rank = F.array_sort(F.transform("p0", lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))
     j = j.withColumn("top", rank).withColumn("p1", V.realign("p", "keys", "k0"))
     lo = lambda p: F.log(F.greatest(V.at(p, F.col("top")[0]["i"]), F.lit(1e-6))) - F.log(F.greatest(V.at(p, F.col("top")[1]["i"]), F.lit(1e-6)))
-    j = j.withColumn("shift", F.round(lo("p1") - lo("p0"), 6)).withColumn("size", F.abs("shift")).withColumn("_g", F.lit(0))
+    j = j.withColumn("shift", lo("p1") - lo("p0")).withColumn("size", F.abs("shift")).withColumn("_g", F.lit(0))
     q = spread.spread_quantiles(j, ["_g"], "size", {"p90_abs_shift": 0.9})
     m = j.groupBy("_g").agg(F.avg("size").alias("mean_abs_shift"), F.avg("shift").alias("mean_shift"))
     return spread.join_keys(q, m, ["_g"]).drop("_g")

@@ -34,7 +34,7 @@ def _(t):
 @query("C1_even_odd_report", sql(f"""select arm, any_value(n) as n, any_value({R('nll')}) as nll, {R('sum(abs(c-s))/sum(bn)')} as ece, any_value({R('(select t from best)')}) as temperature from (
  select arm, {EDGE} as bin, count(*) as bn, sum(ok::int::double) as c, sum(conf) as s, sum(count(*)) over (partition by arm) as n, sum(sum(nll)) over (partition by arm)/sum(count(*)) over (partition by arm) as nll from held group by arm, bin) group by arm""",
                                  "decA", g=grid_sql(81), best=f"select arg_min(t,loss) as t from (select t, avg({NLL_T}) as loss from (select * from decA where id%2=0) cross join g group by t)",
-                                 held=f"select arm, list_position(q,list_max(q))-1=label as ok, round(list_max(q),6) as conf, {NLL_T} as nll from (select *, {softmax('list_transform(logits, lambda x: x/t)')} as q from (select decA.*, v.arm, case when arm='before' then 1e0 else (select t from best) end as t from decA cross join (values ('before'),('after')) v(arm) where id%2=1))"))
+                                 held=f"select arm, list_position(q,list_max(q))-1=label as ok, list_max(q) as conf, {NLL_T} as nll from (select *, {softmax('list_transform(logits, lambda x: x/t)')} as q from (select decA.*, v.arm, case when arm='before' then 1e0 else (select t from best) end as t from decA cross join (values ('before'),('after')) v(arm) where id%2=1))"))
 def _(t):
     return rounded(C.even_odd_report(t.decisions("A"), 81))
 

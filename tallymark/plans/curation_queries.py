@@ -64,6 +64,14 @@ def _(t):
     return bad.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S1_distinct_ids", sql("select count(*) as records, count(*) as ids, true as several_files from jl where x>10", jl=JL))
+def _(t):
+    path = work_dir(t.spark, "labelled")
+    labelled_lines(t).repartition(3).write.text(path)
+    good, _bad = L.read_labelled_jsonl(t.spark, path, "docs")
+    return good.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("id").alias("ids"), F.lit(len(t.spark.read.text(path).inputFiles()) > 1).alias("several_files"))
+
+
 @query("S1_line_numbers", sql("select count(*) as lines, count(*) as numbered from jl", jl=JL))
 def _(t):
     path = work_dir(t.spark, "labelled")
@@ -125,8 +133,8 @@ def _(t):
                     r6(F.col("published")["B"][F.col("label_key")], "published_b"))
 
 
-@query("S5_merge_questions_by_state", sql("""select min(id) as id, sha256(state) as state_sha, count(*) as n_questions, string_agg(qid||'='||label, ',' order by rn) as questions from (
- select *, row_number() over (partition by state order by qid,id) as rn from labelled) where rn<=3 group by state""", "labelled"))
+@query("S5_merge_questions_by_state", sql("""select min(id) as id, sha256(state) as state_sha, count(*) as n_questions, string_agg(qid||'='||label, ',' order by qid) as questions from (
+ select state, qid, min(id) as id, arg_max(label, id) as label from labelled group by state, qid) group by state""", "labelled"))
 def _(t):
     m = L.merge_questions_by_state(t.labelled())
     return m.select("id", F.sha2("state", 256).alias("state_sha"), "n_questions", F.array_join(F.transform("questions", lambda q: F.concat_ws("=", q["qid"], q["label"].cast("string"))), ",").alias("questions"))
@@ -162,7 +170,7 @@ def _(t):
 def _(t):
     q = t.questions().withColumn("question", F.col("task")).select("id", "question", "keys", "label")
     scored = M.score_batch(q, M.hash_predictor("A", 1.2, max_tokens=9))
-    rows, rejected, summary = S.write_scored(scored, M.coverage_counters(scored), work_dir(t.spark, "scored"))
+    rows, rejected, summary = S.write_scored(scored, M.coverage_counters, work_dir(t.spark, "scored"))
     one = lambda d, name: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
     return one(rows, "rows").unionByName(one(rejected, "rejected")).unionByName(one(summary, "summary"))
 

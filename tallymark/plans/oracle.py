@@ -28,6 +28,10 @@ def collapse(c):
     return f"trim(regexp_replace({c}, '{WS}', ' ', 'g'),' ')"
 
 
+def settled(p):
+    return f"list_transform({p}, lambda v: round(v, 9))"
+
+
 def norm(c):
     return collapse(f"translate(replace(lower({c}),'ß','ss'),'ſς','sσ')")
 
@@ -101,19 +105,19 @@ CTES = {
    lag(version) over w as prev_version, lag(resource_id) over w as prev_resource_id from txo window w as (partition by episode_id order by start_ms,event_id))""",
     "trialspec": "select * from (values ('T0',0.9e0),('T1',0.95e0),('T2',1.2e0),('T3',1.15e0),('T4',1.0e0),('T5',1.05e0),('T6',1.3e0),('T7',0.7e0)) t(trial,bonus)",
     "trials": f"""
- select *, {softmax('logits')} as p from (select q.*, trial, list_transform(range(len(keys)), lambda i: ({h('trial', 'id::varchar', 'task', 'keys[i+1]')}%6000)/1000e0
+ select *, {settled(softmax('logits'))} as p from (select q.*, trial, list_transform(range(len(keys)), lambda i: ({h('trial', 'id::varchar', 'task', 'keys[i+1]')}%6000)/1000e0
    + case when i=label then bonus else 0e0 end) as logits from questions q cross join trialspec)""",
 }
 for _m in "AB":
-    CTES[f"dec{_m}"] = f"select *, {softmax('logits')} as p, 'clean' as variant from (select *, {_z(_m)} as logits from questions)"
-    CTES[f"perm{_m}"] = f"select *, {softmax('logits')} as p, 'permuted' as variant from (select *, {_z(_m, 'perm')} as logits from permq)"
+    CTES[f"dec{_m}"] = f"select *, {settled(softmax('logits'))} as p, 'clean' as variant from (select *, {_z(_m)} as logits from questions)"
+    CTES[f"perm{_m}"] = f"select *, {settled(softmax('logits'))} as p, 'permuted' as variant from (select *, {_z(_m, 'perm')} as logits from permq)"
     CTES[f"unk{_m}"] = f"""
- select id, group_id, 'unknowable' as source, task, type, keys, label, {softmax('logits')} as p, id as control_id from (
+ select id, group_id, 'unknowable' as source, task, type, keys, label, {settled(softmax('logits'))} as p, id as control_id from (
    select * exclude(logits,p), list_transform(keys, lambda k: ({h(repr(_m + 'unk'), 'id::varchar', 'task', 'k')}%1500)/1000e0) as logits from dec{_m} where {h("'unk'", 'id::varchar')}%10=0)
  union all select id, group_id, 'unknowable_control', task, type, keys, label, p, null from dec{_m} where {h("'unk'", 'id::varchar')}%10=0"""
 # per-row scores of a prediction table
 SCORES = """
- select *, list_position(p,list_max(p))-1=label as ok, round(list_max(p),6) as conf,
+ select *, list_position(p,list_max(p))-1=label as ok, list_max(p) as conf,
   ln(list_sum(list_transform(logits, lambda x: exp(x-list_max(logits)))))-(logits[label+1]-list_max(logits)) as nll,
   list_sum(list_transform(range(len(p)), lambda i: pow(p[i+1]-case when i=label then 1 else 0 end,2))) as brier,
   case when type='score' then abs(list_sum(list_transform(range(len(p)), lambda i: p[i+1]*i))-label) end as mae,
@@ -124,7 +128,7 @@ for _m in "AB":
 CTES["views"] = f"""select txo.*, v.profile from txo cross join (values ('full'),('prefix_loss'),('sampled_loss')) v(profile) where v.profile='full' or (v.profile='prefix_loss' and ordinal>=2)
  or (v.profile='sampled_loss' and {h("'mask'", 'group_id', 'ordinal::varchar')}/4294967296e0<0.8e0)"""
 for _m, _b in (("A", "1.2"), ("B", "0.9")):
-    CTES[f"win{_m}"] = f"""select *, {softmax('logits')} as p from (select *, list_transform(range(3), lambda i: ({h(repr('w' + _m), 'id', 'keys[i+1]')}%6000)/1000e0+case when i=label then {_b}e0 else 0e0 end) as logits from (
+    CTES[f"win{_m}"] = f"""select *, {settled(softmax('logits'))} as p from (select *, list_transform(range(3), lambda i: ({h(repr('w' + _m), 'id', 'keys[i+1]')}%6000)/1000e0+case when i=label then {_b}e0 else 0e0 end) as logits from (
  select substr(sha256(episode_id||':'||profile||':'||w),1,24) as id, group_id, episode_id as parent, 'ops_'||family as source, split, regime, profile as view, case when profile='full' then 'clean' else profile end as variant,
  ['human','script','agent'] as keys, list_position(['human','script','agent'],origin)-1 as label, n_requests, 'choice' as type from (
  select episode_id, group_id, split, regime, family, origin, profile, ordinal//4 as w, count(*) as n_requests from views group by all)))"""

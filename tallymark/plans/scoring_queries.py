@@ -176,7 +176,7 @@ def order_runs(t, n=3):
 
 
 @query("M16_order_stability", sql(f"""select task, count(*) as n, {R('quantile_cont(gap,0.9)')} as p90_spread, {R('avg(case when mn<>mx then 1e0 else 0e0 end)')} as flip_rate, {R('avg(gap)')} as mean_spread from (
- select task, id, round(max(p[list_position(ks,truth)])-min(p[list_position(ks,truth)]),6) as gap, min(ks[list_position(p,list_max(p))]) as mn, max(ks[list_position(p,list_max(p))]) as mx from (
+ select task, id, max(p[list_position(ks,truth)])-min(p[list_position(ks,truth)]) as gap, min(ks[list_position(p,list_max(p))]) as mn, max(ks[list_position(p,list_max(p))]) as mx from (
  select *, {softmax('z')} as p from (select *, list_transform(ks, lambda k: ({h("'ord'", 'o::varchar', 'id::varchar', 'task', 'k')}%1000)/1000e0 + ({h("'A'", 'id::varchar', 'task', 'k')}%6000)/1000e0) as z from (
    select *, keys[label+1] as truth, case when o=0 then keys else list_transform(list_sort(list_transform(keys, lambda k: sha256(id||':'||o||':'||k)||k)), lambda s: s[65:]) end as ks
    from questions cross join (values (0),(1),(2)) v(o)))) group by task,id) group by task""", "questions"))
@@ -240,7 +240,7 @@ def _(t):
 
 
 @query("M21_iia_shift", sql(f"""select count(*) as n, {R('quantile_cont(abs(s),0.9)')} as p90_abs_shift, {R('avg(abs(s))')} as mean_abs_shift, {R('avg(s)')} as mean_shift from (
- select round((ln(greatest(p1[ia],1e-6))-ln(greatest(p1[ib],1e-6)))-(ln(greatest(p[ia],1e-6))-ln(greatest(p[ib],1e-6))),6) as s from (
+ select (ln(greatest(p1[ia],1e-6))-ln(greatest(p1[ib],1e-6)))-(ln(greatest(p[ia],1e-6))-ln(greatest(p[ib],1e-6))) as s from (
  select *, o[1].i as ia, o[2].i as ib, {softmax('z1')} as p1 from (
  select *, list_sort(list_transform(range(len(p)), lambda i: {{'s': -p[i+1], 'i': i+1}})) as o, list_transform(keys||['zz'], lambda k: ({h("'Aext'", 'id::varchar', 'task', 'k')}%6000)/1000e0) as z1 from decA where type='choice')))""", "decA"))
 def _(t):

@@ -28,8 +28,11 @@ def local_session(app="tallymark", cpus=None, shuffle_partitions=8, memory="8g")
 
 
 def checkpoint_dir(spark):
-    """The shared checkpoint folder the session names. Only where it names none (tests, local mode) is a folder made."""
+    """The shared checkpoint folder the session names. Only in local mode, where it names none, is a folder made: executors on
+    other machines could not see it."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="tallymark-")
     if not spark.sparkContext.getCheckpointDir():

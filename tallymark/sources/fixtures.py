@@ -32,13 +32,6 @@ def lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def spread_small(df):
-    """Redistribute a table whose few, small files would otherwise be read and hashed by one or two tasks. Tables with
-    enough splits (every large one) are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 class Tables:
     """The given tables and the ones derived from them."""
 
@@ -48,7 +41,7 @@ class Tables:
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
-        return spread_small(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # ---- prediction rows -------------------------------------------------------------------------------------------
     def questions(self):
@@ -71,7 +64,7 @@ class Tables:
         salt = model if salt is None else salt
         z = F.transform("keys", lambda k, i: (h32(F.lit(salt), F.col("id"), F.col("task"), k) % 6000) / F.lit(1000.0)
                         + F.when(i == F.col("label"), F.lit(float(b))).otherwise(0.0))
-        return (self.questions().withColumn("logits", z).withColumn("p", V.softmax("logits"))
+        return (self.questions().withColumn("logits", z).withColumn("p", V.settled(V.softmax("logits")))
                 .withColumn("question", F.col("task")).withColumn("variant", F.lit("clean"))
                 .withColumn("parent", F.col("id")).withColumn("inference_temperature", F.lit(1.0)))
 
@@ -83,7 +76,7 @@ class Tables:
         base = base.withColumn("label", (F.array_position("keys", F.col("truth")) - 1).cast("int"))
         z = F.transform("keys", lambda k, i: (h32(F.lit(model + "perm"), F.col("id"), F.col("task"), k) % 6000) / F.lit(1000.0)
                         + F.when(i == F.col("label"), F.lit(BONUS[model])).otherwise(0.0))
-        return (base.withColumn("logits", z).withColumn("p", V.softmax("logits")).withColumn("question", F.col("task"))
+        return (base.withColumn("logits", z).withColumn("p", V.settled(V.softmax("logits"))).withColumn("question", F.col("task"))
                 .withColumn("variant", F.lit("permuted")).withColumn("parent", F.col("id")).drop("truth"))
 
     def paired(self, model="A"):
@@ -98,7 +91,7 @@ class Tables:
         """Every tenth order also has an evidence-removed twin; the intact row is its control."""
         d = self.decisions(model).filter(h32("unk", F.col("id")) % 10 == 0)
         flat = F.transform("keys", lambda k: (h32(F.lit(model + "unk"), F.col("id"), F.col("task"), k) % 1500) / F.lit(1000.0))
-        u = (d.withColumn("logits", flat).withColumn("p", V.softmax("logits")).withColumn("source", F.lit("unknowable"))
+        u = (d.withColumn("logits", flat).withColumn("p", V.settled(V.softmax("logits"))).withColumn("source", F.lit("unknowable"))
              .withColumn("control_id", F.col("id")))
         c = d.withColumn("source", F.lit("unknowable_control")).withColumn("control_id", F.lit(None).cast("bigint"))
         return u.unionByName(c)
@@ -177,7 +170,7 @@ class Tables:
                      (F.array_position(keys, F.col("origin")) - 1).cast("int").alias("label"), "n_requests", F.lit("choice").alias("type"),
                      F.lit("operator_origin").alias("question"), F.lit("operator_origin").alias("task"))
         z = F.transform("keys", lambda k, i: (h32(F.lit("w" + model), F.col("id"), k) % 6000) / F.lit(1000.0) + F.when(i == F.col("label"), F.lit(BONUS[model])).otherwise(0.0))
-        return w.withColumn("logits", z).withColumn("p", V.softmax("logits")).withColumn("inference_temperature", F.lit(1.0))
+        return w.withColumn("logits", z).withColumn("p", V.settled(V.softmax("logits"))).withColumn("inference_temperature", F.lit(1.0))
 
     # ---- experiment ledger -----------------------------------------------------------------------------------------
     def trials(self):
@@ -186,7 +179,7 @@ class Tables:
         q = self.questions().select("*", F.inline(spec))
         z = F.transform("keys", lambda k, i: (h32(F.col("trial"), F.col("id"), F.col("task"), k) % 6000) / F.lit(1000.0)
                         + F.when(i == F.col("label"), F.col("bonus")).otherwise(0.0))
-        return q.withColumn("logits", z).withColumn("p", V.softmax("logits")).drop("bonus")
+        return q.withColumn("logits", z).withColumn("p", V.settled(V.softmax("logits"))).drop("bonus")
 
 
 # option bonus per trial: trials 2r and 2r+1 are the two seeds of recipe r (fixed values)

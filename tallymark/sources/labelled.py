@@ -2,11 +2,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import counted_broadcast
 from ..functions.text import first_words, sha, state_key
 from ..session import settle
 
 MAX_OPTIONS = 255
-MAX_SPLITS = 2_000_000
+SPLIT_BYTES = 400           # a row of the table of file splits, file path included
 QUESTION = "struct<type:string,instructions:string,criteria:string,label:variant,target:string>"
 RECORD = f"state string, questions map<string,{QUESTION}>, _bad string"
 
@@ -24,20 +25,23 @@ def number_lines(df):
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = settle(sizes.select("file", "block", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")))
     # one row per file split: broadcast after a look at its size, so that the lines themselves are not shuffled
-    out = base.join(F.broadcast(sizes) if sizes.count() <= MAX_SPLITS else sizes, ["file", "block"])
+    out = base.join(counted_broadcast(sizes, SPLIT_BYTES), ["file", "block"])
     return out.select("value", "file", (F.col("_off") + F.col("_m") - F.col("_m0") + 1).alias("line"))
 
 
 def read_labelled_jsonl(spark, path, source):
     """(records, problems). Blank lines are skipped; a line that is not a JSON object, or whose record breaks a rule,
-    becomes a problem row with its line number."""
-    lines = number_lines(spark.read.text(path)).filter(F.trim("value") != "")
+    becomes a problem row with its line number. Ids are source and line; where the path holds several files, a digest of the file stands between."""
+    text = spark.read.text(path)
+    many = len(text.inputFiles()) > 1
+    lines = number_lines(text).filter(F.trim("value") != "")
+    name = F.concat_ws("/", F.lit(source), *([F.substring(F.sha2("file", 256), 1, 12)] if many else []), F.col("line").cast("string"))
     parsed = lines.withColumn("r", F.from_json("value", RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     parsed = parsed.withColumn("problems", F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.array(F.lit("not_json")))
                                .otherwise(record_problems(F.col("r.state"), F.col("r.questions"))))
     bad = parsed.filter(F.size("problems") > 0).select("file", "line", F.explode("problems").alias("problem"))
     good = parsed.filter(F.size("problems") == 0).select(
-        F.concat_ws("/", F.lit(source), F.col("line").cast("string")).alias("id"), F.concat_ws("/", F.lit(source), F.col("line").cast("string")).alias("group_id"),
+        name.alias("id"), name.alias("group_id"),
         F.col("r.state").alias("state"), F.col("r.questions").alias("questions"), F.lit("clean").alias("variant"), F.lit(source).alias("source"),
         state_key(F.col("r.state")).alias("text_sha256"), "line")
     return good, bad
@@ -166,13 +170,12 @@ def adapt_eval_rows(df):
         F.transform_values("published", lambda m, w: F.map_from_arrays("option_ids", w)).alias("published"))
 
 
-def merge_questions_by_state(df, limit=3):
-    """Rows with byte-equal state become one record with up to `limit` questions, in question-id order. Only the first
-    `limit` questions of a state can ever be used, so the rest is dropped before anything is collected."""
-    w = Window.partitionBy("state").orderBy("qid", "id")
-    kept = df.select("id", "state", "qid", "instructions", "label", F.row_number().over(w).alias("_k")).filter(F.col("_k") <= limit)
-    g = kept.groupBy("state").agg(F.min("id").alias("id"), F.array_sort(F.collect_list(F.struct("_k", "qid", "instructions", "label"))).alias("questions"))
-    return g.withColumn("n_questions", F.size("questions").cast("bigint"))
+def merge_questions_by_state(df):
+    """Rows with byte-equal state become one record with one question per question id, in question-id order. Of several rows
+    with one state and question id the last (by id) wins. States meet by digest; the text travels as a value."""
+    last = df.groupBy(F.sha2("state", 256).alias("_k"), "qid").agg(F.min("id").alias("id"), F.max_by(F.struct("instructions", "label"), "id").alias("_q"), F.min("state").alias("state"))
+    g = last.groupBy("_k").agg(F.min("id").alias("id"), F.min("state").alias("state"), F.array_sort(F.collect_list(F.struct("qid", F.col("_q.instructions").alias("instructions"), F.col("_q.label").alias("label")))).alias("questions"))
+    return g.drop("_k").withColumn("n_questions", F.size("questions").cast("bigint"))
 
 
 def training_log_to_table(df, by="file"):

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.curate import row_digest
+from ..session import work_dir
 
 SPLITS = ("train", "calibration", "development", "test")
 
@@ -67,13 +68,17 @@ def write_native_corpus(ledger, views, out):
 
 
 def write_scored(scored, report, out, allowed=("too_long",)):
-    """Prediction rows, the rejected list and the summary as separate tables. A rejection for any other reason aborts
-    before anything is written."""
-    bad = scored.filter(F.col("reject_reason").isNotNull() & ~F.col("reject_reason").isin(*allowed))
+    """Prediction rows, the rejected list and the summary as separate tables. The rows are scored once, into a staging table in
+    the shared work folder; a rejection for any other reason aborts before a result is written. `report` makes the one-row
+    summary from the staged rows."""
+    spark = scored.sparkSession
+    staging = work_dir(spark, "scored-staging")
+    scored.write.parquet(staging)
+    staged = spark.read.schema(scored.schema).parquet(staging)
+    bad = staged.filter(F.col("reject_reason").isNotNull() & ~F.col("reject_reason").isin(*allowed))
     if not bad.isEmpty():
         raise ValueError("scoring failed for a reason other than size; no partial report")
-    scored.filter(F.col("reject_reason").isNull()).drop("reject_reason").write.mode("errorifexists").parquet(f"{out}/rows")
-    scored.filter(F.col("reject_reason").isNotNull()).select("id", "question", "reject_reason").write.mode("errorifexists").parquet(f"{out}/rejected")
-    report.coalesce(1).write.mode("errorifexists").parquet(f"{out}/summary")   # a one-row summary
-    spark = scored.sparkSession
+    staged.filter(F.col("reject_reason").isNull()).drop("reject_reason").write.mode("errorifexists").parquet(f"{out}/rows")
+    staged.filter(F.col("reject_reason").isNotNull()).select("id", "question", "reject_reason").write.mode("errorifexists").parquet(f"{out}/rejected")
+    report(staged).coalesce(1).write.mode("errorifexists").parquet(f"{out}/summary")   # a one-row summary
     return spark.read.parquet(f"{out}/rows"), spark.read.parquet(f"{out}/rejected"), spark.read.parquet(f"{out}/summary")

@@ -21,8 +21,9 @@ def replay(df, order, slices=4, flush=None):
     files = max(1, total // (slices * ROWS_PER_FILE))
     edges = [None, *(edges or []), None]
     for lo, hi in zip(edges[:-1], edges[1:]):
-        part = df if lo is None else df.filter(F.col(order) > lo)
-        part = part if hi is None else part.filter(F.col(order) <= hi)
+        inside = F.lit(True) if lo is None else F.col(order) > lo
+        inside = inside if hi is None else inside & (F.col(order) <= hi)
+        part = df.filter(inside | F.col(order).isNull() if lo is None else inside)       # rows without an order come first
         part.repartition(files).write.mode("append").parquet(path)
     if flush is not None:
         flush.select(*df.columns).coalesce(1).write.mode("append").parquet(path)     # one row
