@@ -27,6 +27,8 @@ NODE_LIMIT = 256          # largest node compared exhaustively
 MOST_LEVELS = 5           # levels before a node counts as dense
 SLACK = 4.0               # standard deviations below the threshold at which a pair is still a candidate
 DENSE = 4                 # candidates per member above which a node keeps a spanning forest only
+DENSE_BLOCK = 1024        # rows of a dense node's largest component that stand in one block
+BITS = 4096               # bits of the set summary that bounds an intersection from above
 MOST_WORDS = 1_000_000
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -72,18 +74,27 @@ def minwise(s):
     return (least & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
 
 
+def set_bits(s):
+    """BITS-wide bitmap of a set: a bit that only one of two sets has stands for at least one element that only it has."""
+    flags = np.zeros(BITS, np.uint8)
+    flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
 def _sketches(width):
     def run(batches):
         cache = _Words()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in grouped(texts):
-                sizes, digests, rows = [], [], []
+                sizes, digests, rows, bits = [], [], [], []
                 for s in shingle_sets(texts[lo:hi], width, cache):
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     rows.append(minwise(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int16()))], ["doc_id", "n_shingles", "class", "minwise"])
+                    bits.append(set_bits(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int16())), pa.array(bits, pa.binary())],
+                                                 ["doc_id", "n_shingles", "class", "minwise", "bits"])
     return run
 
 
@@ -113,9 +124,9 @@ def _roots(classes):
     return _branch(trees, F.xxhash64("_tree")).drop("_tree")
 
 
-def _candidates(node, sizes, sig, component, least, ratio):
-    """Index pairs within equal nodes of sorted rows whose sizes and minwise values allow the threshold, with the number of
-    equal values. Rows of one component are not paired."""
+def _candidates(node, sizes, sig, component, guest, bits, least, ratio):
+    """Index pairs within equal nodes of sorted rows whose sizes, minwise values and set bitmaps allow the threshold, with the
+    number of equal minwise values. Rows of one component and two guests are not paired."""
     first, second, equal = [], [], []
     live = np.arange(len(node))
     for d in range(1, len(node)):
@@ -127,9 +138,15 @@ def _candidates(node, sizes, sig, component, least, ratio):
         ok = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j]) - 1e-9
         if component is not None:
             ok &= component[i] != component[j]
+        if guest is not None:
+            ok &= ~(guest[i] & guest[j])
         i, j = i[ok], j[ok]
         same = (sig[i] == sig[j]).sum(axis=1)
         ok = same >= least
+        if bits is not None and ok.any():
+            i, j, same = i[ok], j[ok], same[ok]
+            most = np.minimum(sizes[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64), sizes[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64))
+            ok = most * (1 + ratio) >= ratio * (sizes[i] + sizes[j]) - 1e-6
         first.append(i[ok]), second.append(j[ok]), equal.append(same[ok])
     if not first:
         return (np.zeros(0, np.int64),) * 3
@@ -180,10 +197,13 @@ def _compare(threshold, whole_nodes, cross_only):
             block, node = (t.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node"))
             sizes = t.column("n").to_numpy(zero_copy_only=False)
             sig = t.column("minwise").flatten().to_numpy(zero_copy_only=False).reshape(n, COORDINATES)
-            component = None
+            component = guest = bits = None
+            if "bits" in t.schema.names:
+                guest = t.column("guest").to_numpy(zero_copy_only=False)
+                bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(n, BITS // 64)
             if cross_only:
                 component = t.column("component").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            i, j, equal = _candidates(block, sizes, sig, component, least, threshold)
+            i, j, equal = _candidates(block, sizes, sig, component, guest, bits, least, threshold)
             flagged = np.zeros(0, np.int64)
             if not whole_nodes and len(i):
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [n]])
@@ -210,7 +230,7 @@ def _compare(threshold, whole_nodes, cross_only):
 
 
 def _in_blocks(rows, threshold, whole_nodes, cross_only=False):
-    columns = ["block", "node", "class", "n", "minwise"] + (["component"] if cross_only else [])
+    columns = ["block", "node", "class", "n", "minwise"] + [c for c in ("component", "guest", "bits") if cross_only and c in rows.columns]
     dealt = rows.select(*columns).repartition("block").sortWithinPartitions("block", "class")
     return dealt.mapInArrow(_compare(threshold, whole_nodes, cross_only), "node bigint, a binary, b binary")
 
@@ -251,45 +271,48 @@ def components(links):
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def _second_round(classes, flagged, found, threshold):
-    """Candidates between components in the nodes that the first round cut short, after branching them further."""
+def _second_round(classes, bits, flagged, found, threshold):
+    """Candidates between components in the nodes that the first round cut short. Small nodes are compared in full; nodes with
+    one component in the majority are dense and handled by `_dense`; the others branch, down to MOST_LEVELS."""
     comps = components(found)
     labelled = classes.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     labelled = stored(labelled, "labelled-classes")
     rows = _roots(labelled).join(small_side(flagged, 24), "node", "left_semi")
-    leaves = []
+    parts = []
     for level in range(1, MOST_LEVELS + 1):
         rows = stored(rows, f"level-{level}")
         shape = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         mixed = stored(shape.filter("_lo <> _hi").select(F.col("node").alias("_node"), "size"), f"sizes-{level}")
         rows = rows.join(small_side(mixed, 32), F.col("node") == F.col("_node")).drop("_node")
-        leaves.append(rows.filter(F.col("size") <= NODE_LIMIT).withColumn("block", F.col("node")).drop("size"))
+        parts.append(_in_blocks(rows.filter(F.col("size") <= NODE_LIMIT).withColumn("block", F.col("node")), threshold, True, True))
         rows = rows.filter(F.col("size") > NODE_LIMIT)
         if not mixed.filter(F.col("size") > NODE_LIMIT).limit(1).count():
-            rows = None
             break
-        if level < MOST_LEVELS:
-            rows = _branch(rows.drop("size").withColumnRenamed("node", "_parent"), F.col("_parent")).drop("_parent")
-    pairs = None
-    for leaf in leaves:
-        one = _in_blocks(leaf, threshold, True, True)
-        pairs = one if pairs is None else pairs.union(one)
-    if rows is not None:
-        pairs = pairs.union(_dense(rows, threshold))
+        per = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_k"), F.first("size").alias("size"))
+        top = per.groupBy("node").agg(F.max_by("component", F.struct("_k", "component")).alias("_top"), (F.max("_k") * 2 >= F.max("size")).alias("_dense"))
+        top = small_side(stored(top.withColumnRenamed("node", "_node"), f"dense-{level}"), 64)
+        rows = rows.join(top, F.col("node") == F.col("_node")).drop("_node")
+        last = level == MOST_LEVELS
+        parts.append(_dense(rows if last else rows.filter("_dense"), bits, threshold))
+        if last:
+            break
+        rows = rows.filter("not _dense").drop("size", "_top", "_dense").withColumnRenamed("node", "_parent")
+        rows = _branch(rows, F.col("_parent")).drop("_parent")
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.union(p)
     return pairs.select("a", "b").distinct()
 
 
-def _dense(rows, threshold):
-    """Nodes that stay large: their largest component is cut into blocks, and every other row visits all blocks of its node,
-    so each pair of different components meets, and pairs inside the largest component are never formed."""
-    per = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_k"), F.first("size").alias("size"))
-    top = stored(per.groupBy("node").agg(F.max_by("component", F.struct("_k", "component")).alias("_top"), F.max("size").alias("_size")).withColumnRenamed("node", "_node"), "dense")
-    rows = rows.join(small_side(top, 64), F.col("node") == F.col("_node")).drop("_node")
-    parts = F.ceil(F.col("_size") / NODE_LIMIT).cast("int")
-    own = F.pmod(F.xxhash64("class"), parts).cast("int")
-    visits = F.when(F.col("component") == F.col("_top"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
-    placed = rows.withColumn("_part", F.explode(visits)).withColumn("block", F.xxhash64("node", "_part"))
-    return _in_blocks(placed, threshold, True, True)
+def _dense(rows, bits, threshold):
+    """Nodes that stay large: the largest component is cut into blocks and every other row visits all blocks of its node, so
+    each pair of different components meets and pairs inside the largest are never formed. Bitmaps of the sets bound the
+    intersections from above, which leaves few pairs below the threshold to be confirmed."""
+    blocks = F.ceil(F.col("size") / DENSE_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    visits = F.when(F.col("component") == F.col("_top"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    placed = rows.join(bits, "class").withColumn("_part", F.explode(visits)).withColumn("block", F.xxhash64("node", "_part"))
+    return _in_blocks(placed.withColumn("guest", (F.col("component") != F.col("_top")) & (F.col("_part") > 0)), threshold, True, True)
 
 
 def near_duplicates(docs, shingle=5, threshold=0.8):
@@ -300,11 +323,11 @@ def near_duplicates(docs, shingle=5, threshold=0.8):
     are linked with nothing. Repeated rows with one doc_id all keep; rows with equal ids and different texts are judged
     by their text. Null doc_ids are linked like others, but are never a component's smallest id unless it has no other."""
     docs = docs.select("doc_id", "text")
-    base = stored(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(_sketches(shingle), "doc_id bigint, n_shingles bigint, class binary, minwise array<smallint>"), "sketches")
+    base = stored(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(_sketches(shingle), "doc_id bigint, n_shingles bigint, class binary, minwise array<smallint>, bits binary"), "sketches")
     filled = base.filter("class is not null")
-    classes = stored(filled.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise")), "classes")
+    classes = stored(filled.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), F.first("bits").alias("bits")), "classes")
     members = classes.select("class", "first_id")
-    sketches = classes.drop("first_id")
+    sketches = classes.drop("first_id", "bits")
 
     rows = _roots(sketches)
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > NODE_LIMIT)
@@ -316,7 +339,7 @@ def near_duplicates(docs, shingle=5, threshold=0.8):
     links = stored(_confirm(stored(first.filter("node is null").select("a", "b"), "pairs"), docs, members, threshold, shingle), "links")
     flagged = stored(first.filter("node is not null").select("node").union(big.select(F.col("_node").alias("node"))).distinct(), "cut-nodes")
     if flagged.limit(1).count():
-        more = stored(_second_round(sketches, flagged, links, threshold), "second-round")
+        more = stored(_second_round(sketches, classes.select("class", "bits"), flagged, links, threshold), "second-round")
         links = links.union(_confirm(more, docs, members, threshold, shingle))
     comps = components(links)
     named = members.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
