@@ -88,16 +88,17 @@ BUDGET = 400
  case when g.used+s.size>{BUDGET} then g.win+1 else g.win end from g join s on s.episode_id=g.episode_id and s.pos=g.pos+1"""))
 def _(t):
     tx = t.tx_ordered()
-    lines = tx.select("episode_id", "request_id", "ordinal", (60 + F.length("path") + F.length("request_body") + F.length("response_body")).cast("bigint").alias("size"), F.col("response_collected_ms").alias("arrival_ms"))
-    s = core.replay(lines, "arrival_ms", flush=flush_row(lines, "arrival_ms"))
+    lines = tx.select("episode_id", "request_id", "ordinal", (60 + F.length("path") + F.length("request_body") + F.length("response_body")).cast("bigint").alias("size"), F.col("start_ms").alias("occurred_ms"), F.col("response_collected_ms").alias("arrival_ms"))
+    s = core.replay(lines, "arrival_ms", slices=20, flush=flush_row(lines, "occurred_ms"))
     return core.drain(jobs.budget_windows_stream(s, BUDGET), "windows").filter("episode_id <> 'flush'")
 
 
 def monitored(t):
     c = AU.seed_chain_defects(t.tx_chain())
     x = h32("mdef", F.col("event_id")) % 50
+    c = c.withColumn("occurred_ms", F.col("start_ms"))
     c = c.withColumn("service_ms", F.when(x == 0, F.col("service_ms") - 90000000).otherwise(F.col("service_ms"))).withColumn("start_ms", F.when(x == 1, F.col("start_ms") - 90000000).otherwise(F.col("start_ms")))
-    return c.select("episode_id", "request_id", "ordinal", "actor_id", "start_ms", "service_ms", "completed_ms", F.col("status").cast("bigint").alias("status"), "before_hash", "after_hash", F.col("response_collected_ms").alias("arrival_ms"))
+    return c.select("episode_id", "request_id", "ordinal", "actor_id", "start_ms", "service_ms", "completed_ms", F.col("status").cast("bigint").alias("status"), "before_hash", "after_hash", "occurred_ms", F.col("response_collected_ms").alias("arrival_ms"))
 
 
 @query("W6_order_monitor", sql("select episode_id, subject as request_id, code from (" + codes_sql("l", [("request_order", "ps is null or start_ms>=ps"), ("service_order", "pc is null or service_ms>=pc"), ("actor_overlap", "pa is null or start_ms>=pa"), ("broken_state_chain", "ph is null or before_hash=ph"),
@@ -106,7 +107,7 @@ def monitored(t):
                                l="select *, lag(start_ms) over w as ps, lag(completed_ms) over w as pc, lag(after_hash) over w as ph, lag(completed_ms) over (partition by episode_id, actor_id order by ordinal) as pa from md window w as (partition by episode_id order by ordinal)"))
 def _(t):
     m = monitored(t)
-    s = core.replay(m, "arrival_ms", flush=flush_row(m, "arrival_ms"))
+    s = core.replay(m, "arrival_ms", slices=20, flush=flush_row(m, "occurred_ms"))
     return core.drain(jobs.order_monitor(s), "monitor").filter("episode_id <> 'flush'")
 
 

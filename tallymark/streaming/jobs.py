@@ -56,38 +56,42 @@ def activity_sessions(tx, gap, delay="10 minutes"):
 
 
 # ---- ordered state -------------------------------------------------------------------------------------------------
-def _ordered_state(process, columns, order):
-    """A state function that holds rows until the watermark has passed their arrival time, then hands them to `process` in
-    order. State: the processor's own values plus the rows still waiting (those of one watermark delay)."""
+def _ordered_state(process, columns, order, idle_ms):
+    """A state function that holds rows until the watermark has passed their event time - no earlier row of the key can come
+    after that - and then hands them to `process` in `order`, which must not run against event time. State: the processor's own typed
+    values, the last event time, and the rows still waiting (those of one watermark delay). A key with nothing waiting is
+    forgotten once the watermark is `idle_ms` past its last row."""
     def run(key, batches, state):
-        held, memory = [], None
+        memory, last, held = None, 0, []
         if state.exists:
-            memory, *rest = state.get
-            held = list(zip(*rest)) if len(rest[0]) else []
-        if state.hasTimedOut:
-            ready, waiting = held, []
-        else:
-            mark = state.getCurrentWatermarkMs()
-            for pdf in batches:
-                held += list(pdf[["arrival_ms", *columns]].itertuples(index=False, name=None))
-            ready = [r for r in held if r[0] <= mark]
-            waiting = [r for r in held if r[0] > mark]
-        ready.sort(key=lambda r: tuple(r[1 + columns.index(o)] for o in order))
+            *memory, last, times = state.get[:-len(columns)]
+            held = list(zip(times, *state.get[-len(columns):]))
+        mark = state.getCurrentWatermarkMs()
+        for pdf in () if state.hasTimedOut else batches:
+            held += list(pdf[["occurred_ms", *columns]].itertuples(index=False, name=None))
+        last = max([last, *(int(r[0]) for r in held)])
+        ready = sorted((r for r in held if r[0] <= mark), key=lambda r: tuple(r[1 + columns.index(o)] for o in order))
+        waiting = [r for r in held if r[0] > mark]
         memory, out = process(key, memory, [dict(zip(columns, r[1:])) for r in ready])
-        cols = [list(c) for c in zip(*waiting)] if waiting else [[] for _ in range(1 + len(columns))]
-        state.update((memory, *cols))
-        if waiting:
-            state.setTimeoutTimestamp(max(max(r[0] for r in waiting), state.getCurrentWatermarkMs() + 1))
+        if not waiting and mark > last + idle_ms:
+            state.remove()
+        else:
+            state.update((*memory, last, *([list(c) for c in zip(*waiting)] if waiting else [[] for _ in range(1 + len(columns))])))
+            state.setTimeoutTimestamp(max(mark + 1, int(min(r[0] for r in waiting)) if waiting else last + idle_ms))
         if out:
             yield pd.DataFrame(out)
     return run
 
 
-def budget_windows_stream(lines, budget, delay="10 minutes"):
+IDLE_MS = 14 * 24 * 3600 * 1000
+
+
+def budget_windows_stream(lines, budget, delay="10 minutes", idle_ms=IDLE_MS):
     """Greedy budget windows with the open window carried in state. lines = (episode_id, request_id, ordinal, size,
-    arrival_ms). A line larger than the budget stops the job."""
+    occurred_ms), ordinals rising with event time. A line larger than the budget stops the job. Lines later than `delay` are dropped; an episode
+    silent for `idle_ms` of event time is forgotten, and a line after that would open its windows at 0 again."""
     def process(key, memory, rows):
-        window, used = (int(v) for v in (memory or "0,0").split(","))
+        window, used = memory or (0, 0)
         out = []
         for r in rows:
             if r["size"] > budget or r["size"] < 1:
@@ -96,24 +100,20 @@ def budget_windows_stream(lines, budget, delay="10 minutes"):
                 window, used = window + 1, 0
             used += r["size"]
             out.append({"episode_id": key[0], "request_id": r["request_id"], "window": window})
-        return f"{window},{used}", out
+        return (int(window), int(used)), out
     cols = ["request_id", "ordinal", "size"]
-    t = timed(lines, "arrival_ms").withWatermark("event_time", delay)
+    t = timed(lines, "occurred_ms").withWatermark("event_time", delay)
     return t.groupBy("episode_id").applyInPandasWithState(
-        _ordered_state(process, cols, ["ordinal"]), "episode_id string, request_id string, window bigint",
-        "memory string, arrival_ms array<bigint>, request_id array<string>, ordinal array<bigint>, size array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        _ordered_state(process, cols, ["ordinal"], idle_ms), "episode_id string, request_id string, window bigint",
+        "window bigint, used bigint, last bigint, occurred_ms array<bigint>, request_id array<string>, ordinal array<bigint>, size array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def order_monitor(tx, delay="10 minutes"):
+def order_monitor(tx, delay="10 minutes", idle_ms=IDLE_MS):
     """Order and state-chain findings per episode from the last start, completion and hash, and each actor's last
-    completion."""
+    completion. `occurred_ms` is the event time that rises with the ordinals; late and idle rows as in W5."""
     def process(key, memory, rows):
-        start, done, state_hash, ready = -1, -1, "", {}
-        if memory:
-            head, *actors = memory.split("|")
-            s, d, state_hash = head.split(",")
-            start, done = int(s), int(d)
-            ready = {a: int(v) for a, v in (x.split(",") for x in actors)}
+        start, done, state_hash, actors, ends = memory or (-1, -1, "", [], [])
+        ready = dict(zip(actors, ends))
         out = []
         for r in rows:
             found = []
@@ -126,13 +126,13 @@ def order_monitor(tx, delay="10 minutes"):
             out += [{"episode_id": key[0], "request_id": r["request_id"], "code": c} for c in found]
             start, done, state_hash = r["start_ms"], r["completed_ms"], r["after_hash"]
             ready[r["actor_id"]] = r["completed_ms"]
-        return "|".join([f"{start},{done},{state_hash}", *[f"{a},{v}" for a, v in ready.items()]]), out
+        return (int(start), int(done), state_hash, list(ready), [int(v) for v in ready.values()]), out
     cols = ["request_id", "ordinal", "actor_id", "start_ms", "service_ms", "completed_ms", "status", "before_hash", "after_hash"]
     kinds = {"request_id": "string", "actor_id": "string", "before_hash": "string", "after_hash": "string"}
-    t = timed(tx, "arrival_ms").withWatermark("event_time", delay)
+    t = timed(tx, "occurred_ms").withWatermark("event_time", delay)
     return t.groupBy("episode_id").applyInPandasWithState(
-        _ordered_state(process, cols, ["ordinal"]), "episode_id string, request_id string, code string",
-        "memory string, arrival_ms array<bigint>, " + ", ".join(f"{c} array<{kinds.get(c, 'bigint')}>" for c in cols), "append", GroupStateTimeout.EventTimeTimeout)
+        _ordered_state(process, cols, ["ordinal"], idle_ms), "episode_id string, request_id string, code string",
+        "start bigint, done bigint, state_hash string, actors array<string>, ends array<bigint>, last bigint, occurred_ms array<bigint>, " + ", ".join(f"{c} array<{kinds.get(c, 'bigint')}>" for c in cols), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_calibration(rows):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import audits as AU
 from tallymark.operators import events as B
+from tallymark.session import work_dir
 from tallymark.streaming import core, jobs
 
 
@@ -38,15 +39,44 @@ def test_over_budget_line_is_an_error(spark):
         B.budget_windows(d, 10).collect()
 
 
-def test_stream_windows_equal_batch(spark):
-    rng = random.Random(5)
-    rows = [(f"e{k}", f"r{k}-{i}", i, rng.randint(1, 9), 1_700_000_000_000 + i * 1000 + rng.randint(0, 500)) for k in range(3) for i in range(60)]
-    d = spark.createDataFrame(rows, "episode_id string, request_id string, ordinal bigint, size bigint, arrival_ms bigint")
-    flush = spark.createDataFrame([("flush", "flush", 0, 1, 1_800_000_000_000)], d.schema)
-    out = core.drain(jobs.budget_windows_stream(core.replay(d, "arrival_ms", slices=3, flush=flush), 20)).filter("episode_id <> 'flush'")
+def late_lines(spark, seed=5, n=60):
+    """Lines whose arrival lags by up to many gaps, so that later ordinals often arrive first."""
+    rng = random.Random(seed)
+    rows = [(f"e{k}", f"r{k}-{i}", i, rng.randint(1, 9), T0 + i * 1000, T0 + i * 1000 + rng.randint(0, 9000)) for k in range(3) for i in range(n)]
+    d = spark.createDataFrame(rows, "episode_id string, request_id string, ordinal bigint, size bigint, occurred_ms bigint, arrival_ms bigint")
+    return d, spark.createDataFrame([("flush", "flush", 0, 1, T0 * 2, T0 * 2)], d.schema)
+
+
+T0 = 1_700_000_000_000
+
+
+def test_stream_windows_equal_batch_when_lines_arrive_out_of_order(spark):
+    d, flush = late_lines(spark)
+    out = core.drain(jobs.budget_windows_stream(core.replay(d, "arrival_ms", slices=20, flush=flush), 20, "10 seconds")).filter("episode_id <> 'flush'")
     batch = B.budget_windows(d.withColumn("pos", F.col("ordinal")), 20, by=("episode_id",)).join(d.select("episode_id", F.col("ordinal").alias("pos"), "request_id"), ["episode_id", "pos"])
     key = lambda x: {(r["request_id"], r["window"]) for r in x.select("request_id", "window").collect()}
-    assert key(out) == key(batch) and out.count() == len(rows)
+    assert key(out) == key(batch) and out.count() == 180
+
+
+def test_idle_episodes_leave_the_state(spark):
+    d, flush = late_lines(spark, n=20)
+    stream = jobs.budget_windows_stream(core.replay(d, "arrival_ms", slices=4, flush=flush.union(flush.withColumn("occurred_ms", F.col("occurred_ms") * 2))), 20, "10 seconds", idle_ms=60_000)
+    path = work_dir(spark, "idle")
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1          # the flush row itself may still wait
+
+
+def test_monitor_in_order_and_with_any_actor_id(spark):
+    actors = ["a|b", "c,d", "e"]
+    rows, h = [], 0
+    for i in range(40):
+        rows.append(("ep", f"r{i}", i, actors[i % 3], T0 + i * 1000, T0 + i * 1000 + 10, T0 + i * 1000 + (3500 if i == 10 else 20), 200, f"h{h}", f"h{h + 1}" if i != 20 else "odd", T0 + i * 1000, T0 + i * 1000 + (i * 7919) % 9000))
+        h += 1
+    d = spark.createDataFrame(rows, "episode_id string, request_id string, ordinal bigint, actor_id string, start_ms bigint, service_ms bigint, completed_ms bigint, status bigint, before_hash string, after_hash string, occurred_ms bigint, arrival_ms bigint")
+    flush = d.limit(1).withColumn("episode_id", F.lit("flush")).withColumn("occurred_ms", F.lit(T0 * 2)).withColumn("arrival_ms", F.lit(T0 * 2))
+    out = core.drain(jobs.order_monitor(core.replay(d, "arrival_ms", slices=20, flush=flush), "10 seconds")).filter("episode_id <> 'flush'")
+    assert {(r["request_id"], r["code"]) for r in out.collect()} == {("r11", "service_order"), ("r13", "actor_overlap"), ("r21", "broken_state_chain")}
 
 
 def ledger(spark, rows):
