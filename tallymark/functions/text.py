@@ -31,6 +31,11 @@ def h32(*parts):
     return F.conv(F.substring(sha(*parts), 1, 8), 16, 10).cast("bigint")
 
 
+def h60(*parts):
+    """First fifteen hex digits of sha256 over ':'-joined parts, as a bigint in [0, 2**60)."""
+    return F.conv(F.substring(sha(*parts), 1, 15), 16, 10).cast("bigint")
+
+
 def sha(*parts):
     joined = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.sha2(joined, 256)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spread
 from ..functions import vectors as V
-from ..functions.text import h32, sha
+from ..functions.text import h60, sha
 from . import scoring as M
 from .splits import grouped_folds
 
@@ -127,21 +127,22 @@ def resampling_units(df, seed, strata="source", group="group_id"):
 
 
 def draw_units(units, samples, seed, strata="source"):
-    """(s, stratum, unit) picks: each unit row stands for one slot of its stratum and picks a unit of the same stratum by digest,
-    once per sample. Sample -1 holds every unit once, so that the point estimate comes out of the same pass."""
+    """(s, stratum, unit, m): how often a sample picks a unit. Each unit row stands for one slot of its stratum and picks a unit of
+    the same stratum by digest, once per sample. Sample -1 holds every unit once, so that the point estimate comes out of
+    the same pass. Picks are dealt out by (stratum, unit), where they are counted and meet their unit's sums."""
     # a fixed number of partitions: the rows are about to be multiplied, so they must not be coalesced by their present size
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = units.repartition(n, strata, "unit").select(strata, "unit", "units", F.explode(F.sequence(F.lit(-1), F.lit(samples - 1))).alias("s"))
-    pick = h32(F.lit(seed), F.col("s"), F.col(strata), F.col("unit")) % F.col("units") + 1
-    return d.select("s", strata, F.when(F.col("s") < 0, F.col("unit")).otherwise(pick).alias("unit"))
+    pick = h60(F.lit(seed), F.col("s"), F.col(strata), F.col("unit")) % F.col("units") + 1
+    picks = d.select("s", strata, F.when(F.col("s") < 0, F.col("unit")).otherwise(pick).alias("unit"))
+    return picks.repartition(n, strata, "unit").groupBy("s", strata, "unit").agg(F.count(F.lit(1)).alias("m"))
 
 
-def with_draws(sums, units, draws, strata="source", group="group_id"):
-    """Sums of the picked units, one copy per pick. Picks are spread evenly over (stratum, unit), so hashing the smaller side
-    per partition is safe."""
+def with_draws(sums, units, draws, values, strata="source", group="group_id"):
+    """Rows of `sums` for every sample that picks their unit, the columns `values` times the number of picks."""
     n = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = sums.join(units.drop("units"), [strata, group]).drop(group).repartition(n, strata, "unit")
-    return draws.repartition(n, strata, "unit").join(tagged.hint("shuffle_hash"), [strata, "unit"])
+    return draws.join(tagged, [strata, "unit"]).withColumns({c: F.col(c) * F.col("m") for c in values}).drop("m")
 
 
 ARMS = ("candidate", "reference")
@@ -234,7 +235,8 @@ def bootstrap_arms(both, metric, samples, seed, by=(), aggregation="macro"):
     if _metric(metric).kind == "additive":      # both arms side by side: half the rows to draw
         sums = sums.groupBy(*by, "source", "group_id", "part").agg(*[F.sum(F.when(F.col("arm") == a, F.col(c))).alias(f"{c}_{a}") for a in ARMS for c in ("x", "n")])
     units = resampling_units(both.filter(F.col("arm") == "reference"), seed)
-    drawn = with_draws(sums, units, draw_units(units, samples, seed))
+    values = [f"{c}_{a}" for a in ARMS for c in ("x", "n")] if _metric(metric).kind == "additive" else ["x", "n"]
+    drawn = with_draws(sums, units, draw_units(units, samples, seed), values)
     if _metric(metric).kind == "additive":
         st = drawn.groupBy(*by, "s", "part").agg(*[(F.sum(f"x_{a}") / F.sum(f"n_{a}")).alias(a) for a in ARMS])
         d = st.groupBy(*by, "s").agg(F.avg(F.col(ARMS[0]) - F.col(ARMS[1])).alias("delta"))
@@ -275,7 +277,7 @@ def cross_validated_temperature(df, folds=5, seed="cv", samples=1000, aggregatio
 def ece_interval(scored, samples, seed, arms=("raw", "out_of_fold")):
     sums = _sums(scored, ["source", "group_id", "arm"], "ece")
     units = resampling_units(scored.filter(F.col("arm") == arms[0]), seed)
-    drawn = with_draws(sums, units, draw_units(units, samples, seed))
+    drawn = with_draws(sums, units, draw_units(units, samples, seed), ["x", "n"])
     v = _statistic(drawn, ["s", "arm"], "ece").groupBy("s").agg(*[F.max(F.when(F.col("arm") == x, F.col("v"))).alias(x) for x in arms])
     v = v.withColumn("delta", F.col(arms[1]) - F.col(arms[0]))
     out = v.agg(*[e for c in (*arms, "delta") for e in interval(c)])
@@ -350,7 +352,7 @@ def paired_panels(parent, candidate, samples, seed="panel", metrics=("acc", "nll
         return group_sufficient_stats(p, ["panel", "group_id"]).withColumn("arm", F.lit(arm))
     both = stats(parent, "parent").unionByName(stats(candidate, "candidate"))
     units = resampling_units(both.filter(F.col("arm") == "parent"), seed, strata="panel")
-    drawn = with_draws(both, units, draw_units(units, samples, seed, strata="panel"), strata="panel")
+    drawn = with_draws(both, units, draw_units(units, samples, seed, strata="panel"), ["w", "acc", "nll", "brier", *BINS], strata="panel")
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
     flat = summarize_stats(drawn, ["s", "panel", "arm"]).select("s", "panel", "arm", F.inline(arr))
     wide = flat.groupBy("s", "panel", "metric").agg(*[F.max(F.when(F.col("arm") == a, F.col("v"))).alias(a) for a in ("parent", "candidate")]).withColumn("delta", F.col("candidate") - F.col("parent"))

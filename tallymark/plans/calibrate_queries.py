@@ -6,12 +6,14 @@ from ..functions.vectors import r6
 from ..operators import calibrate as C
 from ..operators import scoring as M
 from ..session import settle
-from .oracle import SCORES, h, r6 as R, softmax, sql
+from .oracle import SCORES, h, h60, r6 as R, softmax, sql
 from .registry import query
 from .scoring_queries import EDGE, rounded
 from .splits_queries import FOLDS
 
-SAMPLES = 50
+SAMPLES = 1000
+CURVE_SAMPLES = 200         # metrics whose risk-coverage curve is rebuilt in every draw
+CURVES = ("aurc", "coverage_at_5pct_error")
 
 
 def grid_sql(points):
@@ -58,10 +60,15 @@ def _(t):
 
 def boot_ctes(seed, samples, src="questions"):
     return {"units": f"select source, group_id, row_number() over (partition by source order by sha256('{seed}:'||source||':'||group_id)) as unit, count(*) over (partition by source) as units from (select distinct source, group_id from {src})",
-            "draws": f"select s, source, {h(repr(seed), 's::varchar', 'source', 'unit::varchar')}%units+1 as unit, count(*) as m from units cross join range({samples}) r(s) group by s, source, {h(repr(seed), 's::varchar', 'source', 'unit::varchar')}%units+1"}
+            "draws": f"select s, source, {h60(repr(seed), 's::varchar', 'source', 'unit::varchar')}%units+1 as unit, count(*) as m from units cross join range({samples}) r(s) group by s, source, {h60(repr(seed), 's::varchar', 'source', 'unit::varchar')}%units+1"}
 
 
-def boot_sql(metric, part, seed="boot", samples=SAMPLES):
+def draws_of(metric):
+    return CURVE_SAMPLES if metric in CURVES else SAMPLES
+
+
+def boot_sql(metric, part, seed="boot"):
+    samples = draws_of(metric)
     both = f"select source, group_id, {part} as part, 'c' as arm, ok, conf, nll, brier from scA union all select source, group_id, {part}, 'r', ok, conf, nll, brier from scB"
     ctes = {"both_": both, **boot_ctes(seed, samples), "one": "select -1 as s, source, unit, 1 as m from units", "alld": "select * from draws union all select * from one"}
     if metric in ("acc", "nll"):
@@ -87,7 +94,7 @@ def boot_sql(metric, part, seed="boot", samples=SAMPLES):
 def _boot(metric, aggregation):
     @query(f"C6_bootstrap_{metric}_{aggregation}", boot_sql(metric, "task" if aggregation == "macro" else "'all'"))
     def _(t):
-        return rounded(C.paired_bootstrap(t.decisions("A"), t.decisions("B"), metric, aggregation, SAMPLES, "boot"))
+        return rounded(C.paired_bootstrap(t.decisions("A"), t.decisions("B"), metric, aggregation, draws_of(metric), "boot"))
 
 
 for _metric, _aggregation in (("nll", "macro"), ("acc", "micro"), ("ece", "micro"), ("aurc", "micro"), ("coverage_at_5pct_error", "macro")):
@@ -157,7 +164,7 @@ TOT = "select {by}, sum(acc*m)/sum(w*m) as acc, sum(nll*m)/sum(w*m) as nll, sum(
  from (select panel, metric, s, max(case when arm='p' then v end) as p, max(case when arm='c' then v end) as c from bl group by panel, metric, s) join
  (select panel, metric, max(case when arm='p' then v end) as p0, max(case when arm='c' then v end) as c0 from pl_ group by panel, metric) using(panel, metric) group by panel, metric""", "scwA", "scwB", **PANELS, st=P_STATS,
                                un="select panel, group_id, row_number() over (partition by panel order by sha256('panel:'||panel||':'||group_id)) as unit, count(*) over (partition by panel) as units from (select distinct panel, group_id from panA)",
-                               dr=f"select s, panel, {h(repr('panel'), 's::varchar', 'panel', 'unit::varchar')}%units+1 as unit, count(*) as m from un cross join range({SAMPLES}) r(s) group by s, panel, {h(repr('panel'), 's::varchar', 'panel', 'unit::varchar')}%units+1",
+                               dr=f"select s, panel, {h60(repr('panel'), 's::varchar', 'panel', 'unit::varchar')}%units+1 as unit, count(*) as m from un cross join range({SAMPLES}) r(s) group by s, panel, {h60(repr('panel'), 's::varchar', 'panel', 'unit::varchar')}%units+1",
                                jb="select st.*, s, m from st join un using(panel, group_id) join dr using(panel, unit)", bt=TOT.format(by="s, panel, arm", src="jb"), pt=TOT.format(by="panel, arm", src="(select *, 1 as m from st)"),
                                bl="select s, panel, arm, u.metric, u.v from bt, lateral (values ('acc',acc),('nll',nll),('brier',brier),('ece',ece)) u(metric,v)",
                                pl_="select panel, arm, u.metric, u.v from pt, lateral (values ('acc',acc),('nll',nll),('brier',brier),('ece',ece)) u(metric,v)"))

@@ -5,6 +5,10 @@ def h(*parts):
     return f"('0x'||substr(sha256({cat(*parts)}),1,8))::bigint"
 
 
+def h60(*parts):
+    return f"('0x'||substr(sha256({cat(*parts)}),1,15))::bigint"
+
+
 def cat(*parts):
     return "||':'||".join(f"({p})" if not p.startswith("'") else p for p in parts)
 
