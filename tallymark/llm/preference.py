@@ -7,10 +7,12 @@ first, so a long conversation is never sorted or joined up by one task before it
 from pyspark.sql import functions as F
 
 from ..functions.spread import join_keys, running_totals, spread_rank
+from .common import stored
 from .fingerprint import with_next
 
 CHUNK = 64
 TRAINED = "assistant"
+SIDES = ("chosen", "rejected")
 
 
 def render(role, text):
@@ -23,29 +25,19 @@ def render(role, text):
 
 
 def _placed(turns):
-    """(pair_id, role, text, pos): turns of each pair in order; equal turn numbers in order of role and text, null turn
-    numbers first, repeated rows once."""
-    rows = turns.filter("pair_id is not null").select("pair_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    """(pair_id, side, role, text, pos): turns of each side of a pair in order; equal turn numbers in order of role and text, null
+    turn numbers first, repeated rows once."""
+    rows = turns.filter("pair_id is not null").select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     bucket = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62)))
-    return spread_rank(rows, ["pair_id"], [F.col("turn").asc_nulls_first(), "role", "text"], bucket, "pos").drop("turn")
+    return spread_rank(rows, ["pair_id", "side"], [F.col("turn").asc_nulls_first(), "role", "text"], bucket, "pos").drop("turn")
 
 
-def _completion(turns, name):
-    """(pair_id, <name>, <name>_mask) of the turns after the common prefix."""
-    header, piece = render(F.col("role"), F.col("text"))
-    rows = turns.filter("pos > n_common").select("pair_id", "pos", piece.alias("piece"), F.char_length(header).cast("bigint").alias("_head"), F.char_length(piece).cast("bigint").alias("_len"), (F.col("role") == TRAINED).alias("_train"))
-    chunk = F.floor((F.col("pos") - 1) / CHUNK)
-    rows = running_totals(rows, ["pair_id"], "pos", chunk, ["_len"]).withColumn("_start", F.col("cum__len") - F.col("_len"))
-    span = F.when(F.col("_train"), F.struct((F.col("_start") + F.col("_head")).alias("start"), F.col("cum__len").alias("end")))
-    return _joined(rows.withColumn("span", span), name)
-
-
-def _joined(rows, name):
-    """Pieces put together by chunk, then the chunks of each pair."""
-    chunks = rows.groupBy("pair_id", F.floor((F.col("pos") - 1) / CHUNK).alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("_p"), F.sort_array(F.collect_list("span")).alias("_s"))
-    chunks = chunks.select("pair_id", F.struct("_chunk", F.array_join(F.col("_p.piece"), "").alias("text"), F.col("_s").alias("spans")).alias("_c"))
-    whole = chunks.groupBy("pair_id").agg(F.sort_array(F.collect_list("_c")).alias("_c"))
-    return whole.select("pair_id", F.array_join(F.col("_c.text"), "").alias(name), F.flatten(F.col("_c.spans")).alias(f"{name}_mask"))
+def _common(placed):
+    """(pair_id, n_common): turns are compared by digest, place by place."""
+    digest = F.sha2(F.concat_ws("\0", F.sha2("role", 256), "text"), 256)
+    places = placed.select("pair_id", "pos", "side", digest.alias("d")).groupBy("pair_id", "pos").agg(*[F.max(F.when(F.col("side") == s, F.col("d"))).alias(s) for s in SIDES])
+    differ = F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("pos"))
+    return places.groupBy("pair_id").agg(F.coalesce(F.min(differ) - 1, F.max("pos")).cast("bigint").alias("n_common"))
 
 
 def preference_examples(chosen, rejected):
@@ -55,20 +47,25 @@ def preference_examples(chosen, rejected):
 
     Pairs without turns on one side have an empty common prefix and an empty completion there; equal conversations have
     empty completions and masks. Null pair ids are left out, null roles and texts count as empty, extra columns are ignored."""
-    sides = {"chosen": _placed(chosen), "rejected": _placed(rejected)}
-    a, b = (s.select("pair_id", "pos", F.struct("role", "text").alias(n)) for n, s in sides.items())
-    both = a.join(b, ["pair_id", "pos"], "full")
-    differ = F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("pos"))
-    common = both.groupBy("pair_id").agg(F.coalesce(F.min(differ) - 1, F.max("pos")).cast("bigint").alias("n_common"))
-    cut = {n: join_keys(s, common, ["pair_id"]) for n, s in sides.items()}
-    piece = render(F.col("role"), F.col("text"))[1]
-    nothing = F.lit(None).cast("struct<start:bigint,end:bigint>")
-    prompt = _joined(cut["chosen"].filter("pos <= n_common").select("pair_id", "pos", piece.alias("piece"), nothing.alias("span")), "prompt").drop("prompt_mask")
-    out = common.join(prompt, "pair_id", "left")
-    for name in ("chosen", "rejected"):
-        out = out.join(_completion(cut[name], name), "pair_id", "left")
+    columns = ["pair_id", "turn", "role", "text"]
+    both = chosen.select(*columns, F.lit("chosen").alias("side")).unionByName(rejected.select(*columns, F.lit("rejected").alias("side")))
+    placed = stored(_placed(both), "placed-turns")
+    common = stored(_common(placed), "common-prefixes")
+    part = F.when(F.col("pos") > F.col("n_common"), F.col("side")).when(F.col("side") == "chosen", F.lit("prompt"))
+    header, piece = render(F.col("role"), F.col("text"))
+    rows = join_keys(placed, common, ["pair_id"]).withColumn("part", part).filter("part is not null")
+    rows = rows.select("pair_id", "part", "pos", piece.alias("piece"), F.char_length(header).cast("bigint").alias("_head"), F.char_length(piece).cast("bigint").alias("_len"),
+                       ((F.col("role") == TRAINED) & (F.col("part") != "prompt")).alias("_train"))
+    chunk = F.floor((F.col("pos") - 1) / CHUNK)
+    rows = running_totals(rows, ["pair_id", "part"], "pos", chunk, ["_len"])
+    span = F.when(F.col("_train"), F.struct((F.col("cum__len") - F.col("_len") + F.col("_head")).alias("start"), F.col("cum__len").alias("end")))
+    chunks = rows.groupBy("pair_id", "part", chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("_p"), F.sort_array(F.collect_list(span)).alias("_s"))
+    chunks = chunks.select("pair_id", "part", F.struct("_chunk", F.array_join(F.col("_p.piece"), "").alias("text"), F.col("_s").alias("spans")).alias("_c"))
+    whole = chunks.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == p, F.col("_c")))).alias(p) for p in ("prompt", *SIDES)])
+    out = common.join(whole, "pair_id", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return out.select("pair_id", "n_common", *[F.coalesce(c, F.lit("")).alias(c) for c in ("prompt", "chosen", "rejected")], *[F.coalesce(f"{c}_mask", none).alias(f"{c}_mask") for c in ("chosen", "rejected")])
+    return out.select("pair_id", "n_common", *[F.coalesce(F.array_join(F.col(f"{p}.text"), ""), F.lit("")).alias(p) for p in ("prompt", *SIDES)],
+                      *[F.coalesce(F.flatten(F.col(f"{p}.spans")), none).alias(f"{p}_mask") for p in SIDES])
 
 
 def swapped_answers(turns):
