@@ -280,23 +280,23 @@ def _second_round(classes, bits, flagged, found, threshold):
     rows = _roots(labelled).join(small_side(flagged, 24), "node", "left_semi")
     parts = []
     for level in range(1, MOST_LEVELS + 1):
-        rows = stored(rows, f"level-{level}")
         shape = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         mixed = stored(shape.filter("_lo <> _hi").select(F.col("node").alias("_node"), "size"), f"sizes-{level}")
         rows = rows.join(small_side(mixed, 32), F.col("node") == F.col("_node")).drop("_node")
+        large = mixed.filter(F.col("size") > NODE_LIMIT).limit(1).count()
+        rows = stored(rows, f"mixed-{level}") if large else rows           # several readers from here on
         parts.append(_in_blocks(rows.filter(F.col("size") <= NODE_LIMIT).withColumn("block", F.col("node")), threshold, True, True))
-        rows = rows.filter(F.col("size") > NODE_LIMIT)
-        if not mixed.filter(F.col("size") > NODE_LIMIT).limit(1).count():
+        if not large:
             break
+        rows = rows.filter(F.col("size") > NODE_LIMIT)
         per = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_k"), F.first("size").alias("size"))
         top = per.groupBy("node").agg(F.max_by("component", F.struct("_k", "component")).alias("_top"), (F.max("_k") * 2 >= F.max("size")).alias("_dense"))
-        top = small_side(stored(top.withColumnRenamed("node", "_node"), f"dense-{level}"), 64)
-        rows = rows.join(top, F.col("node") == F.col("_node")).drop("_node")
+        top = stored(top, f"majorities-{level}")
         last = level == MOST_LEVELS
-        parts.append(_dense(rows if last else rows.filter("_dense"), bits, threshold))
+        parts.append(_dense(rows.join(small_side(top if last else top.filter("_dense"), 64), "node"), bits, threshold))
         if last:
             break
-        rows = rows.filter("not _dense").drop("size", "_top", "_dense").withColumnRenamed("node", "_parent")
+        rows = rows.join(small_side(top.filter("not _dense").select("node"), 24), "node", "left_semi").drop("size").withColumnRenamed("node", "_parent")
         rows = _branch(rows, F.col("_parent")).drop("_parent")
     pairs = parts[0]
     for p in parts[1:]:
