@@ -4,6 +4,7 @@ Scale notes. A grid fit never keeps row x temperature pairs: they are summed map
 The bootstrap works on per-unit sums; a draw is a (sample, source, picked unit) multiplicity, so rows are never resampled.
 """
 import math
+from functools import reduce
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -295,6 +296,13 @@ def workload_arms(df, folds=5, seed="cv", points=121):
     return arm(restored, "raw").unionByName(arm(served, "shipped")).unionByName(arm(temper_by(restored, t, ()), "workload")).unionByName(arm(oof, "workload_oof"))
 
 
+def workload_intervals(arms, samples=1000, seed="cv", metrics=("ece", "brier", "coverage_at_5pct_error", "aurc")):
+    """workload_oof minus shipped with paired group-bootstrap intervals, one row per metric. `arms` should be settled."""
+    side = lambda name: arms.filter(F.col("arm") == name).drop("arm")
+    parts = [paired_bootstrap(side("workload_oof"), side("shipped"), m, "micro", samples, seed) for m in metrics]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 def workload_report(arms):
     """Metric block per arm; accuracy is the same in all of them (`accuracy_changed` is false)."""
     b = M.metrics(M.row_scores(arms), ["arm"])
@@ -406,9 +414,17 @@ def episode_lineage_audit(df, views=("clean", "prefix_loss", "sampled_loss")):
     return ids.unionByName(grp).unionByName(ep).unionByName(row)
 
 
+def compare_deltas(a, b, suite_a, suite_b, samples=1000, seed="boot", metrics=("nll", "acc", "brier")):
+    """C14: run a minus run b on the same suite: macro delta and group-bootstrap interval per metric."""
+    if suite_a != suite_b:
+        raise ValueError("the runs were scored on different suites")
+    parts = [paired_bootstrap(a, b, m, "macro", samples, seed) for m in metrics]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 def compare_runs(a, b, suite_a, suite_b):
     """C14: per-task blocks of two runs side by side. Refuses different suites."""
     if suite_a != suite_b:
-        raise ValueError("comparison requires matching frozen suites")
+        raise ValueError("the runs were scored on different suites")
     blk = lambda d, tag: M.row_scores(M.scored_rows(d)).groupBy("task").agg(F.avg(F.col("ok").cast("double")).alias(f"acc_{tag}"), F.avg("nll").alias(f"nll_{tag}"), F.avg("brier").alias(f"brier_{tag}"))
     return blk(a, "a").join(blk(b, "b"), "task")

@@ -163,6 +163,8 @@ def selective(scored, by, fractions):
 def metrics(scored, by):
     """M8: the full metric block per group from one histogram. `by` may be empty."""
     if not by:
+        if not scored.isStreaming and scored.isEmpty():
+            raise ValueError("metrics of an empty population")
         return metrics(scored.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     hist = histogram(scored, by)
     high = [F.col("conf") >= t for t in TOP_BINS]
@@ -223,6 +225,27 @@ def objective(scored):
     return per.agg((-F.avg("nll")).alias("objective"), F.count(F.lit(1)).alias("tasks"))
 
 
+def summarize(rows, temperature=1.0, heldout_sources=()):
+    """The blocks of an evaluation as tables: objective, clean, tasks, variants, heldout_tasks (tasks of sources the scored
+    model never trained on), permutation, unknowable, calibrated_clean (at `temperature`), paired_flip (where rows have pairs) and
+    counts of odd distributions (where rows carry them). An empty clean population is refused."""
+    clean = rows.filter(F.col("variant") == "clean")
+    knowable = scored_rows(rows)
+    if knowable.isEmpty():
+        raise ValueError("there are no clean rows to summarize")
+    scored = row_scores(clean)
+    out = {"objective": objective(scored), "clean": metrics(row_scores(knowable), []), "tasks": metrics(scored, ["task"]), "variants": metrics(row_scores(rows), ["variant"]),
+           "heldout_tasks": metrics(scored.filter(F.col("source").isin(*heldout_sources)), ["task"]) if heldout_sources else None,
+           "permutation": permutation_stability(clean, rows.filter(F.col("variant") == "permuted")), "calibrated_clean": metrics(row_scores(temper(knowable, temperature)), [])}
+    if "control_id" in rows.columns:
+        out["unknowable"] = unknowable_report(clean)
+    if "pair_id" in rows.columns:
+        out["paired_flip"] = paired_flip(clean)
+    if {"raw_probability_sum", "zero_count"} <= set(rows.columns):
+        out["counts"] = rows.agg(F.sum(_lng(F.abs(F.col("raw_probability_sum") - 1) > 1e-5)).alias("raw_sums_outside_1e_5"), F.sum("zero_count").alias("returned_zeros"))
+    return out
+
+
 def permutation_stability(clean, permuted):
     """Permuted rows against their clean parent, probabilities realigned by option key."""
     c = clean.select(F.col("id").alias("parent"), "question", F.col("keys").alias("c_keys"), F.col("p").alias("c_p"))

@@ -67,12 +67,12 @@ def draws_of(metric):
     return CURVE_SAMPLES if metric in CURVES else SAMPLES
 
 
-def boot_sql(metric, part, seed="boot"):
-    samples = draws_of(metric)
-    both = f"select source, group_id, {part} as part, 'c' as arm, ok, conf, nll, brier from scA union all select source, group_id, {part}, 'r', ok, conf, nll, brier from scB"
+def boot_sql(metric, part, seed="boot", a="scA", b="scB", needs=("scA", "scB"), samples=None, **more):
+    samples = samples or draws_of(metric)
+    both = f"select source, group_id, {part} as part, 'c' as arm, ok, conf, nll, brier from {a} union all select source, group_id, {part}, 'r', ok, conf, nll, brier from {b}"
     ctes = {"both_": both, **boot_ctes(seed, samples), "one": "select -1 as s, source, unit, 1 as m from units", "alld": "select * from draws union all select * from one"}
-    if metric in ("acc", "nll"):
-        x = "ok::int::double" if metric == "acc" else "nll"
+    if metric in ("acc", "nll", "brier"):
+        x = "ok::int::double" if metric == "acc" else metric
         ctes["sums"] = f"select source, group_id, arm, part, sum({x}) as x, count(*) as n from both_ group by all"
         ctes["st"] = "select s, arm, part, sum(x*m)/sum(n*m) as v from sums join units using(source, group_id) join alld using(source, unit) group by s, arm, part"
     elif metric == "ece":
@@ -88,7 +88,7 @@ def boot_sql(metric, part, seed="boot"):
     ctes["dl"] = "select s, avg(d) as d from (select s, part, max(case when arm='c' then v end)-max(case when arm='r' then v end) as d from st group by s, part) group by s"
     agg = "macro" if part == "task" else "micro"
     return sql(f"""select '{metric}' as metric, '{agg}' as aggregation, {R('(select d from dl where s=-1)')} as delta, {R('quantile_cont(d,0.025)')} as lo, {R('quantile_cont(d,0.975)')} as hi, count(*) as samples,
- (select count(*) from units) as groups from dl where s>=0""", "scA", "scB", **ctes)
+ (select count(*) from units) as groups from dl where s>=0""", *needs, **more, **ctes)
 
 
 def _boot(metric, aggregation):
@@ -139,6 +139,20 @@ def _(t):
     return rounded(r.select("arm", "n", "acc", "nll", "brier", "mean_conf", "confident_error_rate", "accuracy_changed"))
 
 
+def union_sql(parts):
+    return " union all ".join(f"select * from ({p})" for p in parts)
+
+
+OOF_ARMS = dict(a="scw_", b="scs_", needs=("decA",), samples=CURVE_SAMPLES, **CV, oof2="select * replace(q as p, z as logits) from oof",
+                ship=f"select * replace({softmax('z')} as p, z as logits) from (select *, list_transform(logits, lambda x: (x-list_max(logits))/0.8e0) as z from decA)", scw_=SCORES.format(src="oof2"), scs_=SCORES.format(src="ship"))
+
+
+@query("C5_workload_intervals", union_sql([boot_sql(m, "'all'", "cv", **OOF_ARMS) for m in ("ece", "brier", "coverage_at_5pct_error", "aurc")]))
+def _(t):
+    shipped = settle(M.temper(t.decisions("A"), 0.8))
+    return rounded(C.workload_intervals(settle(C.workload_arms(shipped, 5, "cv", 81)), CURVE_SAMPLES, "cv"))
+
+
 @query("C7_episode_weights", sql(f"select id, {R('1e0/count(*) over (partition by view, parent)')} as weight from winA", "winA"))
 def _(t):
     return C.episode_weights(t.window_rows("A"), ["view"]).select("id", r6("weight", "weight"))
@@ -233,6 +247,11 @@ def _(t):
     return C.episode_lineage_audit(w)
 
 
+@query("C14_paired_deltas", union_sql([boot_sql(m, "task") for m in ("nll", "acc", "brier")]))
+def _(t):
+    return rounded(C.compare_deltas(t.decisions("A"), t.decisions("B"), "suite", "suite", SAMPLES))
+
+
 @query("C14_compare_runs", sql(f"select task, {','.join(R(f'avg({s}.{e})') + f' as {n}_{tag}' for tag, s in (('a', 'a'), ('b', 'b')) for n, e in (('acc', 'ok::int'), ('nll', 'nll'), ('brier', 'brier')))} from scA a join scB b using(id, task) group by task", "scA", "scB"))
 def _(t):
     return rounded(C.compare_runs(t.decisions("A"), t.decisions("B"), "suite", "suite"))

@@ -98,6 +98,24 @@ def _(t):
     return L.read_export(t.spark, path, "tsv", ["source", "lang"], {"which": "doc_id"})
 
 
+@query("S2_export_comma", sql("select case when source='' then null else source end as state, doc_id::varchar as which, lang as language, case when source='' then 'empty state' end as reason from e", e=EXP))
+def _(t):
+    path = work_dir(t.spark, "export")
+    export_rows(t).select(F.concat(F.lit('"'), F.replace("source", F.lit('"'), F.lit('""')), F.lit('"')).alias("s"), "doc_id", "lang").select(F.concat_ws(",", "s", "doc_id", "lang").alias("value")) \
+        .withColumn("g", F.substring("value", -1, 1)).groupBy("g").agg(F.concat(F.lit("source,doc_id,lang\n"), F.array_join(F.collect_list("value"), "\n")).alias("value")).write.partitionBy("g").text(path)
+    out = L.read_export(t.spark, path, "csv", ["source"], {"which": "doc_id", "language": "lang"})
+    return out.select(F.when(F.col("state") != "", F.col("state")).alias("state"), "which", F.coalesce("language", F.lit("")).alias("language"), "reason")
+
+
+@query("S2_export_json_array", sql("select sha256(text) as state_sha, lang as language, null::varchar as reason from e where text<>''", e=EXP))
+def _(t):
+    path = work_dir(t.spark, "export")
+    rows = export_rows(t).select((F.col("doc_id") % 16).alias("g"), F.to_json(F.struct(F.struct("text").alias("body"), F.struct("lang").alias("meta"))).alias("j"))
+    rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("g").text(path)      # sixteen array files
+    out = L.read_export(t.spark, path, "json", ["body.text"], {"language": "meta.lang"})
+    return out.select(F.sha2("state", 256).alias("state_sha"), "language", "reason")
+
+
 @query("S2_export_jsonl", sql("select sha256(text) as state_sha, lang as language, null::varchar as reason from e where text<>''", e=EXP))
 def _(t):
     path = work_dir(t.spark, "export")

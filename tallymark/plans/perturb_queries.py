@@ -91,8 +91,12 @@ def _(t):
 NP = f"select *, {perm_sql(f'keys||[{chr(39)}none_of_these{chr(39)}]', chr(39) + 'np' + chr(39), 'id::varchar', 'task')} as ks, keys[label+1] as lk from questions where type='choice'"
 
 
-@query("A5_none_pair", sql("""select id, side, case when side='absent' then 'none_of_these' else lk end as label_key, array_to_string(case when side='absent' then list_filter(ks, lambda k: k<>lk) else ks end, ',') as keys
- from n cross join (values ('present'),('absent')) v(side)""", "questions", n=NP))
+VARIED = f"""select *, {perm_sql("keys||[nk]", "'np'", "id::varchar", "task")} as ks, keys[label+1] as lk from (
+ select *, (select arg_min(k, sha256('np:none:'||id||':'||task||':'||k||':'||d)) from (values {NONE_ROWS}) o(k,d)) as nk from questions where type='choice')"""
+
+
+@query("A5_none_pair", sql("""select id, side, case when side='absent' then nk else lk end as label_key, array_to_string(case when side='absent' then list_filter(ks, lambda k: k<>lk) else ks end, ',') as keys
+ from n cross join (values ('present'),('absent')) v(side)""", "questions", n=VARIED))
 def _(t):
     return A.none_pair(option_questions(t), "np").select("id", "side", "label_key", joined(F.col("options")).alias("keys"))
 

@@ -6,7 +6,7 @@ from ..functions.text import h32, sha, word_count
 from ..functions.vectors import r6
 from ..operators import scoring as M
 from ..sources.fixtures import lit_array
-from .oracle import collapse, h, r6 as R, softmax, sql
+from .oracle import SCORES, collapse, h, r6 as R, softmax, sql
 from .registry import query
 
 CURVE = "select *, sum(n) over w as cum, sum(errors) over w as cume, sum(n) over (partition by {by}) as tot from hist window w as (partition by {by} order by conf desc)"
@@ -19,7 +19,7 @@ def rounded(df, *keep):
     return df.select(*[r6(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
-def metrics_sql(by, src="scA"):
+def metrics_sql(by, src="scA", needs=None, **more):
     top = []
     for t in ("9", "95", "99"):
         top.append(f"sum(case when conf>=0.{t}e0 then n else 0 end)::bigint as top_{t}_n, sum(case when conf>=0.{t}e0 then errors else 0 end)::bigint as top_{t}_errors,"
@@ -37,7 +37,7 @@ def metrics_sql(by, src="scA"):
  {R('sum(n*cume/cum)/max(tot)')} as aurc, {R('sum(conf*n)/sum(n)-(1-sum(errors)/sum(n))')} as confidence_bias,
  {R('sum(s_mae)/nullif(sum(n_score),0)')} as score_mae, {R('sum(s_rps)/nullif(sum(n_score),0)')} as rps, {','.join(top)}, {','.join(sel)} from curve group by {by}"""
     e = f"select {by}, {R('sum(abs(c-s))/sum(n)')} as ece from (select {by}, {EDGE} as bin, count(*) as n, sum(case when ok then 1e0 else 0e0 end) as c, sum(conf) as s from {src} group by all) group by {by}"
-    return sql(f"select * from main join e using({by})", src, hist=HIST.format(by=by, src=src), curve=CURVE.format(by=by), main=main, e=e)
+    return sql(f"select * from main join e using({by})", *(needs or (("scA",) if more else (src,))), **more, hist=HIST.format(by=by, src=src), curve=CURVE.format(by=by), main=main, e=e)
 
 
 @query("M1_score_batch", sql(f"""
@@ -157,6 +157,26 @@ def _(t):
     return rounded(M.objective(M.row_scores(t.decisions("A"))))
 
 
+def summary(t):
+    a, p = t.decisions("A"), t.permuted("A")
+    return M.summarize(a.unionByName(p.select(*[c if c in p.columns else F.lit(1.0).alias(c) for c in a.columns])), 0.8, ("1-URGENT", "5-LOW"))
+
+
+@query("M14_summary_variants", metrics_sql("variant", "both_", ("scA", "permA"), scP=SCORES.format(src="permA"), both_="select * from scA union all by name select * from scP"))
+def _(t):
+    return rounded(summary(t)["variants"])
+
+
+@query("M14_summary_heldout_tasks", metrics_sql("task", "held", held="select * from scA where source in ('1-URGENT','5-LOW')"))
+def _(t):
+    return rounded(summary(t)["heldout_tasks"])
+
+
+@query("M14_summary_calibrated", metrics_sql("task", "cal", cal=SCORES.format(src="(select * replace('all' as task, " + softmax("zt") + " as p, zt as logits) from (select *, list_transform(logits, lambda x: (x-list_max(logits))/0.8e0) as zt from decA))"), needs=("decA",)))
+def _(t):
+    return rounded(summary(t)["calibrated_clean"].withColumn("task", F.lit("all")))
+
+
 @query("M15_permutation_stability", sql(f"""select count(*) as n, {R('avg(list_max(list_transform(range(len(cp)), lambda i: abs(cp[i+1]-al[i+1]))))')} as mean_max_delta,
  {R('avg(case when list_position(al,list_max(al))<>list_position(cp,list_max(cp)) then 1e0 else 0e0 end)')} as flip_rate from (
  select c.p as cp, list_transform(c.keys, lambda k: q.p[list_position(q.keys,k)]) as al from decA c join permA q using(id,task) where q.type='choice')""", "decA", "permA"))

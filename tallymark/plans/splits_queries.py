@@ -49,12 +49,12 @@ def _(t):
     return P.calibration_groups_per_family(grouped(t), 10)[0].select("id", "split")
 
 
-@query("P5_alternate_pairs", sql("""select pairs.id, case when rn%2=1 then 'development' else 'test' end as split from pairs join (
- select pair_id, row_number() over (partition by c order by sha256(pair_id)) as rn from (select distinct pair_id, o_orderpriority as c from pairs join orders on id=o_orderkey where sibling='a')) using(pair_id)""", "pairs"))
+@query("P5_alternate_pairs", sql("""select pairs.id, task, case when rn%2=1 then 'development' else 'test' end as split from pairs join questions q on q.id=pairs.id join (
+ select pair_id, row_number() over (partition by c order by sha256(pair_id)) as rn from (select distinct pair_id, o_orderpriority as c from pairs join orders on id=o_orderkey where sibling='a')) using(pair_id)""", "pairs", "questions"))
 def _(t):
-    p = t.paired("A").filter(F.col("task") == "status").select("id", "pair_id", "sibling", "source")
-    first = p.filter(F.col("sibling") == "a").select("pair_id", F.col("source").alias("family"), sha(F.col("pair_id")).alias("o"))
-    return P.alternate_pairs(p.join(first, "pair_id"), ["family"], ["o"], F.substring("o", 1, 3)).select("id", "split")
+    p = t.paired("A").select("id", "task", "pair_id", "sibling", "source")
+    first = p.filter(F.col("sibling") == "a").select("pair_id", F.col("source").alias("family"), sha(F.col("pair_id")).alias("o")).distinct()
+    return P.alternate_pairs(p.join(first, "pair_id"), ["family"], ["o"], F.substring("o", 1, 3)).select("id", "task", "split")
 
 
 CLEANG = "select * from (select *, min(family) over (partition by group_id) as f1, max(family) over (partition by group_id) as f2 from g)"
@@ -96,10 +96,9 @@ def _(t):
 FOLDS = "select *, (row_number() over (order by source, sha256('cv:'||source||':'||group_id))-1)%5 as fold from (select distinct source, group_id from questions)"
 
 
-@query("P10_grouped_folds", sql("select id, fold from questions join f using(source, group_id) where task='status'", "questions", f=FOLDS))
+@query("P10_grouped_folds", sql("select id, task, fold from questions join f using(source, group_id)", "questions", f=FOLDS))
 def _(t):
-    d = t.questions().filter(F.col("task") == "status")
-    return P.grouped_folds(d, 5, "cv").select("id", "fold")
+    return P.grouped_folds(t.questions(), 5, "cv").select("id", "task", "fold")
 
 
 @query("P11_hash_fold", sql("select request_id, (('0x'||substr(group_id,1,8))::bigint)%5 as fold from tx", "tx"))

@@ -91,3 +91,14 @@ def test_structure_keys_follow_the_definition():
     assert k('["and",0,1]')[0] != k('["and",0,0]')[0] and k('["if",0,1,2]')[0] != k('["if",1,0,["not",2]]')[0]
     assert k('["not",["and",0,1]]')[1] == k('["or",["not",0],["not",1]]')[1] and k('["unless",0,1]')[1] == k('["and",0,["not",1]]')[1]
     assert k('["not",["not",["if",0,1,2]]]')[1] == k('["if",0,1,2]')[1] and k('["not",["if",0,1,2]]')[1] != k('["if",0,1,2]')[1]
+
+
+def test_empty_populations_and_other_suites_are_refused(spark):
+    from tallymark.operators import calibrate as C
+    rows = spark.createDataFrame([(1, "unknowable", "clean", "t", "choice", [0.5, 0.5], 0)], "id int, source string, variant string, task string, type string, p array<double>, label int")
+    with pytest.raises(ValueError):
+        M.summarize(rows)
+    with pytest.raises(ValueError):
+        M.metrics(M.row_scores(rows.limit(0)), [])
+    with pytest.raises(ValueError):
+        C.compare_deltas(rows, rows, "a", "b")
