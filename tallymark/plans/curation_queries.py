@@ -276,7 +276,7 @@ def _(t):
     return VA.request_projection(d, ("id", "state", "qid", "instructions")).withColumn("state_sha", F.sha2("state", 256)).drop("state")
 
 
-@query("V6_validate_distribution", sql(f"""select id, task, case when x=0 then 'keys_differ' when x=1 then 'out_of_range' when x=2 then 'sum_off' end as reason, {R('case when x>2 then p[label+1] end')} as p_label,
+@query("V6_validate_distribution", sql(f"""select id, task, case when x=0 then 'keys_differ' when x=1 then 'out_of_range' when x=2 then 'sum_off' end as reason, {R('case when x>2 then p[label+1]/list_sum(p) end')} as p_label,
  case when x=3 then 1 else 0 end::bigint as zero_count from (select *, {h(repr('vd'), 'id::varchar', 'task')}%12 as x from (select * replace(case when {h(repr('vd'), 'id::varchar', 'task')}%12=3 then zp else p end as p) from (
  select *, list_transform(range(len(p)), lambda i: case when i=0 then 0e0 else least(p[i+1]/(1-p[1]),1e0) end) as zp from decA)))""", "decA"))
 def _(t):

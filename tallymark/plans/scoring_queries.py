@@ -52,7 +52,7 @@ def _(t):
 
 @query("M2_prediction_rows", sql(f"""
  select id, task as question, case when {h("'miss'", 'id::varchar', 'task')}%50=0 then 'missing_answer' when {h("'bad'", 'id::varchar', 'task')}%40=0 then 'sum_off' end as reason,
- case when {h("'miss'", 'id::varchar', 'task')}%50<>0 and {h("'bad'", 'id::varchar', 'task')}%40<>0 then {R('p[label+1]')} end as p_label, id as parent from decA""", "decA"))
+ case when {h("'miss'", 'id::varchar', 'task')}%50<>0 and {h("'bad'", 'id::varchar', 'task')}%40<>0 then {R('p[label+1]/list_sum(p)')} end as p_label, id as parent from decA""", "decA"))
 def _(t):
     d = t.decisions("A")
     recs = t.questions().withColumn("question", F.col("task")).withColumn("variant", F.lit("clean")).withColumn("parent_id", F.lit(None).cast("bigint"))
@@ -81,8 +81,8 @@ def _(t):
 
 
 @query("M5_tempered_rows", sql(f"""
- select id, task, {R('pt[label+1]')} as p_label, {R('p[label+1]')} as p_restored, 1.7e0 as inference_temperature from (
- select *, {softmax('zt')} as pt from (select *, list_transform(logits, lambda x: (x-list_max(logits))/1.7e0) as zt from decA))""", "decA"))
+ select id, task, {R('pt[label+1]')} as p_label, {R('ps[label+1]')} as p_restored, 1.7e0 as inference_temperature from (
+ select *, {softmax('zt')} as pt, {softmax('logits')} as ps from (select *, list_transform(logits, lambda x: (x-list_max(logits))/1.7e0) as zt from decA))""", "decA"))
 def _(t):
     hot = M.temper(t.decisions("A"), 1.7)
     both = hot.withColumn("p_t", F.col("p")).withColumn("served", F.col("inference_temperature"))
@@ -118,7 +118,7 @@ def _(t):
     return rounded(M.selective(M.row_scores(t.decisions("A")), ["task"], {"half": 0.5}))
 
 
-@query("M10_risk_coverage_curve", sql(f"select task, conf as threshold, cum::bigint as accepted, cume::bigint as errors, {R('cum/tot')} as coverage, {R('cume/cum')} as risk from curve",
+@query("M10_risk_coverage_curve", sql(f"select task, {R('conf')} as threshold, cum::bigint as accepted, cume::bigint as errors, {R('cum/tot')} as coverage, {R('cume/cum')} as risk from curve",
                                       "scA", hist=HIST.format(by="task", src="scA"), curve=CURVE.format(by="task")))
 def _(t):
     c = M.risk_curve(M.row_scores(t.decisions("A")), ["task"])

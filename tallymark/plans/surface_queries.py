@@ -7,13 +7,13 @@ from ..operators import calibrate as C
 from ..operators import rules as RU
 from ..operators import scoring as M
 from .calibrate_queries import SAMPLES, boot_ctes
-from .oracle import r6 as R, sql
+from .oracle import r6 as R, softmax, sql
 from .perturb_queries import AT, ATOMS, FACTS, RC, rule_cases
 from .registry import query
 from .scoring_queries import rounded
 
 
-@query("U1_predictor", sql(f"select id, task as question, {R('p[label+1]')} as p_label from decA", "decA"))
+@query("U1_predictor", sql(f"select id, task as question, {R('ps[label+1]')} as p_label from (select *, {softmax('logits')} as ps from decA)", "decA"))
 def _(t):
     q = t.questions().withColumn("question", F.col("task"))
     s = M.score_batch(q.select("id", "question", "keys", "label"), M.hash_predictor("A", 1.2))
