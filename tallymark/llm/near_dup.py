@@ -29,7 +29,8 @@ SLACK = 4.0               # standard deviations below the threshold at which a p
 DENSE = 4                 # candidates per member above which a node keeps a spanning forest only
 DENSE_BLOCK = 1024        # rows of a dense node's largest component that stand in one block
 BITS = 4096               # bits of the set summary that bounds an intersection from above
-MOST_WORDS = 1_000_000
+EDGES_PER_FILE = 100_000
+MOST_WORDS = 300_000
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -251,7 +252,8 @@ def _confirm(pairs, docs, members, threshold, width):
 
 def components(links):
     """(id, component) for every id in the links (a, b): the least id it is connected to. Alternates large-star and
-    small-star steps on a stored edge table until it stops changing; a hub's edges are only ever reduced by key."""
+    small-star steps on a stored edge table until it stops changing; a hub's edges are only ever reduced by key. Tables are
+    written in files of about EDGES_PER_FILE edges, never more edges than before."""
     def state(e):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -263,18 +265,23 @@ def components(links):
         before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "edges")
         small = large.join(least(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("_m").alias("v")).union(small.select("u", F.col("_m").alias("v"))).filter("u <> v").distinct()
-        edges = stored(small, "edges")
+        edges = stored(small.coalesce(8 + now[0] // EDGES_PER_FILE), "edges")
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def _second_round(classes, bits, flagged, found, threshold):
+def _relabel(links, found):
+    """Links between classes as links between the components already found."""
+    for side in ("a", "b"):
+        links = links.join(found.select(F.col("id").alias(side), F.col("component").alias("_c")), side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
+    return links
+
+
+def _second_round(classes, bits, flagged, comps, threshold):
     """Candidates between components in the nodes that the first round cut short. Small nodes are compared in full; nodes with
     one component in the majority are dense and handled by `_dense`; the others branch, down to MOST_LEVELS."""
-    comps = components(found)
     labelled = classes.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     labelled = stored(labelled, "labelled-classes")
     rows = _roots(labelled).join(small_side(flagged, 24), "node", "left_semi")
@@ -338,11 +345,12 @@ def near_duplicates(docs, shingle=5, threshold=0.8):
     first = stored(_in_blocks(placed, threshold, False).distinct(), "first-round")
     links = stored(_confirm(stored(first.filter("node is null").select("a", "b"), "pairs"), docs, members, threshold, shingle), "links")
     flagged = stored(first.filter("node is not null").select("node").union(big.select(F.col("_node").alias("node"))).distinct(), "cut-nodes")
-    if flagged.limit(1).count():
-        more = stored(_second_round(sketches, classes.select("class", "bits"), flagged, links, threshold), "second-round")
-        links = links.union(_confirm(more, docs, members, threshold, shingle))
-    comps = components(links)
+    comps = stored(components(links), "components")
     named = members.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if flagged.limit(1).count():
+        more = stored(_second_round(sketches, classes.select("class", "bits"), flagged, comps, threshold), "second-round")
+        joined = components(_relabel(_confirm(more, docs, members, threshold, shingle), comps)).withColumnRenamed("component", "_joined")
+        named = named.join(joined, F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("_joined", "component")).drop("id", "_joined")
     named = stored(named, "class-components")
     label = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(label, "component").select("class", "component_id")
