@@ -186,7 +186,7 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def vocabulary(model):
     v = Vocabulary(model)
-    return v, UnitTable(v.viterbi)
+    return v, UnitTable(v.viterbi, most=200_000, slots=1 << 19)
 
 
 def unit_slices(texts):
