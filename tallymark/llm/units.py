@@ -66,10 +66,10 @@ def _slots(keys):
 class UnitTable:
     """Looks up id sequences of units; `encode` turns a list of new units (bytes) into a list of id lists. When `most` units are
     held a new table is begun and the last is kept aside: frequent units move over, rare ones are forgotten, so memory stays
-    bounded. Results do not depend on it."""
+    bounded. `most` is at most half the slots, so the table never fills. Results do not depend on it."""
 
     def __init__(self, encode, most=MOST_UNITS, slots=SLOTS):
-        self.encode, self.most, self.size = encode, most, slots
+        self.encode, self.most, self.size = encode, min(most, slots // 2), slots
         self.aside = None
         self._clear()
 
@@ -130,7 +130,7 @@ class UnitTable:
             left, slot = left[again], (slot[again] + 1) & (self.size - 1)
 
     def rows(self, raw, starts, ends):
-        """Row of every slice."""
+        """Row of every slice, of at most `most` slices."""
         lengths = ends - starts
         short = np.flatnonzero(lengths <= LONGEST_KEY)
         keys = _lanes(raw, starts[short], lengths[short])
@@ -166,8 +166,13 @@ class UnitTable:
         return out
 
     def encode_all(self, raw, starts, ends, per_text):
-        """(ids, ends): the ids of all texts one after the other, and where each text's end."""
-        rows = self.rows(raw, starts, ends)
-        lengths = self.length[rows]
-        done = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ragged(self.start[rows], lengths)], done[np.cumsum(per_text)]
+        """(ids, ends): the ids of all texts one after the other, and where each text's end. Slices lie in order. They are looked
+        up in runs of at most `most`, so one text may have any number of distinct units."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(starts), self.most):
+            s, e = starts[lo:lo + self.most], ends[lo:lo + self.most]
+            rows = self.rows(raw[s[0]:e[-1]], s - s[0], e - s[0])
+            lengths.append(self.length[rows])
+            ids.append(self.ids[ragged(self.start[rows], lengths[-1])])
+        done = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return np.concatenate(ids), done[np.cumsum(per_text)]

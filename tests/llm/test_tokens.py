@@ -1,6 +1,7 @@
 """Token store, piece codec and edit-aware counts: exact against the tokenizer libraries and brute force."""
 import base64
 import random
+import signal
 import zlib
 
 import numpy as np
@@ -76,6 +77,27 @@ def test_unit_table_forgets_without_changing_results():
         assert ids.tolist() == [x for w in words for x in (len(w), ord(w[0]))] + [2, ord("z")] and ends.tolist() == [2 * len(words), 2 * len(words), 2 * len(words) + 2]
 
 
+@pytest.mark.parametrize("slots, most", [(64, 20), (64, 64)])
+def test_one_text_of_more_distinct_units_than_slots(slots, most):
+    def stop(*_):
+        raise TimeoutError("the lookup does not end")
+    table = UnitTable(lambda units: [[len(u), *u[:2]] for u in units], most=most, slots=slots)
+    many = [b"%d" % i for i in range(1000)] + [b"long-" * 5 + b"%d" % i for i in range(100)]
+    texts = [b"", b" ".join(many), b"a b", b" ".join(many[::-1] + many), b""]
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(20)
+    try:
+        flat, ends = table.encode_all(*word_slices(texts))
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    start = 0
+    for t, end in zip(texts, ends.tolist()):
+        assert flat[start:end].tolist() == [x for u in t.split() for x in [len(u), *u[:2]]]
+        start = end
+    assert start == len(flat) and table.count <= slots // 2
+
+
 def best_score(v, unit, table):
     s = unit.decode()
     best = [0.0] + [None] * len(s)
