@@ -1,4 +1,5 @@
 """Kneser-Ney model, preference pairs and the corpus pipeline against brute force; edge tables."""
+import itertools
 import math
 import random
 import re
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallymark.llm import mixing, ngram_quality, preference
+from tallymark.llm import mixing, ngram_quality, preference, word_model
+from tallymark.llm.common import WORD
 from tests.llm.test_near_dup import brute
 from tests.llm.test_urls_and_rules import measured
 
@@ -84,6 +86,55 @@ def test_quality_separates_and_keeps(spark):
     assert ngram_quality.quality(docs.limit(0), tags).count() == 0
 
 
+def test_word_model_matches_dictionaries(spark):
+    rng = random.Random(12)
+    vocabulary = ["a", "the", "é", "😀ü", "of", "w" * 40, "x" * 23, "y" * 24, "tion"]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", "\n", "  "]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", " ", "the " * 900]
+    frame = lambda ts: spark.createDataFrame([(i, t, "en") for i, t in enumerate(ts)], "doc_id bigint, text string, lang string")
+    characters = ngram_quality.KneserNey(ngram_quality.trigram_counts(frame(texts)))
+    model = word_model.WordModel(word_model.word_trigram_counts(frame(texts).repartition(3)), characters)
+    spelling, plain = Plain(texts), Plain([])
+    plain.tri = Counter(g for t in texts if t for g in Plain.grams(re.findall(WORD, t)))
+    plain.bi = Counter(g[1:] for g in plain.tri)
+    plain.uni = Counter(g[1:] for g in plain.bi)
+    tables = (plain.tri, plain.bi, plain.uni)
+    plain.d = [plain.discounts(c) for c in tables]
+    for k, table in enumerate(tables):
+        for g, n in table.items():
+            plain.context[k][g[:-1]].append(n)
+
+    def p(g, spelled, k=0):
+        if k == 3:
+            return math.exp(spelled)
+        context = plain.context[k].get(g[:-1])
+        if not context:
+            return p(g[1:], spelled, k + 1)
+        cut = lambda n: plain.d[k][min(n, 3) - 1]
+        return (max(tables[k][g] - cut(tables[k][g]), 0) + sum(map(cut, context)) * p(g[1:], spelled, k + 1)) / sum(context) if g in tables[k] else sum(map(cut, context)) / sum(context) * p(g[1:], spelled, k + 1)
+    probes = texts + ["unknown words here", "the the é", "\x00", "the of é of the", "  é\n"]
+    for r in word_model.score(frame(probes).repartition(2), model).collect():
+        t = probes[r["doc_id"]] or ""
+        logs = [math.log(spelling.p(g)) for g in spelling.grams(t)]
+        spans = [m.span() for m in re.finditer(WORD, t)]
+        spelled = [sum(logs[lo:hi + 1]) for lo, hi in spans] + [logs[-1]]
+        want = sum(math.log(p(g, s)) for g, s in zip(plain.grams([t[lo:hi] for lo, hi in spans]), spelled))
+        assert r["n_chars"] == len(t) and math.isclose(r["log_prob"], want, rel_tol=1e-9, abs_tol=1e-9), t[:30]
+
+
+def test_quality_refuses_unknown_words_of_ordinary_letters(spark):
+    rng = random.Random(4)
+    parts = ["an", "er", "in", "on", "th", "re"]
+    every = ["".join(w) for w in itertools.product(parts, repeat=4)]
+    rng.shuffle(every)
+    known, other = every[:300], every[300:]
+    rows = [(i, " ".join(rng.choice(known) for _ in range(80)), "en") for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(other) for _ in range(80)), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    tags = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id bigint, quality int, toxic int")
+    kept = {r["doc_id"] for r in ngram_quality.quality(docs, tags).collect() if r["kept"]}
+    assert not kept & set(range(1000, 1020)) and len(kept) >= 195
+
+
 @pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.1')", reason="test tables not present")
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
