@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import edit_counts, fingerprint, mixing, near_dup, ngram_quality, piece_codec, preference, rule_ledger, token_store, url_rules
+from . import edit_counts, fingerprint, merkle, mixing, near_dup, ngram_quality, piece_codec, preference, rule_ledger, spelling, token_store, url_rules, vector_forest
 
 QUERIES, ORACLES = {}, {}
 W = r"'[^\x20\x09-\x0D]+'"
@@ -161,3 +161,75 @@ from common left join prompt using (conv_id) left join chosen_side c using (conv
 def preference_query(spark, sf_dir):
     out = preference.preference_examples(*preference.swapped_answers(table(spark, sf_dir, "conversations")))
     return out.withColumns({c: preference.spans_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+def _merkle_sql(source_levels=10, dataset_levels=6):
+    """Level tables of the trees in plain SQL, for up to 3^10 documents a source and 3^6 sources."""
+    def field(c):
+        return f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+
+    def level(name, below, by):
+        w = f"(partition by {by}, p // 3 order by p)"
+        return (f"{name} as (select *, coalesce(lag(h, 2) over w, '') || coalesce(lag(h) over w, '') as l, coalesce(lead(h) over w, '') || coalesce(lead(h, 2) over w, '') as r from {below} window w as {w})")
+
+    def above(name, below, by):
+        return f"{name} as (select {by}, p // 3 as p, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by p)) end as h, (any_value(n) + 2) // 3 as n from {below} group by {by}, p // 3)"
+    leaf = "sha256(" + " || ".join(field(c) for c in merkle.FIELDS) + ")"
+    later = "sha256(" + " || ".join(field(c if c != "text" else "replace(text, chr(10), '')") for c in merkle.FIELDS) + ")"
+    # crc32 of the decimal id, bit by bit over its bytes
+    steps = "list_reduce(list_prepend(xor({c}, ord(d[i])), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    crc = f"select doc_id, d, 1 as i, 4294967295::bigint as c from (select distinct doc_id, doc_id::varchar as d from documents where doc_id is not null) union all select doc_id, d, i + 1, {steps.format(c='c')} from crc where i <= length(d)"
+    ctes = [f"crc as ({crc})", "odd as (select doc_id, xor(c, 4294967295) & 1 as bit from crc where i = length(d) + 1)",
+            f"leaves as (select d.doc_id, source, {leaf} as h, case when bit = 0 then {later} else {leaf} end as t from documents d left join odd using (doc_id))",
+            "n0 as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as p, count(*) over (partition by source) as n from leaves)"]
+    ctes += [level("s0", "(select source, p, h, n from n0)", "source")]
+    for k in range(1, source_levels + 1):
+        ctes += [above(f"a{k}", f"s{k - 1}", "source"), level(f"s{k}", f"a{k}", "source")]
+    ctes += [f"roots as (select source, h, row_number() over (order by source nulls first) - 1 as p, count(*) over () as n from s{source_levels})", level("d0", "(select 0 as one, p, h, n from roots)", "one")]
+    for k in range(1, dataset_levels + 1):
+        ctes += [above(f"b{k}", f"d{k - 1}", "one"), level(f"d{k}", f"b{k}", "one")]
+    ctes.append("x0 as (select n0.doc_id, n0.source, n0.h as leaf, n0.p, t, s0.l || s0.r as proof, case when n0.n = 1 then t else sha256(s0.l || t || s0.r) end as f from n0 join s0 on n0.source is not distinct from s0.source and n0.p = s0.p)")
+    for k in range(1, source_levels):
+        ctes.append(f"x{k} as (select x.* replace (proof || l || r as proof, case when n = 1 then f else sha256(l || f || r) end as f) from x{k - 1} x join s{k} s on x.source is not distinct from s.source and x.p // {3 ** k} = s.p)")
+    ctes.append(f"y0 as (select x.* replace (roots.p as p, proof || l || r as proof, case when d0.n = 1 then f else sha256(l || f || r) end as f), roots.h as subroot from x{source_levels - 1} x join roots on x.source is not distinct from roots.source join d0 on roots.p = d0.p)")
+    for k in range(1, dataset_levels):
+        ctes.append(f"y{k} as (select y.* replace (proof || l || r as proof, case when n = 1 then f else sha256(l || f || r) end as f) from y{k - 1} y join d{k} d on y.p // {3 ** k} = d.p)")
+    return "with recursive " + ", ".join(ctes) + f" select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, f as folded_root, f = h as verified from y{dataset_levels - 1} y, d{dataset_levels} d"
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def merkle_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.verify(merkle.append(docs, changed=merkle.without_newlines(docs)))
+
+
+BYTES_SQL = "list_transform(range(1, octet_length(encode({s})) + 1), lambda i: ('0x' || substr(hex(encode({s})), 2 * i - 1, 2))::bigint)"
+
+
+@query("op13_spelling_variants", rf"""
+with recursive crc_table as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c from (select unnest(range(256)) as i))),
+runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+counted as (select doc_id, run, count(*) as k from runs group by doc_id, run),
+keyed as (select *, xor(list_reduce(list_prepend(4294967295::bigint, {BYTES_SQL.format(s="(doc_id || ':' || run)")}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from counted, crc_table),
+spelt as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from keyed),
+vocab as (select word, sum(k)::bigint as n from spelt where length(word) >= 6 group by word having sum(k) >= 5),
+cut as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from vocab)),
+pairs as (select x.word as a, y.word as b from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word union select x.word, y.word from cut x join vocab y on x.rest = y.word union select y.word, x.word from cut x join vocab y on x.rest = y.word),
+near as (select a, count(*) as n_near, min_by(struct_pack(w := b, n := n), struct_pack(m := -n, w := b)) as best from pairs join vocab on word = b group by a),
+forms as (select vocab.word, vocab.n, coalesce(n_near, 0) as n_near, case when best.n >= 5 * vocab.n then best.w end as form, case when best.n >= 5 * vocab.n then best.n end as form_n from vocab left join near on word = a),
+walk as (select word, word as root from forms union all select walk.word, forms.form from walk join forms on walk.root = forms.word where forms.form is not null),
+ends as (select walk.word, walk.root from walk join forms on walk.root = forms.word where forms.form is null)
+select word, form, root, n, n_near, form_n from forms join ends using (word)""")
+def spelling_query(spark, sf_dir):
+    return spelling.variants_of_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_forest", """
+with recursive v as (select vec_id, label, embedding::double[] as e, row_number() over () as r, list_sum(list_transform(embedding, lambda x: x::double * x::double)) as q, len(embedding) as d, len(list_filter(embedding, lambda x: x is null or not isfinite(x))) as bad from embeddings),
+u as (select * from v where label is not null and bad = 0 and q > 0),
+links as (select x.r as a, y.r as b from u x join u y on x.label = y.label and x.d = y.d and x.r <> y.r where list_inner_product(x.e, y.e) / (sqrt(x.q) * sqrt(y.q)) >= 0.93),
+t as (select r as a, r as b from v union select t.a, links.b from t join links on t.b = links.a),
+n as (select a, count(*) as n_links from links group by a), c as (select t.a, min(vec_id) as component_id from t join v on t.b = v.r group by t.a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join c on v.r = c.a left join n on v.r = n.a""")
+def vector_forest_query(spark, sf_dir):
+    return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
