@@ -1,18 +1,22 @@
 """Temperature fits, folds and the group bootstrap (C).
 
 Scale notes. A grid fit never keeps row x temperature pairs: they are summed map-side to one number per (group, temperature).
-The bootstrap works on per-unit sums; a draw is a (sample, source, picked unit) multiplicity, so rows are never resampled.
+The bootstrap works on per-unit sums; a draw is a multiplicity of each unit (see `draws`), so rows are never resampled.
 """
 import math
 from functools import reduce
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import spread
 from ..functions import vectors as V
-from ..functions.text import h60, sha
+from ..functions.text import sha
+from ..session import settle
+from . import draws
 from . import scoring as M
 from .splits import grouped_folds
 
@@ -23,19 +27,43 @@ def grid(points=81):
     return [math.exp(lo + i * (hi - lo) / (points - 1)) for i in range(points)]
 
 
+def _batch_losses(by, temperatures):
+    """Arrow batches of (*by, logits, label, weight) become one row per group of the batch and grid position."""
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.filter(pa.compute.is_valid(table.column("_z")))
+            if not table.num_rows:
+                continue
+            group, first = draws._codes(table, by)
+            z = table.column("_z").combine_chunks()
+            sizes = z.value_lengths().to_numpy(zero_copy_only=False)
+            wide = np.full((len(sizes), max(1, int(sizes.max()))), -np.inf)
+            wide[np.arange(wide.shape[1]) < sizes[:, None]] = z.flatten().to_numpy(zero_copy_only=False)
+            wide -= wide.max(axis=1, keepdims=True)
+            y = wide[np.arange(len(sizes)), table.column("label").to_numpy().astype(np.int64)]
+            w = table.column("_w").to_numpy()
+            losses = np.empty((len(first), len(temperatures)))
+            for i, t in enumerate(temperatures):
+                losses[:, i] = np.bincount(group, weights=w * (np.log(np.exp(wide / t).sum(axis=1)) - y / t), minlength=len(first))
+            weights = np.bincount(group, weights=w, minlength=len(first))
+            at = np.repeat(np.arange(len(first)), len(temperatures))
+            keys = table.select(by).take(pa.array(first)).take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[keys.column(c).combine_chunks() for c in by], pa.array(np.tile(np.arange(len(temperatures)), len(first)), pa.int64()), pa.array(losses.ravel()), pa.array(weights[at])], [*by, "ti", "loss", "w"])
+    return run
+
+
 def grid_losses(df, by, points=81, weight=None):
-    """Summed (weighted) nll and weight per (group, grid position). Rows served at a temperature are refused inside the plan."""
-    temps = F.array(*[F.lit(t) for t in grid(points)])
+    """Summed (weighted) nll and weight per (group, grid position). Every batch of rows is summed where it is read, so only
+    groups x positions are shuffled. Rows served at a temperature are refused inside the plan."""
+    by, temperatures = list(by), grid(points)
     z = F.col("logits")
     if "inference_temperature" in df.columns:
         z = F.when(F.coalesce(F.col("inference_temperature"), F.lit(1.0)) != 1.0, F.raise_error(F.lit("fit temperature on raw logits"))).otherwise(z)
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    # shifted logits once per row; then one exp-sum per temperature
-    base = df.select(*by, V.let(z, lambda a: V.let(F.array_max(a), lambda m: F.transform(a, lambda x: x - m))).alias("_d"), "label", w.alias("_w"))
-    base = base.select(*by, "_d", "_w", V.at("_d", "label").alias("_y"))
-    wide = base.select(*by, "_d", "_w", "_y", F.posexplode(temps).alias("ti", "t"))
-    loss = F.log(F.aggregate("_d", F.lit(0.0), lambda a, x: a + F.exp(x / F.col("t")))) - F.col("_y") / F.col("t")
-    return wide.groupBy(*by, "ti", "t").agg(F.sum(F.col("_w") * loss).alias("loss"), F.sum("_w").alias("w"))
+    rows = df.select(*by, z.alias("_z"), "label", (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w"))
+    schema = rows.select(*by).schema.add("ti", "long").add("loss", "double").add("w", "double")
+    summed = rows.mapInArrow(_batch_losses(by, temperatures), schema).groupBy(*by, "ti").agg(F.sum("loss").alias("loss"), F.sum("w").alias("w"))
+    return summed.withColumn("t", F.element_at(F.array(*[F.lit(t) for t in temperatures]), (F.col("ti") + 1).cast("int")))
 
 
 def _best(losses, by, value):
@@ -124,26 +152,7 @@ def pairing_violations(a, b):
 def resampling_units(df, seed, strata="source", group="group_id"):
     """Distinct (stratum, group) with a rank inside its stratum and the stratum size."""
     u = df.select(strata, group).distinct().withColumn("_o", sha(F.lit(seed), F.col(strata), F.col(group)))
-    return spread.spread_rank(u, [strata], ["_o"], spread.hash_bucket("_o"), "unit", total="units").drop("_o")
-
-
-def draw_units(units, samples, seed, strata="source"):
-    """(s, stratum, unit, m): how often a sample picks a unit. Each unit row stands for one slot of its stratum and picks a unit of
-    the same stratum by digest, once per sample. Sample -1 holds every unit once, so that the point estimate comes out of
-    the same pass. Picks are dealt out by (stratum, unit), where they are counted and meet their unit's sums."""
-    # a fixed number of partitions: the rows are about to be multiplied, so they must not be coalesced by their present size
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = units.repartition(n, strata, "unit").select(strata, "unit", "units", F.explode(F.sequence(F.lit(-1), F.lit(samples - 1))).alias("s"))
-    pick = h60(F.lit(seed), F.col("s"), F.col(strata), F.col("unit")) % F.col("units") + 1
-    picks = d.select("s", strata, F.when(F.col("s") < 0, F.col("unit")).otherwise(pick).alias("unit"))
-    return picks.repartition(n, strata, "unit").groupBy("s", strata, "unit").agg(F.count(F.lit(1)).alias("m"))
-
-
-def with_draws(sums, units, draws, values, strata="source", group="group_id"):
-    """Rows of `sums` for every sample that picks their unit, the columns `values` times the number of picks."""
-    n = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = sums.join(units.drop("units"), [strata, group]).drop(group).repartition(n, strata, "unit")
-    return draws.join(tagged, [strata, "unit"]).withColumns({c: F.col(c) * F.col("m") for c in values}).drop("m")
+    return settle(spread.spread_rank(u, [strata], ["_o"], spread.hash_bucket("_o"), "unit", total="units").drop("_o"))
 
 
 ARMS = ("candidate", "reference")
@@ -152,19 +161,20 @@ ARMS = ("candidate", "reference")
 class Metric(NamedTuple):
     """What the bootstrap needs to know about a metric. kind `additive`: `expr` gives a row's value, the metric is its mean.
     kind `bins`: the calibration error. kind `curve`: `expr` is an aggregate over the risk-coverage curve columns (conf, n,
-    errors, cum_n, cum_errors, tot_n), recomputed in every draw."""
+    errors, cum_n, cum_errors, tot_n), recomputed in every draw; `draw`, if given, does the same for whole blocks of samples."""
     name: str
     kind: str
     expr: Callable = None
+    draw: Callable = None
 
 
 METRICS = {}
 
 
-def register_metric(name, kind, expr=None):
+def register_metric(name, kind, expr=None, draw=None):
     if kind not in ("additive", "bins", "curve"):
         raise ValueError(f"unsupported metric kind: {kind}")
-    METRICS[name] = Metric(name, kind, expr)
+    METRICS[name] = Metric(name, kind, expr, draw)
     return METRICS[name]
 
 
@@ -180,9 +190,9 @@ register_metric("confident_error_rate", "additive", lambda: _flag(F.col("confide
 register_metric("coverage_at_0_9", "additive", lambda: _flag(F.col("conf") >= 0.9))
 register_metric("confidence_bias", "additive", lambda: F.col("confidence_bias"))
 register_metric("ece", "bins")
-register_metric("aurc", "curve", M.aurc_expr)
-register_metric("coverage_at_5pct_error", "curve", lambda: M.coverage_expr(0.05))
-register_metric("coverage_at_1pct_error", "curve", lambda: M.coverage_expr(0.01))
+register_metric("aurc", "curve", M.aurc_expr, draws.area)
+register_metric("coverage_at_5pct_error", "curve", lambda: M.coverage_expr(0.05), draws.coverage(0.05))
+register_metric("coverage_at_1pct_error", "curve", lambda: M.coverage_expr(0.01), draws.coverage(0.01))
 
 
 def _metric(name):
@@ -231,18 +241,15 @@ def interval(c):
 def bootstrap_arms(both, metric, samples, seed, by=(), aggregation="macro"):
     """Point delta and percentile interval per `by` for scored rows with `arm` (candidate/reference) and `part` columns. All
     pairs share the draws; the resampled units are those of the reference rows."""
-    by = list(by)
-    sums = _sums(both, [*by, "source", "group_id", "arm", "part"], metric)
-    if _metric(metric).kind == "additive":      # both arms side by side: half the rows to draw
-        sums = sums.groupBy(*by, "source", "group_id", "part").agg(*[F.sum(F.when(F.col("arm") == a, F.col(c))).alias(f"{c}_{a}") for a in ARMS for c in ("x", "n")])
-    units = resampling_units(both.filter(F.col("arm") == "reference"), seed)
-    values = [f"{c}_{a}" for a in ARMS for c in ("x", "n")] if _metric(metric).kind == "additive" else ["x", "n"]
-    drawn = with_draws(sums, units, draw_units(units, samples, seed), values)
-    if _metric(metric).kind == "additive":
-        st = drawn.groupBy(*by, "s", "part").agg(*[(F.sum(f"x_{a}") / F.sum(f"n_{a}")).alias(a) for a in ARMS])
-        d = st.groupBy(*by, "s").agg(F.avg(F.col(ARMS[0]) - F.col(ARMS[1])).alias("delta"))
-    else:
-        d = _delta(_statistic(drawn, [*by, "s", "arm", "part"], metric), [*by, "s"], aggregation)
+    by, m = list(by), _metric(metric)
+    sums = settle(_sums(both, [*by, "source", "group_id", "arm", "part"], metric))
+    units = resampling_units(sums.filter(F.col("arm") == "reference"), seed)
+    keys = [*by, "arm", "part"]
+    stat = draws.curve_per_draw(sums, units, samples, seed, keys, m.draw) if m.draw else None
+    if stat is None:
+        within = {"additive": [], "bins": ["bin"], "curve": ["conf"]}[m.kind]
+        stat = _statistic(draws.sums_per_draw(sums, units, samples, seed, [*keys, *within], ["x", "n"]), [*by, "s", "arm", "part"], metric)
+    d = _delta(stat, [*by, "s"], aggregation)
     out = d.groupBy(*by).agg(F.max(F.when(F.col("s") < 0, F.col("delta"))).alias("delta"), *interval("delta"))
     n = units.agg(F.count(F.lit(1)).alias("groups"))
     return out.crossJoin(F.broadcast(n)).withColumnRenamed("delta_lo", "lo").withColumnRenamed("delta_hi", "hi") \
@@ -276,9 +283,9 @@ def cross_validated_temperature(df, folds=5, seed="cv", samples=1000, aggregatio
 
 
 def ece_interval(scored, samples, seed, arms=("raw", "out_of_fold")):
-    sums = _sums(scored, ["source", "group_id", "arm"], "ece")
-    units = resampling_units(scored.filter(F.col("arm") == arms[0]), seed)
-    drawn = with_draws(sums, units, draw_units(units, samples, seed), ["x", "n"])
+    sums = settle(_sums(scored, ["source", "group_id", "arm"], "ece"))
+    units = resampling_units(sums.filter(F.col("arm") == arms[0]), seed)
+    drawn = draws.sums_per_draw(sums, units, samples, seed, ["arm", "bin"], ["x", "n"])
     v = _statistic(drawn, ["s", "arm"], "ece").groupBy("s").agg(*[F.max(F.when(F.col("arm") == x, F.col("v"))).alias(x) for x in arms])
     v = v.withColumn("delta", F.col(arms[1]) - F.col(arms[0]))
     out = v.agg(*[e for c in (*arms, "delta") for e in interval(c)])
@@ -358,9 +365,9 @@ def paired_panels(parent, candidate, samples, seed="panel", metrics=("acc", "nll
     def stats(df, arm):
         p = episode_weights(panel_rows(df), ["panel"])
         return group_sufficient_stats(p, ["panel", "group_id"]).withColumn("arm", F.lit(arm))
-    both = stats(parent, "parent").unionByName(stats(candidate, "candidate"))
+    both = settle(stats(parent, "parent").unionByName(stats(candidate, "candidate")))
     units = resampling_units(both.filter(F.col("arm") == "parent"), seed, strata="panel")
-    drawn = with_draws(both, units, draw_units(units, samples, seed, strata="panel"), ["w", "acc", "nll", "brier", *BINS], strata="panel")
+    drawn = draws.sums_per_draw(both, units, samples, seed, ["panel", "arm"], ["w", "acc", "nll", "brier", *BINS], strata="panel")
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
     flat = summarize_stats(drawn, ["s", "panel", "arm"]).select("s", "panel", "arm", F.inline(arr))
     wide = flat.groupBy("s", "panel", "metric").agg(*[F.max(F.when(F.col("arm") == a, F.col("v"))).alias(a) for a in ("parent", "candidate")]).withColumn("delta", F.col("candidate") - F.col("parent"))

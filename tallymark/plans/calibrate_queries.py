@@ -12,8 +12,6 @@ from .scoring_queries import EDGE, rounded
 from .splits_queries import FOLDS
 
 SAMPLES = 1000
-CURVE_SAMPLES = 200         # metrics whose risk-coverage curve is rebuilt in every draw
-CURVES = ("aurc", "coverage_at_5pct_error")
 
 
 def grid_sql(points):
@@ -58,17 +56,27 @@ def _(t):
     return oof.select("id", "task", r6(V.at("p", "label"), "p_label"))
 
 
-def boot_ctes(seed, samples, src="questions"):
-    return {"units": f"select source, group_id, row_number() over (partition by source order by sha256('{seed}:'||source||':'||group_id)) as unit, count(*) over (partition by source) as units from (select distinct source, group_id from {src})",
-            "draws": f"select s, source, {h60(repr(seed), 's::varchar', 'source', 'unit::varchar')}%units+1 as unit, count(*) as m from units cross join range({samples}) r(s) group by s, source, {h60(repr(seed), 's::varchar', 'source', 'unit::varchar')}%units+1"}
+def mix_sql(x):
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, {x}) * 73244475) & 4294967295)"
+    return f"xor({x} >> 16, {x})"
+
 
+def picks_sql(units, stratum, samples):
+    """Multiplicities (s, stratum, unit, m) by the counter hash of the draws; `units` has k, the stratum's 60-bit digest."""
+    c = f"select *, {mix_sql('((k >> 28) + s) & 4294967295')} as c from {units} cross join range({samples}) r(s)"
+    d = f"select *, {mix_sql('xor(k & 268435455, c)')} as d from ({c})"
+    e = f"select *, {mix_sql('xor(c, unit)')} as hi, {mix_sql('(d + unit) & 4294967295')} as lo from ({d})"
+    return f"select s, {stratum}, pick as unit, count(*) as m from (select s, {stratum}, (hi * 268435456 + (lo & 268435455)) % units + 1 as pick from ({e})) group by all"
 
-def draws_of(metric):
-    return CURVE_SAMPLES if metric in CURVES else SAMPLES
+
+def boot_ctes(seed, samples, src="questions"):
+    return {"units": f"select source, group_id, row_number() over (partition by source order by sha256('{seed}:'||source||':'||group_id)) as unit, count(*) over (partition by source) as units, {h60(repr(seed), 'source')} as k from (select distinct source, group_id from {src})",
+            "draws": picks_sql("units", "source", samples)}
 
 
 def boot_sql(metric, part, seed="boot", a="scA", b="scB", needs=("scA", "scB"), samples=None, **more):
-    samples = samples or draws_of(metric)
+    samples = samples or SAMPLES
     both = f"select source, group_id, {part} as part, 'c' as arm, ok, conf, nll, brier from {a} union all select source, group_id, {part}, 'r', ok, conf, nll, brier from {b}"
     ctes = {"both_": both, **boot_ctes(seed, samples), "one": "select -1 as s, source, unit, 1 as m from units", "alld": "select * from draws union all select * from one"}
     if metric in ("acc", "nll", "brier"):
@@ -94,7 +102,7 @@ def boot_sql(metric, part, seed="boot", a="scA", b="scB", needs=("scA", "scB"),
 def _boot(metric, aggregation):
     @query(f"C6_bootstrap_{metric}_{aggregation}", boot_sql(metric, "task" if aggregation == "macro" else "'all'"))
     def _(t):
-        return rounded(C.paired_bootstrap(t.decisions("A"), t.decisions("B"), metric, aggregation, draws_of(metric), "boot"))
+        return rounded(C.paired_bootstrap(t.decisions("A"), t.decisions("B"), metric, aggregation, SAMPLES, "boot"))
 
 
 for _metric, _aggregation in (("nll", "macro"), ("acc", "micro"), ("ece", "micro"), ("aurc", "micro"), ("coverage_at_5pct_error", "macro")):
@@ -143,14 +151,14 @@ def union_sql(parts):
     return " union all ".join(f"select * from ({p})" for p in parts)
 
 
-OOF_ARMS = dict(a="scw_", b="scs_", needs=("decA",), samples=CURVE_SAMPLES, **CV, oof2="select * replace(q as p, z as logits) from oof",
+OOF_ARMS = dict(a="scw_", b="scs_", needs=("decA",), samples=SAMPLES, **CV, oof2="select * replace(q as p, z as logits) from oof",
                 ship=f"select * replace({softmax('z')} as p, z as logits) from (select *, list_transform(logits, lambda x: (x-list_max(logits))/0.8e0) as z from decA)", scw_=SCORES.format(src="oof2"), scs_=SCORES.format(src="ship"))
 
 
 @query("C5_workload_intervals", union_sql([boot_sql(m, "'all'", "cv", **OOF_ARMS) for m in ("ece", "brier", "coverage_at_5pct_error", "aurc")]))
 def _(t):
     shipped = settle(M.temper(t.decisions("A"), 0.8))
-    return rounded(C.workload_intervals(settle(C.workload_arms(shipped, 5, "cv", 81)), CURVE_SAMPLES, "cv"))
+    return rounded(C.workload_intervals(settle(C.workload_arms(shipped, 5, "cv", 81)), SAMPLES, "cv"))
 
 
 @query("C7_episode_weights", sql(f"select id, {R('1e0/count(*) over (partition by view, parent)')} as weight from winA", "winA"))
@@ -177,8 +185,8 @@ TOT = "select {by}, sum(acc*m)/sum(w*m) as acc, sum(nll*m)/sum(w*m) as nll, sum(
  {','.join(f"{R(f'quantile_cont({c},{q})')} as {n}_{tag}" for c, n in (('p', 'parent'), ('c', 'candidate'), ('c-p', 'delta')) for tag, q in (('lo', 0.025), ('hi', 0.975)))}
  from (select panel, metric, s, max(case when arm='p' then v end) as p, max(case when arm='c' then v end) as c from bl group by panel, metric, s) join
  (select panel, metric, max(case when arm='p' then v end) as p0, max(case when arm='c' then v end) as c0 from pl_ group by panel, metric) using(panel, metric) group by panel, metric""", "scwA", "scwB", **PANELS, st=P_STATS,
-                               un="select panel, group_id, row_number() over (partition by panel order by sha256('panel:'||panel||':'||group_id)) as unit, count(*) over (partition by panel) as units from (select distinct panel, group_id from panA)",
-                               dr=f"select s, panel, {h60(repr('panel'), 's::varchar', 'panel', 'unit::varchar')}%units+1 as unit, count(*) as m from un cross join range({SAMPLES}) r(s) group by s, panel, {h60(repr('panel'), 's::varchar', 'panel', 'unit::varchar')}%units+1",
+                               un=f"select panel, group_id, row_number() over (partition by panel order by sha256('panel:'||panel||':'||group_id)) as unit, count(*) over (partition by panel) as units, {h60(repr('panel'), 'panel')} as k from (select distinct panel, group_id from panA)",
+                               dr=picks_sql("un", "panel", SAMPLES),
                                jb="select st.*, s, m from st join un using(panel, group_id) join dr using(panel, unit)", bt=TOT.format(by="s, panel, arm", src="jb"), pt=TOT.format(by="panel, arm", src="(select *, 1 as m from st)"),
                                bl="select s, panel, arm, u.metric, u.v from bt, lateral (values ('acc',acc),('nll',nll),('brier',brier),('ece',ece)) u(metric,v)",
                                pl_="select panel, arm, u.metric, u.v from pt, lateral (values ('acc',acc),('nll',nll),('brier',brier),('ece',ece)) u(metric,v)"))

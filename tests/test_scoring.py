@@ -110,3 +110,28 @@ def test_out_of_fold_lowers_ece_of_overconfident_rows(spark):
     oof, _ = C.out_of_fold(d, 5, "x")
     e = lambda x: M.ece(M.row_scores(x), ["task"]).first()["ece"]
     assert e(oof) < e(d)
+
+
+def test_draws_are_the_same_with_and_without_a_broadcast(spark):
+    """Sums per draw by arrays in every task and by a shuffle of the picks; every sample holds as many picks as units."""
+    from tallymark.operators import draws
+    rows = [(src, g, arm, float(i % 7), 1) for i, (src, g) in enumerate((s, f"{s}{k}") for s, n in (("a", 40), ("b", 1), (None, 3)) for k in range(n)) for arm in ("x", "y")]
+    sums = spark.createDataFrame([r for r in rows if r[0]], "source string, group_id string, arm string, v double, n bigint")
+    units = C.resampling_units(sums, "s")
+    ways = [sorted(map(tuple, draws.sums_per_draw(sums, units, 30, "s", ["arm"], ["v", "n"], broadcast=b).collect())) for b in (True, False)]
+    assert ways[0] == ways[1] and len(ways[0]) == 31 * 2
+    assert {r[3] for r in ways[0]} == {41.0}
+    assert len({r[2] for r in ways[0]}) > 10
+    assert draws.sums_per_draw(sums.limit(0), units, 5, "s", ["arm"], ["v", "n"]).collect() == []
+
+
+def test_curve_metrics_per_draw_equal_rebuilt_curves(spark):
+    import numpy as np
+    from tallymark.operators import draws
+    rng = np.random.default_rng(1)
+    rows = [("s", int(k % 25), "x", float(c), 1, int(rng.random() < 0.3)) for k, c in enumerate(rng.integers(1, 9, 200) / 10)]
+    sums = spark.createDataFrame(rows, "source string, group_id bigint, arm string, conf double, n bigint, x bigint").groupBy("source", "group_id", "arm", "conf").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    units = C.resampling_units(sums, "s")
+    fast = {r["s"]: r["v"] for r in draws.curve_per_draw(sums, units, 12, "s", ["arm"], draws.area).collect()}
+    slow = C._statistic(draws.sums_per_draw(sums, units, 12, "s", ["arm", "conf"], ["x", "n"], broadcast=False), ["s", "arm"], "aurc").collect()
+    assert {r["s"] for r in slow} == set(fast) and all(abs(fast[r["s"]] - r["v"]) < 1e-12 for r in slow)
