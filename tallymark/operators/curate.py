@@ -1,10 +1,13 @@
 """Fingerprints, duplicates, decontamination, unique selection (D). Exact matches only."""
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import spread
 from ..functions.text import norm_text
-from ..session import settle
+from ..session import settle, written
 
 
 def row_digest(df, cols, canonical=True, name="digest"):
@@ -87,17 +90,55 @@ def overlap(a, b, key="skey"):
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
 
 
-def _first_users(pairs):
-    """Pairs that come first for at least one of their hashes; only these can ever be kept when there is no quota."""
-    first = pairs.select("ord", F.explode(F.array("h1", "h2")).alias("h")).groupBy("h").agg(F.min("ord").alias("ord")).select("ord").distinct()
-    return pairs.join(first, "ord", "left_semi")
+def _decided(live):
+    """Splits undecided pairs (ord, h1, h2) of the rule "first in order wins at each hash": (kept, undecided) as written tables of
+    (ord, h1, h2). A pair that no undecided one precedes at either hash is kept. A pair that exactly one precedes is kept where that
+    one is not, so such pairs form chains, which are followed by doubling their steps. Whatever shares a hash with a kept
+    pair is dropped. Pairs behind two or more undecided ones wait, unless they are dropped."""
+    ends = live.select("ord", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h"))
+    one = ends.groupBy("h").agg(F.min("ord").alias("_m"))
+    two = ends.join(one, "h").filter(F.col("ord") > F.col("_m")).groupBy("h").agg(F.min("ord").alias("_m2"))
+    least = written(one.join(two, "h", "left"), "least")
+    # at each hash: none before, the one before, or (-1) more than one; orders are made non-negative by their table
+    before = F.when(F.col("ord") == F.col("_m"), F.lit(None).cast("bigint")).when(F.col("ord") == F.col("_m2"), F.col("_m")).otherwise(F.lit(-1))
+    seen = ends.join(least, "h").select("ord", before.alias("_b")).groupBy("ord").agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+    kind = F.when(F.col("_lo").isNull(), "kept").when((F.col("_lo") >= 0) & (F.col("_lo") == F.col("_hi")), "chain").otherwise("waits")
+    # a step leads to the pair before and turns the answer round; kept and waiting pairs lead to themselves
+    steps = seen.withColumn("kind", kind).select("ord", F.when(F.col("kind") == "chain", F.col("_lo")).otherwise(F.col("ord")).alias("to"), (F.col("kind") == "chain").alias("odd"), "kind")
+    steps = written(steps, "steps")
+    while True:
+        ahead = steps.filter("kind = 'chain'").select(F.col("ord").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        if ahead.limit(1).count() == 0:
+            break
+        ends_here = steps.filter("kind <> 'chain'").select(F.col("ord").alias("to"), F.col("kind").alias("_end"))
+        chain = steps.filter("kind = 'chain'").join(ahead, "to", "left").join(ends_here, "to", "left")
+        moved = chain.select("ord", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                             F.when(F.col("_end").isNull(), "chain").when(F.col("_end") == "waits", "waits").when((F.col("_end") == "kept") != F.col("odd"), "kept").otherwise("dropped").alias("kind"))
+        # a pair that has reached an end becomes an end itself: others may still lead to it
+        steps = written(moved.unionByName(steps.filter("kind <> 'chain'")), "steps")
+    named = written(live.join(steps.select("ord", "kind"), "ord"), "decided")
+    kept = named.filter("kind = 'kept'").select("ord", "h1", "h2")
+    taken = kept.select(F.explode(F.array("h1", "h2")).alias("_h")).distinct()
+    left = named.filter("kind = 'waits'")
+    for side in ("h1", "h2"):
+        left = left.join(taken, F.col(side) == F.col("_h"), "left_anti")
+    return kept, written(left.select("ord", "h1", "h2"), "undecided")
 
 
 def unique_pairs_by_family(pairs, n=None):
-    """Pairs (family, ord, h1, h2) in order of the unique `ord`: a pair is skipped when either hash belongs to an
-    earlier kept pair, and a family stops at n (no limit when None). Only kept pairs block, so the state is the kept set (families x n rows):
-    each round recomputes it from the previous one, and every round settles at least the next pair in order, usually all."""
-    kept = None
+    """Pairs (family, ord, h1, h2) in order of the unique, non-negative `ord`: a pair is skipped when either hash belongs to an
+    earlier kept pair, and a family stops at n (no limit when None). Without a limit every round decides all pairs that come first at
+    both hashes and all chains behind them, and only the undecided rest goes on: a chain of any length takes the logarithm of its
+    length in steps. With a limit only kept pairs block, so the state is the kept set (families x n rows): each round
+    recomputes it from the previous one, and every round settles at least the next pair in order, usually all."""
+    pairs = written(pairs, "pairs")
+    if n is None:
+        live, parts = pairs.select("ord", "h1", "h2"), []
+        while live.limit(1).count():
+            kept, live = _decided(live)
+            parts.append(kept.select("ord"))
+        return pairs.join(reduce(lambda a, b: a.unionByName(b), parts), "ord", "left_semi") if parts else pairs.limit(0)
+    kept, before = None, None
     while True:
         free = pairs
         if kept is not None:
@@ -105,13 +146,18 @@ def unique_pairs_by_family(pairs, n=None):
             for side in ("h1", "h2"):
                 free = free.join(first.select(F.col("h").alias(side), F.col("m").alias(f"_m_{side}")), side, "left")
             free = free.filter(~F.coalesce(F.least("_m_h1", "_m_h2") < F.col("ord"), F.lit(False))).drop("_m_h1", "_m_h2")
-        if n is None:
-            new = settle(_first_users(free))
-        else:
-            new = settle(spread.first_n(free, ["family"], ["ord"], n, spread.magnitude_bucket("ord", 256)))
-        if kept is not None and new.select("ord").exceptAll(kept.select("ord")).isEmpty() and kept.count() == new.count():
-            return new
-        kept = new
+        kept = written(spread.first_n(free, ["family"], ["ord"], n, spread.magnitude_bucket("ord", 256)), "kept-pairs")
+        state = tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("ord").cast("decimal(38,0)"))).first())
+        if state == before:
+            return kept
+        before = state
+
+
+def _sortable(df, column):
+    """Text of a column that sorts as its values do: whole numbers shifted to be positive and of one width, anything else as it is."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return F.lpad((F.col(column).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.col(column).cast("string")
 
 
 def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits", row="id"):
@@ -121,14 +167,14 @@ def select_unique(df, n, seen=None, key="skey", order="row_sha", fits="fits", ro
     bounded by sources^2 * n whatever the input size. Acceptance is then settled in rounds: a key is blocked where an
     earlier source accepted it, and each source accepts its first n unblocked keys; after round r the first r sources are
     final, and usually two or three rounds reach the fixed point. Rows with equal digests follow in the order of the unique
-    column `row`.
+    column `row`: numbers by value, texts of any length by code point.
     Returns (accepted rows, per-source report)."""
     digest, order = order, "_place"
-    df = df.withColumn(order, F.concat_ws(":", digest, F.lpad(F.col(row).cast("string"), 24, "0")) if row in df.columns else F.col(digest))
+    df = df.withColumn(order, F.concat_ws(":", digest, _sortable(df, row)) if row in df.columns else F.col(digest))
     sources = df.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     sources = sources.withColumn("rank", F.row_number().over(Window.orderBy("source")))   # one row per source
     count = sources.count()
-    small = (lambda t: F.broadcast(t)) if count <= 100_000 else (lambda t: t)             # tables with one row per source
+    small = lambda t: spread.counted_broadcast(t, 200)                                    # tables with one row per source
     d = df.join(small(sources.select("source", "rank")), "source")
     fit = d.filter(F.col(fits))
     if seen is not None:

@@ -490,19 +490,27 @@ def _(t):
 PAIRS_N = 12
 
 
-def _d12_ctes(rounds):
+def _d12_ctes(rounds, most=PAIRS_N):
     """The sequential rule as a fixed point: the kept set of each round is computed from the one before."""
     out = {"pr": "select a.lang as family, a.id as ord, a.skey as h1, b.skey as h2 from states a join states b on b.id=a.id+1 where a.id%2=0", "k0": "select * from pr where false"}
     for i in range(1, rounds + 1):
         out[f"f{i}"] = f"select h, min(ord) as m from (select unnest([h1,h2]) as h, ord from k{i - 1}) group by h"
         out[f"k{i}"] = (f"select family,ord,h1,h2 from (select pr.*, row_number() over (partition by family order by ord) as rn from pr left join f{i} x on x.h=h1 left join f{i} y on y.h=h2 "
-                        f"where not coalesce(least(x.m,y.m)<ord,false)) where rn<={PAIRS_N}")
+                        f"where not coalesce(least(x.m,y.m)<ord,false)) where rn<={most}")
     return out
 
 
 @query("D12_unique_pairs_by_family", sql("select family, ord from k6", "states", **_d12_ctes(6)))
 def _(t):
+    return D.unique_pairs_by_family(state_pairs(t), PAIRS_N).select("family", "ord")
+
+
+def state_pairs(t):
     s = t.states().select("id", "skey", "lang")
     b = s.select((F.col("id") - 1).alias("id"), F.col("skey").alias("h2"))
-    pairs = s.filter(F.col("id") % 2 == 0).join(b, "id").select(F.col("lang").alias("family"), F.col("id").alias("ord"), F.col("skey").alias("h1"), "h2")
-    return D.unique_pairs_by_family(pairs, PAIRS_N).select("family", "ord")
+    return s.filter(F.col("id") % 2 == 0).join(b, "id").select(F.col("lang").alias("family"), F.col("id").alias("ord"), F.col("skey").alias("h1"), "h2")
+
+
+@query("D12_unique_pairs_without_limit", sql("select family, ord from k8", "states", **_d12_ctes(8, 10**12)))
+def _(t):
+    return D.unique_pairs_by_family(state_pairs(t)).select("family", "ord")

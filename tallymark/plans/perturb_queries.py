@@ -200,6 +200,26 @@ def _(t):
     return RU.tier_label(t.cases(), tier_table(t)).select("case_id", "family", "label")
 
 
+# every family from its own wording, limits picked by digest
+PC = f"""select case_id, days, quantity, cents, {h(repr('policy'), 'case_id')}%11 as fam, {h(repr('limits'), 'case_id')} as l, {h(repr('gone'), 'case_id')}%9=0 as gone, {h(repr('signer'), 'case_id')}%3 as signer, {h(repr('approver'), 'case_id')}%3 as approver from cases"""
+PICK = lambda n, *options: f"([{','.join(map(str, options))}])[l%{n}+1]"
+
+
+def three_levels(measure, low, high, closed=True):
+    op = "<=" if closed else "<"
+    return f"case when {measure}{op}{low} then '0' when {measure}{op}{high} then '1' else '2' end"
+
+
+@query("R1_policy_families", sql(f"""select case_id, (['return_window','spend_threshold','authorization','age_eligibility','quantity_limit','deadline','warranty_claim','sla_response','late_fee','volume_discount','shipping_delay'])[fam+1] as family,
+ case when gone then 'UNDETERMINED' when fam=0 then (days<={PICK(4, 14, 30, 45, 60)})::varchar when fam=1 then case when cents%5000<={PICK(4, 250, 500, 1000, 2500)} then 'auto_approved' else 'director_signoff' end when fam=2 then (signer=approver)::varchar
+ when fam=3 then (quantity>={PICK(4, 16, 18, 21, 25)})::varchar when fam=4 then case when quantity<={PICK(4, 2, 3, 5, 10)} then 'within_limit' when quantity<=2*{PICK(4, 2, 3, 5, 10)} then 'slightly_over' else 'far_over' end
+ when fam=5 then {three_levels('(days//4-8)', 0, PICK(3, 3, 7, 14))} when fam=6 then {three_levels('days*9', PICK(3, 90, 180, 365), PICK(3, 365, 730, 1095))} when fam=7 then {three_levels('days', PICK(4, 4, 8, 24, 1), PICK(4, 24, 48, 72, 8))}
+ when fam=8 then {three_levels('(days-10)', PICK(3, 5, 10, 15), PICK(3, 30, 60, 45))} when fam=9 then {three_levels('(cents%700)', PICK(4, 10, 25, 5, 100), PICK(4, 50, 100, 20, 500), False)}
+ else {three_levels('(days//8-3)', PICK(3, 1, 2, 3), PICK(3, 4, 7, 10))} end as label from pc""", "cases", pc=PC))
+def _(t):
+    return RU.policy_label(t.policy_cases(), t.policies()).select("case_id", "family", "label")
+
+
 @query("R2_undetermined_on_missing", sql(f"select case_id, case when {h(repr('mf'), 'case_id')}%5=0 then 'UNDETERMINED' else label end as label from l", "cases", "tiers", l=LAB))
 def _(t):
     c = t.cases().withColumn("measure", F.when(h32("mf", F.col("case_id")) % 5 != 0, F.col("measure")))

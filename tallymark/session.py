@@ -49,3 +49,11 @@ def settle(df):
 def work_dir(spark, name):
     """A new folder for written intermediates below the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name):
+    """The rows as a Parquet table below the checkpoint folder: like `settle`, but the plan forgets everything about its origin, so
+    that loops don't drag the constraints of all their rounds along."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,6 +27,22 @@ TIERS = (
 )
 FAMILIES = ("return_window", "late_fee", "quantity_limit", "warranty")
 
+# policy families whose limits belong to the case: what is measured, the levels (limit, factor, closed, label) and the limits a
+# case may have (fixed values)
+POLICIES = {
+    "return_window": ("elapsed", "purchase", "request", ((1, 1, True, "true"), (None, 1, True, "false")), ((14,), (30,), (45,), (60,))),
+    "spend_threshold": ("number", "amount", None, ((1, 1, True, "auto_approved"), (None, 1, True, "director_signoff")), ((250,), (500,), (1000,), (2500,))),
+    "authorization": ("same", "signer", "approver", ((0, 1, True, "true"), (None, 1, True, "false")), ((0,),)),
+    "age_eligibility": ("number", "age", None, ((1, 1, False, "false"), (None, 1, True, "true")), ((16,), (18,), (21,), (25,))),
+    "quantity_limit": ("number", "qty", None, ((1, 1, True, "within_limit"), (1, 2, True, "slightly_over"), (None, 1, True, "far_over")), ((2,), (3,), (5,), (10,))),
+    "deadline": ("elapsed", "due", "received", ((0, 1, True, "0"), (1, 1, True, "1"), (None, 1, True, "2")), ((3,), (7,), (14,))),
+    "warranty_claim": ("elapsed", "purchase", "claim", ((1, 1, True, "0"), (2, 1, True, "1"), (None, 1, True, "2")), ((90, 365), (180, 730), (365, 1095))),
+    "sla_response": ("number", "hours", None, ((1, 1, True, "0"), (2, 1, True, "1"), (None, 1, True, "2")), ((4, 24), (8, 48), (24, 72), (1, 8))),
+    "late_fee": ("number", "days_late", None, ((1, 1, True, "0"), (2, 1, True, "1"), (None, 1, True, "2")), ((5, 30), (10, 60), (15, 45))),
+    "volume_discount": ("number", "units", None, ((1, 1, False, "0"), (2, 1, False, "1"), (None, 1, True, "2")), ((10, 50), (25, 100), (5, 20), (100, 500))),
+    "shipping_delay": ("elapsed", "promised", "delivered", ((1, 1, True, "0"), (2, 1, True, "1"), (None, 1, True, "2")), ((1, 4), (2, 7), (3, 10))),
+}
+
 
 def lit_array(values):
     return F.array(*[F.lit(v) for v in values])
@@ -127,6 +143,33 @@ class Tables:
                 .withColumn("measure", F.when(F.col("family") == "quantity_limit", F.col("quantity")).otherwise(F.col("days")))
                 .withColumnRenamed("l_orderkey", "order_id"))
 
+    def policies(self):
+        """The policy table: one row per family and level."""
+        rows = [(family, kind, first, second, level, at, float(factor), closed, label) for family, (kind, first, second, levels, _) in POLICIES.items() for level, (at, factor, closed, label) in enumerate(levels)]
+        return self.spark.createDataFrame(rows, "family string, kind string, first string, second string, level int, at int, factor double, closed boolean, label string")
+
+    def policy_cases(self):
+        """One case per order line under one of all policy families, with limits of its own; a ninth lacks a fact."""
+        c = self.cases().select("case_id", "order_date", "days", "quantity", "cents")
+        family = F.element_at(lit_array(tuple(POLICIES)), (h32("policy", F.col("case_id")) % len(POLICIES) + 1).cast("int"))
+        c = c.withColumn("family", family).withColumn("_l", h32("limits", F.col("case_id"))).withColumn("_gone", h32("gone", F.col("case_id")) % 9 == 0)
+        f, known = F.col("family"), ~F.col("_gone")
+
+        def per_family(fn):
+            out = None
+            for name, policy in POLICIES.items():
+                out = F.when(f == name, fn(name, policy)) if out is None else out.when(f == name, fn(name, policy))
+            return out
+        elapsed = {"return_window": F.col("days"), "deadline": F.floor(F.col("days") / 4) - 8, "warranty_claim": F.col("days") * 9, "shipping_delay": F.floor(F.col("days") / 8) - 3}
+        number = {"spend_threshold": F.col("cents") % 5000, "age_eligibility": F.col("quantity"), "quantity_limit": F.col("quantity"), "sla_response": F.col("days"), "late_fee": F.col("days") - 10, "volume_discount": F.col("cents") % 700}
+        none = {"dates": F.create_map().cast("map<string,date>"), "numbers": F.create_map().cast("map<string,double>"), "parties": F.create_map().cast("map<string,string>")}
+        dates = per_family(lambda n, p: F.create_map(F.lit(p[1]), F.col("order_date"), F.lit(p[2]), F.when(known, F.date_add("order_date", elapsed[n].cast("int")))) if p[0] == "elapsed" else none["dates"])
+        numbers = per_family(lambda n, p: F.create_map(F.lit(p[1]), F.when(known, number[n].cast("double"))) if p[0] == "number" else none["numbers"])
+        party = lambda salt: F.concat(F.lit("p"), (h32(salt, F.col("case_id")) % 3).cast("string"))
+        parties = per_family(lambda n, p: F.create_map(F.lit(p[1]), F.when(known, party("signer")), F.lit(p[2]), party("approver")) if p[0] == "same" else none["parties"])
+        limits = per_family(lambda n, p: F.element_at(F.array(*[lit_array([float(x) for x in o]) for o in p[4]]), (F.col("_l") % len(p[4]) + 1).cast("int")))
+        return c.select("case_id", "family", dates.alias("dates"), numbers.alias("numbers"), parties.alias("parties"), limits.alias("limits"))
+
     # ---- request/response ledger -----------------------------------------------------------------------------------
     def tx(self):
         """One HTTP transaction per event."""

@@ -170,11 +170,22 @@ def adapt_eval_rows(df):
         F.transform_values("published", lambda m, w: F.map_from_arrays("option_ids", w)).alias("published"))
 
 
-def merge_questions_by_state(df):
-    """Rows with byte-equal state become one record with one question per question id, in question-id order. Of several rows
-    with one state and question id the last (by id) wins. States meet by digest; the text travels as a value."""
-    last = df.groupBy(F.sha2("state", 256).alias("_k"), "qid").agg(F.min("id").alias("id"), F.max_by(F.struct("instructions", "label"), "id").alias("_q"), F.min("state").alias("state"))
-    g = last.groupBy("_k").agg(F.min("id").alias("id"), F.min("state").alias("state"), F.array_sort(F.collect_list(F.struct("qid", F.col("_q.instructions").alias("instructions"), F.col("_q.label").alias("label")))).alias("questions"))
+def in_order(col):
+    """Sort key of an id in which runs of digits count as numbers of any length: each becomes its length and its digits."""
+    parts = F.regexp_extract_all(col.cast("string"), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(x)).cast("string"), 9, "0"), number(x))).otherwise(x))
+
+
+def merge_questions_by_state(df, place=None):
+    """Rows with byte-equal state become one record with one question per question id, in question-id order; the record takes
+    the id of its first row. Of several rows with one state and question id the last wins. Rows are in the order of the column
+    `place` if it is named, else of their ids, numbers inside an id by value (`a/10` after `a/9`). States meet by digest; the
+    text travels as a value."""
+    at = F.struct(in_order(F.col("id")) if place is None else F.col(place), F.col("id"))
+    rows = df.withColumn("_at", at)
+    last = rows.groupBy(F.sha2("state", 256).alias("_k"), "qid").agg(F.min("_at").alias("_first"), F.max_by(F.struct("instructions", "label"), "_at").alias("_q"), F.min("state").alias("state"))
+    g = last.groupBy("_k").agg(F.min("_first").getField("id").alias("id"), F.min("state").alias("state"), F.array_sort(F.collect_list(F.struct("qid", F.col("_q.instructions").alias("instructions"), F.col("_q.label").alias("label")))).alias("questions"))
     return g.drop("_k").withColumn("n_questions", F.size("questions").cast("bigint"))
 
 

@@ -63,3 +63,20 @@ def test_none_pair_changes_only_the_true_option(spark):
     q = spark.createDataFrame([(1, "q", "choice", [("a", None), ("b", None), ("c", None)], "b")], "id bigint, qid string, type string, options array<struct<key:string,desc:string>>, label_key string")
     rows = {r["side"]: [o["key"] for o in r["options"]] for r in A.none_pair(q, "s").collect()}
     assert [k for k in rows["present"] if k != "b"] == rows["absent"] and "b" in rows["present"]
+
+
+def test_policies_with_limits_of_the_case(spark):
+    """Bounds on both sides of each limit, multiples, equal parties, missing facts and limits, unknown families."""
+    import datetime as dt
+    from tallymark.sources.fixtures import Tables
+    day = dt.date(2026, 3, 1)
+    after = lambda n: {"purchase": day, "request": day + dt.timedelta(days=n)}
+    rows = [("return_window", after(14), {}, {}, [14.0], "true"), ("return_window", after(15), {}, {}, [14.0], "false"), ("return_window", {"purchase": day}, {}, {}, [14.0], "UNDETERMINED"),
+            ("return_window", after(3), {}, {}, None, "UNDETERMINED"), ("age_eligibility", {}, {"age": 18.0}, {}, [18.0], "true"), ("age_eligibility", {}, {"age": 17.0}, {}, [18.0], "false"),
+            ("quantity_limit", {}, {"qty": 6.0}, {}, [3.0], "slightly_over"), ("quantity_limit", {}, {"qty": 7.0}, {}, [3.0], "far_over"), ("quantity_limit", {}, {"qty": 3.0}, {}, [3.0], "within_limit"),
+            ("authorization", {}, {}, {"signer": "a", "approver": "a"}, [], "true"), ("authorization", {}, {}, {"signer": "a", "approver": "b"}, [], "false"), ("authorization", {}, {}, {"signer": "a"}, [], "UNDETERMINED"),
+            ("volume_discount", {}, {"units": 10.0}, {}, [10.0, 50.0], "1"), ("volume_discount", {}, {"units": 50.0}, {}, [10.0, 50.0], "2"), ("volume_discount", {}, {"units": 9.0}, {}, [10.0, 50.0], "0"),
+            ("deadline", {"due": day, "received": day}, {}, {}, [3.0], "0"), ("deadline", {"due": day, "received": day + dt.timedelta(days=4)}, {}, {}, [3.0], "2"), ("unheard_of", {}, {"x": 1.0}, {}, [1.0], "UNDETERMINED")]
+    cases = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "id int, family string, dates map<string,date>, numbers map<string,double>, parties map<string,string>, limits array<double>")
+    got = {r["id"]: r["label"] for r in RU.policy_label(cases, Tables(spark, "").policies()).collect()}
+    assert got == {i: r[5] for i, r in enumerate(rows)}

@@ -35,6 +35,27 @@ def test_select_unique_takes_n_rows_of_equal_digests(spark):
     assert {r["source"]: (r["considered"], r["duplicate_state"], r["accepted"]) for r in report.collect()} == {"a": (4, 2, 2), "b": (2, 1, 1)}
 
 
+def test_select_unique_orders_long_and_textual_ids(spark):
+    """Equal digests: ids of more than forty characters stay whole, numbers count by value."""
+    ids = [f"customer_support_questions/{k:012d}/{k}" for k in range(5)]
+    rows = [(i, "a", f"k{k}", "d", True) for k, i in enumerate(ids)]
+    got, report = D.select_unique(spark.createDataFrame(rows, "id string, source string, skey string, row_sha string, fits boolean"), 2)
+    assert sorted(r["id"] for r in got.collect()) == ids[:2]
+    assert [(r["considered"], r["accepted"], r["short"]) for r in report.collect()] == [(2, 2, False)]
+    numbers = [(i, "a", f"k{i}", "d", True) for i in (10, 9, -3, 2**62)]
+    got, _ = D.select_unique(spark.createDataFrame(numbers, "id bigint, source string, skey string, row_sha string, fits boolean"), 2)
+    assert sorted(r["id"] for r in got.collect()) == [-3, 9]
+
+
+def test_merged_questions_take_the_last_row_in_number_order(spark):
+    rows = [(i, "s", "q", i, 0) for i in ("a/9", "a/10", "a/2", "a/10b")] + [("b/1", "t", "q", "first", 0), ("b/0", "t", "q", "second", 1)]
+    rows = spark.createDataFrame(rows, "id string, state string, qid string, instructions string, label int").withColumn("line", F.when(F.col("id") == "b/1", 2).otherwise(1))
+    got = {r["state"]: (r["id"], r["questions"][0]["instructions"]) for r in L.merge_questions_by_state(rows).collect()}
+    assert got == {"s": ("a/2", "a/10b"), "t": ("b/0", "first")}
+    got = {r["state"]: r["questions"][0]["instructions"] for r in L.merge_questions_by_state(rows.filter("state = 't'").withColumn("line", F.when(F.col("id") == "b/1", 1).otherwise(2)), "line").collect()}
+    assert got == {"t": "second"}
+
+
 def test_confidence_is_not_rounded(spark):
     rows = [(1, "choice", [0.8999996, 0.1000004], 1), (2, "choice", [0.9, 0.1], 1)]
     got = M.row_scores(spark.createDataFrame(rows, "id int, type string, p array<double>, label int")).select("id", "conf", "confident_error").collect()
@@ -102,3 +123,26 @@ def test_empty_populations_and_other_suites_are_refused(spark):
         M.metrics(M.row_scores(rows.limit(0)), [])
     with pytest.raises(ValueError):
         C.compare_deltas(rows, rows, "a", "b")
+
+
+def sequential(pairs):
+    used, kept = set(), []
+    for o, a, b in sorted(pairs):
+        if a not in used and b not in used:
+            kept.append(o)
+            used |= {a, b}
+    return kept
+
+
+def test_unique_pairs_without_a_limit(spark, monkeypatch):
+    """Random pairs, a hash that a third of them share, equal hashes, and a chain of 3,000 pairs, which takes few rounds."""
+    import random
+    rng = random.Random(8)
+    mixed = [(o, f"h{rng.randint(0, 150)}", f"h{rng.randint(0, 150)}") for o in range(400)] + [(1000 + o, "hot", f"x{rng.randint(0, 90)}") for o in range(200)] + [(5000, "e", "e"), (5001, "e", "z")]
+    chain = [(10_000 + o, f"c{o}", f"c{o + 1}") for o in range(3_000)]
+    rows = spark.createDataFrame([("f", *p) for p in mixed + chain], "family string, ord bigint, h1 string, h2 string")
+    rounds, decided = [], D._decided
+    monkeypatch.setattr(D, "_decided", lambda live: rounds.append(1) or decided(live))
+    assert sorted(r["ord"] for r in D.unique_pairs_by_family(rows).select("ord").collect()) == sequential(mixed + chain)
+    assert len(rounds) <= 12
+    assert D.unique_pairs_by_family(rows.limit(0)).collect() == []
