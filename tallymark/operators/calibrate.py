@@ -110,11 +110,11 @@ def fit_temperature_by_group(df, points=81, least=30):
     return f.withColumn("n", F.col("w").cast("bigint")).withColumn("temperature", F.when(F.col("w") < least, 1.0).otherwise(F.col("temperature"))).drop("w", "loss")
 
 
-def fold_temperatures(df, folds, seed, aggregation="micro", points=81):
+def fold_temperatures(df, folds, seed, aggregation="micro", points=81, weight=None):
     """(rows with fold, temperature per fold fitted on the other folds). The grid is summed once per (fold, task); a
-    fold's complement is the total minus its own sums."""
+    fold's complement is the total minus its own sums, weighted by the column `weight` if it is named."""
     rows = grouped_folds(M.scored_rows(df), folds, seed)
-    per = grid_losses(rows, ["fold", "task"], points)
+    per = grid_losses(rows, ["fold", "task"], points, weight)
     total = per.groupBy("task", "ti", "t").agg(F.sum("loss").alias("tl"), F.sum("w").alias("tw"))
     pairs = total.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(folds - 1).cast("bigint"))))
     own = per.select("fold", "task", "ti", "loss", "w")
@@ -394,6 +394,22 @@ def calibration_by_source(df, temperature):
     return m.join(counts, "source"), excluded
 
 
+def calibration_evidence(df, folds=5, seed="calibration", samples=1000, points=121):
+    """C11: how far the fit can be trusted: (fold per group, temperature per fold, blocks, ECE interval) over the full views of the
+    calibration split. Groups are kept whole across all sources. A fold's temperature gives every episode of the other folds
+    the same weight, which is carried through the sums of the grid; blocks are raw and out of fold, weighted by windows and by
+    episodes; the interval resamples groups and counts windows."""
+    full = df.filter((F.col("variant") == "clean") & (F.col("split") == "calibration")).withColumn("source", F.lit("all"))
+    rows, temperatures = fold_temperatures(episode_weights(full), folds, seed, "micro", points, "weight")
+    temperatures = settle(temperatures.select("fold", "temperature"))
+    tempered = temper_by(rows, temperatures, ["fold"])
+    cols = ["id", "parent", "source", "group_id", "task", "type", "label", "keys", "p", "logits", "weight"]
+    scored = settle(M.row_scores(rows.select(*cols, F.lit("raw").alias("arm")).unionByName(tempered.select(*cols, F.lit("out_of_fold").alias("arm")))))
+    blocks = [summarize_stats(group_sufficient_stats(scored.withColumn("_w", w), ["arm"], "_w"), ["arm"]).withColumn("weighting", F.lit(name))
+              for name, w in (("windows", F.lit(1.0)), ("episodes", F.col("weight")))]
+    return rows.select("group_id", "fold").distinct(), temperatures, blocks[0].unionByName(blocks[1]), ece_interval(scored, samples, seed)
+
+
 def join_predictions(expected, rows):
     """Every expected window with its prediction and the first violated contract (null = joined cleanly). Unexpected
     predictions appear with reason `unexpected`."""

@@ -222,6 +222,35 @@ def _(t):
     return rounded(m)
 
 
+EVIDENCE = {"calf": CALF, "g": grid_sql(121),
+            "f": "select group_id, (row_number() over (order by sha256('calibration:all:'||group_id))-1)%5 as fold from (select distinct group_id from calf)",
+            "per": f"select fold, ti, t, sum(w*({NLL_T})) as loss, sum(w) as n from calf join f using(group_id) cross join g group by fold, ti, t",
+            "temps": "select fold, arg_min(t, (l, ti)) as t from (select a.fold, a.ti, a.t, (tt.loss-a.loss)/(tt.n-a.n) as l from per a join (select ti, sum(loss) as loss, sum(n) as n from per group by ti) tt using(ti)) group by fold",
+            "arms": f"select calf.*, 'raw' as arm from calf union all select * exclude(z) replace({softmax('z')} as p, z as logits) from (select calf.*, 'out_of_fold' as arm, list_transform(logits, lambda x: x/t) as z from calf join f using(group_id) join temps using(fold))",
+            "sc_": SCORES.format(src="arms")}
+
+
+@query("C11_folds_and_temperatures", sql(f"select group_id, fold, {R('t')} as temperature from f join temps using(fold)", "winA", **EVIDENCE))
+def _(t):
+    folds, temperatures, _blocks, _interval = C.calibration_evidence(settle(t.window_rows("A")), samples=1)
+    return folds.join(temperatures, "fold").select("group_id", "fold", r6("temperature", "temperature"))
+
+
+@query("C11_out_of_fold_blocks", sql(union_sql([f"""select arm, '{name}' as weighting, {R(f'sum({w}*ok::int)/sum({w})')} as acc, {R(f'sum({w}*nll)/sum({w})')} as nll, {R(f'sum({w}*brier)/sum({w})')} as brier,
+ {R('(' + '+'.join(f'abs(sum(case when {EDGE}={i} then {w}*(ok::int-conf) else 0 end))' for i in range(10)) + f')/sum({w})')} as ece from sc_ group by arm""" for name, w in (("windows", "1e0"), ("episodes", "w"))]), "winA", **EVIDENCE))
+def _(t):
+    return rounded(C.calibration_evidence(settle(t.window_rows("A")), samples=1)[2])
+
+
+@query("C11_ece_interval", sql(f"""select {','.join(f"{R(f'quantile_cont({c},{q})')} as {n}_{tag}" for c, n in (('raw', 'raw'), ('oof', 'out_of_fold'), ('oof-raw', 'delta')) for tag, q in (('lo', 0.025), ('hi', 0.975)))},
+ quantile_cont(oof-raw,0.975)<0 or quantile_cont(oof-raw,0.025)>0 as separated from (select s, max(case when arm='raw' then v end) as raw, max(case when arm='out_of_fold' then v end) as oof from st group by s)""", "winA", **EVIDENCE,
+                              units=f"select source, group_id, row_number() over (order by sha256('calibration:all:'||group_id)) as unit, count(*) over () as units, {h60(repr('calibration'), repr('all'))} as k from (select distinct 'all' as source, group_id from calf)", draws=picks_sql("units", "source", SAMPLES),
+                              sums=f"select group_id, arm, {EDGE} as bin, sum(ok::int-conf) as x, count(*) as n from sc_ group by all", bn="select s, arm, bin, sum(x*m) as x, sum(n*m) as n from sums join units using(group_id) join draws using(unit) group by s, arm, bin",
+                              st="select s, arm, sum(abs(x))/sum(n) as v from bn group by s, arm"))
+def _(t):
+    return rounded(C.calibration_evidence(settle(t.window_rows("A")), samples=SAMPLES)[3])
+
+
 @query("C11_excluded_views", sql("select variant, count(*) as n from winA where split='calibration' and variant<>'clean' group by variant", "winA"))
 def _(t):
     w = t.window_rows("A")

@@ -43,6 +43,15 @@ def _(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), A.render_object({"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "note": note}).alias("state"))
 
 
+@query("A1_render_nested", sql(r"""select conv_id, sha256('conversation: '||conv_id||e'\nopen: '||case when conv_id%2=0 then 'True' else 'False' end||e'\nturns:\n'||
+ string_agg(e'  - place:\n      - '||turn||e'\n      - \n    said:\n      role: '||role||e'\n      text: '||coalesce(text,''), e'\n' order by turn)) as state_sha from conversations group by conv_id"""))
+def _(t):
+    turn = F.struct("turn", F.to_json(F.struct(F.array(F.col("turn").cast("bigint"), F.lit(None).cast("bigint")).alias("place"), F.struct("role", "text").alias("said")), {"ignoreNullFields": "false"}).alias("json"))
+    c = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    state = F.concat(F.lit('{"conversation": '), F.col("conv_id").cast("string"), F.lit(', "open":'), (F.col("conv_id") % 2 == 0).cast("string"), F.lit(', "turns": ['), F.array_join(F.transform("turns", lambda x: x["json"]), " , "), F.lit("]}"))
+    return c.select("conv_id", F.sha2(A.render_json(state), 256).alias("state_sha"))
+
+
 LONG = "strftime({d}, '%B %-d, %Y')"
 
 
