@@ -1,5 +1,4 @@
-"""The Python crossings with a user-function contract: size counters (U2) and the JSON leaf flattener."""
-import json
+"""Size counters (U2): the built-in one, and the Python crossing for tokenizers of the user."""
 import re
 
 import pandas as pd
@@ -17,28 +16,6 @@ def regex_counter(pattern=r"[A-Za-z0-9]+"):
     return count
 
 
-@F.udtf(returnType="pos int, path string, key string, value string, is_text boolean")
-class JsonLeaves:
-    """One row per leaf of a JSON document, in document order, with its path and nearest object key."""
-
-    def eval(self, text: str):
-        try:
-            stack = [(json.loads(text), "", "")] if text is not None else []
-        except ValueError:
-            return
-        pos = 0
-        while stack:
-            value, path, key = stack.pop()
-            if isinstance(value, dict) and value:
-                stack += [(v, f"{path}.{k}" if path else k, k) for k, v in reversed(list(value.items()))]
-            elif isinstance(value, list) and value:
-                stack += [(v, f"{path}[{i}]", key) for i, v in reversed(list(enumerate(value)))]
-            elif not isinstance(value, (dict, list)):
-                text_value = value if isinstance(value, str) else None if value is None else json.dumps(value)
-                yield pos, path, key, text_value, isinstance(value, str)
-                pos += 1
-
-
-def json_leaves(df, col):
-    """Rows of `df` joined with the leaves of their JSON column."""
-    return df.lateralJoin(JsonLeaves(F.col(col).outer()))
+def builtin_counter(pattern=r"[A-Za-z0-9]+"):
+    """The default size counter, a Column function on the JVM."""
+    return lambda text: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("bigint")

@@ -151,3 +151,50 @@ def assemble_suite(public, arms, inherited):
         rows = rows.unionByName(df.withColumn("arm", F.lit(name)))
     kept = inherited.filter(F.col("split").isin("development", "test")).withColumn("arm", F.lit("inherited"))
     return rows.unionByName(kept), unequal
+
+
+GENERATED = ("public", "inherited")       # arms that are taken over; every other arm of a suite is generated
+
+
+def suite_lineage(parents, row="id", key="skey"):
+    """What a suite was made of: per parent and split the records and an order-free digest of their ids and states (count, sum
+    and xor of row hashes), so that one aggregate per parent tells later whether it is still the same."""
+    parts = []
+    for name, df in parents.items():
+        h = F.sha2(F.concat_ws(":", "split", F.col(row).cast("string"), key), 256)
+        num, tail = (F.conv(F.substring(h, at, 12), 16, 10).cast("bigint") for at in (1, 13))
+        parts.append(df.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum(num.cast("decimal(38,0)")).cast("string").alias("digest_sum"), F.bit_xor(tail).alias("digest_xor")).withColumn("parent", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def changed_parents(lineage, parents, **columns):
+    """(parent, split) whose records are not those the lineage was written from, appeared or went."""
+    was = lineage.select("parent", "split", F.struct("records", "digest_sum", "digest_xor").alias("was"))
+    now = suite_lineage(parents, **columns).select("parent", "split", F.struct("records", "digest_sum", "digest_xor").alias("now"))
+    return was.join(now, ["parent", "split"], "full").filter(~F.col("was").eqNullSafe(F.col("now"))).select("parent", "split")
+
+
+def suite_collisions(rows, row="id", key="skey", group="group_id"):
+    """Why an assembled suite must be refused, one row per (code, subject): `public_leak` a state of public train or calibration
+    rows that the inherited development or test rows hold; `reserved_state` a state of a generated arm that any row taken over
+    holds; `shared_state` a state in two groups of the generated arms; `repeated_id` an id with more than one row. One aggregate
+    by state and one by id; no rows are paired."""
+    made = ~F.col("arm").isin(*GENERATED)
+    flag = lambda c: F.max(c.cast("int")) == 1
+    by_state = rows.groupBy(key).agg(flag(F.col("arm") == "public").alias("public"), flag(F.col("arm") == "inherited").alias("inherited"), flag(made).alias("made"),
+                                     F.min(F.when(made, F.struct("arm", group))).alias("lo"), F.max(F.when(made, F.struct("arm", group))).alias("hi"))
+    codes = F.array_compact(F.array(F.when(F.col("public") & F.col("inherited"), "public_leak"), F.when(F.col("made") & (F.col("public") | F.col("inherited")), "reserved_state"), F.when(F.col("lo") != F.col("hi"), "shared_state")))
+    states = by_state.select(F.explode(codes).alias("code"), F.col(key).cast("string").alias("subject"))
+    ids = rows.groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("repeated_id").alias("code"), F.col(row).cast("string").alias("subject"))
+    return states.unionByName(ids)
+
+
+def checked_suite(public, arms, inherited, **columns):
+    """The assembled rows, refused inside the plan when the generated arms are unequal or anything collides. The check is one
+    row beside the rows, so nothing runs before the suite is read."""
+    rows, unequal = assemble_suite(public, arms, inherited)
+    faults = suite_collisions(rows, **columns).select("code").unionByName(unequal.select(F.lit("unequal_arms").alias("code")))
+    verdict = faults.agg(F.count(F.lit(1)).alias("_faults"), F.min("code").alias("_code"))
+    held = rows.crossJoin(F.broadcast(verdict))                                                      # one-row side
+    stop = F.raise_error(F.concat(F.lit("suite refused: "), F.col("_code"), F.lit(", faults in all: "), F.col("_faults").cast("string")))
+    return held.filter(F.when(F.col("_faults") > 0, stop.cast("boolean")).otherwise(F.lit(True))).drop("_faults", "_code")

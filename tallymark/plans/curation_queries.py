@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.python_side import json_leaves, regex_counter
+from ..functions.bodies import json_leaves
+from ..functions.python_side import builtin_counter
 from ..functions.text import h32, sha, state_key, word_count
 from ..functions.vectors import r6
 from ..operators import curate as D
@@ -294,7 +295,7 @@ def _(t):
  select *, case when {collapse('state')}='' then 0 else len(string_split({collapse('state')},' ')) end as w, len(regexp_extract_all(state,'[A-Za-z0-9]+')) as a, 4 as b from states)""", "states"))
 def _(t):
     d = t.states().withColumn("branch", F.lit("is it toxic? yes")).withColumn("variant", F.lit("clean"))
-    out = VA.admit_by_size(d, {"words": word_count, "pieces": regex_counter()})
+    out = VA.admit_by_size(d, {"words": word_count, "pieces": builtin_counter()})
     return out.select("id", "reject_reason")
 
 

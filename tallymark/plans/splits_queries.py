@@ -136,6 +136,9 @@ def _(t):
 ASM = f"select id, source, {SPLIT_SQL.format(x='(' + h(repr('asm'), 'skey') + ')')} as split, id%4 as arm_no from states"
 
 
+ASM_STATES = ASM.replace("select ", "select skey, ", 1)
+
+
 @query("P14_assemble_suite", sql("""select id, split, 'public' as arm from d where arm_no=0 and split in ('train','calibration') union all select id, split, 'rules' from d where arm_no=1
  union all select id, split, 'pairs' from d where arm_no=2 union all select id, split, 'inherited' from d where arm_no=3 and split in ('development','test')""", "states", d=ASM))
 def _(t):
@@ -147,7 +150,43 @@ def _(t):
     return _assembled(t)[1]
 
 
+def _parts(t):
+    d = t.states().select("id", "source", "skey", split_of("asm", F.col("skey")).alias("split"))
+    return [d.filter(F.col("id") % 4 == i) for i in range(4)]
+
+
 def _assembled(t):
-    d = t.states().select("id", "source", split_of("asm", F.col("skey")).alias("split"))
-    part = lambda i: d.filter(F.col("id") % 4 == i)
-    return P.assemble_suite(part(0), {"rules": part(1), "pairs": part(2)}, part(3))
+    public, rules, pairs, inherited = _parts(t)
+    return P.assemble_suite(public, {"rules": rules, "pairs": pairs}, inherited)
+
+
+NUM = "('0x'||substr(sha256(split||':'||id||':'||skey),{},12))::bigint"
+
+
+@query("P14_lineage", sql(f"select (['public','rules','pairs','inherited'])[arm_no+1] as parent, split, count(*) as records, sum({NUM.format(1)}::hugeint)::varchar as digest_sum, bit_xor({NUM.format(13)}) as digest_xor from d group by arm_no, split", "states", d=ASM_STATES))
+def _(t):
+    return P.suite_lineage(dict(zip(("public", "rules", "pairs", "inherited"), _parts(t))))
+
+
+@query("P14_changed_parents", sql("select 'rules' as parent, split from d where arm_no=1 and id%10=1 group by split", "states", d=ASM_STATES))
+def _(t):
+    parents = dict(zip(("public", "rules", "pairs", "inherited"), _parts(t)))
+    lineage = P.suite_lineage(parents)
+    return P.changed_parents(lineage, {**parents, "rules": parents["rules"].withColumn("skey", F.when(F.col("id") % 10 == 1, F.lit("changed")).otherwise(F.col("skey")))})
+
+
+# the same states may stand in several arms here, so that every code has subjects
+LOOSE = "select id, skey, case arm_no when 0 then 'public' when 1 then 'rules' when 2 then 'pairs' else 'inherited' end as arm, id//8 as group_id from d where (arm_no=0 and id%5<3) or arm_no in (1,2) or (arm_no=3 and id%5>1)"
+
+
+@query("P14_collisions", sql("""select 'public_leak' as code, skey as subject from s group by skey having max((arm='public')::int)=1 and max((arm='inherited')::int)=1
+ union all select 'reserved_state', skey from s group by skey having max((arm in ('rules','pairs'))::int)=1 and max((arm in ('public','inherited'))::int)=1
+ union all select 'shared_state', skey from s where arm in ('rules','pairs') group by skey having count(distinct arm||'/'||group_id)>1
+ union all select 'repeated_id', id::varchar from s group by id having count(*)>1""", "states", d=ASM_STATES, s0=LOOSE, s="select * from s0 union all select * from s0 where id%50=1"))
+def _(t):
+    arms = []
+    for name, df in zip(("public", "rules", "pairs", "inherited"), _parts(t)):
+        arms.append(df.select("id", "skey", F.lit(name).alias("arm"), F.floor(F.col("id") / 8).alias("group_id")))
+    arms[0], arms[3] = arms[0].filter("id % 5 < 3"), arms[3].filter("id % 5 > 1")
+    rows = arms[0].unionByName(arms[1]).unionByName(arms[2]).unionByName(arms[3])
+    return P.suite_collisions(rows.unionByName(rows.filter("id % 50 = 1")))

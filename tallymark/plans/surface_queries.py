@@ -1,7 +1,8 @@
 """U queries: the user-function surface."""
 from pyspark.sql import functions as F
 
-from ..functions.python_side import json_leaves, regex_counter
+from ..functions.bodies import json_leaves
+from ..functions.python_side import regex_counter
 from ..functions.vectors import r6
 from ..operators import calibrate as C
 from ..operators import rules as RU

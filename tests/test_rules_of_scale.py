@@ -146,3 +146,18 @@ def test_unique_pairs_without_a_limit(spark, monkeypatch):
     assert sorted(r["ord"] for r in D.unique_pairs_by_family(rows).select("ord").collect()) == sequential(mixed + chain)
     assert len(rounds) <= 12
     assert D.unique_pairs_by_family(rows.limit(0)).collect() == []
+
+
+def test_suites_are_refused_and_parents_watched(spark):
+    from tallymark.operators import splits as P
+    frame = lambda rows: spark.createDataFrame(rows, "id int, source string, skey string, split string, group_id string")
+    public, inherited = frame([(1, "p", "a", "train", "g1"), (2, "p", "b", "calibration", "g2")]), frame([(3, "t", "c", "test", "g3"), (4, "t", "x", "train", "g4")])
+    arms = {"one": frame([(5, "n", "d", "train", "g5")]), "two": frame([(6, "n", "e", "train", "g6")])}
+    assert sorted(r["id"] for r in P.checked_suite(public, arms, inherited).collect()) == [1, 2, 3, 5, 6]
+    for bad, code in (({**arms, "two": frame([(6, "n", "c", "train", "g6")])}, "reserved_state"), ({**arms, "two": frame([(6, "n", "d", "train", "g5")])}, "shared_state"),
+                      ({**arms, "two": frame([(6, "n", "e", "train", "g6"), (7, "n", "f", "train", "g7")])}, "unequal_arms"), ({**arms, "two": frame([(5, "n", "e", "train", "g6")])}, "repeated_id")):
+        with pytest.raises(Exception, match=f"suite refused: {code}"):
+            P.checked_suite(public, bad, inherited).collect()
+    lineage = P.suite_lineage({"public": public, "inherited": inherited})
+    assert P.changed_parents(lineage, {"public": public, "inherited": inherited}).collect() == []
+    assert [tuple(r) for r in P.changed_parents(lineage, {"public": public.withColumn("id", F.col("id") + 1), "inherited": inherited}).orderBy("split").collect()] == [("public", "calibration"), ("public", "train")]
