@@ -76,11 +76,11 @@ def _codes(table, columns):
     return inverse.reshape(-1), first
 
 
-def _tagged(sums, units, seed, strata, group, columns):
-    """Unit sums with unit, units and the stratum's key, and whether they fit a broadcast."""
+def _tagged(sums, units, seed, strata, group, columns, row_bytes):
+    """Unit sums with unit, units and the stratum's key, and whether they fit a broadcast at `row_bytes` a row."""
     rows = sums.join(units, [strata, group]).withColumn("key", h60(F.lit(seed), F.col(strata)))
     rows = settle(rows.select(strata, "key", "unit", "units", *[c for c in columns if c != strata]))
-    return rows, rows.count() * 8 * (len(columns) + 2) <= BROADCAST_BYTES
+    return rows, rows.count() * row_bytes <= BROADCAST_BYTES
 
 
 def _arrays(rows, strata):
@@ -125,7 +125,7 @@ def sums_per_draw(sums, units, samples, seed, by, values, strata="source", group
     """(s, *by, *values): the columns `values` of `sums` (one row per unit and `by`) added up over each sample's picks, for every
     `by` that the sample picks. `units` has stratum, group, unit and units; `broadcast` forces one of the two ways."""
     by, values = list(by), list(values)
-    rows, fits = _tagged(sums, units, seed, strata, group, [*by, *values])
+    rows, fits = _tagged(sums, units, seed, strata, group, [*by, *values], 4 + 8 * len(values))
     if not (fits if broadcast is None else broadcast):
         return _drawn(rows, units, samples, seed, strata, values).groupBy("s", *by).agg(*[F.sum(c).alias(c) for c in values])
     table, place, keys, sizes = _arrays(rows, strata)
@@ -156,7 +156,7 @@ def curve_per_draw(sums, units, samples, seed, by, curve, strata="source", group
     """(s, *by, v): `curve(n, cum_n, cum_errors)` over the confidence levels of each `by`, highest first, in every sample. `sums` has one
     row per unit, `by` and confidence with x errors among n rows. None where the rows do not fit a broadcast."""
     by = list(by)
-    rows, fits = _tagged(sums, units, seed, strata, group, [*by, "conf", "n", "x"])
+    rows, fits = _tagged(sums, units, seed, strata, group, [*by, "conf", "n", "x"], 20)        # place, n, x and the start of a level
     if not fits:
         return None
     table, place, keys, sizes = _arrays(rows, strata)
@@ -167,7 +167,7 @@ def curve_per_draw(sums, units, samples, seed, by, curve, strata="source", group
     new_cell = np.diff(cell[order], prepend=-1) != 0
     levels = np.flatnonzero(new_cell | (np.diff(conf[order], prepend=np.nan) != 0))
     bounds = np.append(np.searchsorted(levels, np.flatnonzero(new_cell)), len(levels))
-    held = spark.sparkContext.broadcast((place[order].astype(np.int32), *(table.column(c).to_numpy()[order].astype(np.float64) for c in ("n", "x")), levels, bounds, keys, sizes))
+    held = spark.sparkContext.broadcast((place[order].astype(np.int32), *(table.column(c).to_numpy()[order].astype(np.int32) for c in ("n", "x")), levels, bounds, keys, sizes))
 
     def values(samples_of_block):
         at, n, x, levels, bounds, keys, sizes = held.value
