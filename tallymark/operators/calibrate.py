@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions import spread
@@ -32,7 +33,7 @@ def _batch_losses(by, temperatures):
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table.filter(pa.compute.is_valid(table.column("_z")))
+            table = table.filter(pc.is_valid(table.column("_z")))
             if not table.num_rows:
                 continue
             group, first = draws._codes(table, by)
