@@ -37,20 +37,25 @@ def url_rules_query(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+UNITS_SQL = """flatten(list_transform({w}, lambda x: case when length(x) > 24 then regexp_extract_all(x, '(?s).') else [x] end))"""
 SKETCH_SQL = """case when len({w}) = 0 then []::varchar[] else list_transform(range(1, greatest(len({w}) - 4, 1) + 1), lambda i: substr(md5(array_to_string({w}[i:i+4], ' ')), 1, 16)) end"""
-KEPT_SQL = """case when len(list_filter({h}, lambda x: x < '2')) > 0 then list_sort(list_distinct(list_filter({h}, lambda x: x < '2'))) when len({h}) > 0 then [list_min({h})] else []::varchar[] end"""
-LIKE_SQL = """case when least(len({a}), len({b})) > 0 then len(list_intersect({a}, {b}))::double / least(len({a}), len({b})) when len({a}) = len({b}) then 1.0::double else 0.0::double end"""
+KEPT_SQL = """case when len(list_distinct(list_filter({h}, lambda x: x < '8'))) >= 32 then list_sort(list_distinct(list_filter({h}, lambda x: x < '8'))) else list_sort(list_distinct({h}))[1:32] end"""
+UNTIL_SQL = """case when len({s}) < 32 then 'g' else greatest('8', {s}[len({s})]) end"""
+LIKE_SQL = """case when least(len({a}), len({b})) > 0 then len(list_intersect({a}, {b}))::double / least(len({a}), len({b})) when len({whole_a}) + len({whole_b}) = 0 then 1.0::double else 0.0::double end"""
 
 
 @query("op4_scaled_sketch", f"""
 with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
 x as (select doc_id, text, n, coalesce(lead(text) over w, first_value(text) over w) as nxt from d window w as (order by doc_id rows between unbounded preceding and unbounded following)),
 y as (select doc_id, n, nxt, text, substr(text, 1, n - n // 4) || substr(nxt, 1, n // 4) as edited from x),
-z as (select doc_id, n, edited, regexp_extract_all(text, {W}) as w, regexp_extract_all(edited, {W}) as we, regexp_extract_all(nxt, {W}) as wn from y),
+v as (select doc_id, n, edited, regexp_extract_all(text, {W}) as w, regexp_extract_all(edited, {W}) as we, regexp_extract_all(nxt, {W}) as wn from y),
+z as (select doc_id, n, edited, {UNITS_SQL.format(w='w')} as w, {UNITS_SQL.format(w='we')} as we, {UNITS_SQL.format(w='wn')} as wn from v),
 h as (select doc_id, n, edited, {SKETCH_SQL.format(w='w')} as h, {SKETCH_SQL.format(w='we')} as he, {SKETCH_SQL.format(w='wn')} as hn from z),
-k as (select doc_id, n, edited, {KEPT_SQL.format(h='h')} as a, {KEPT_SQL.format(h='he')} as b, {KEPT_SQL.format(h='hn')} as c from h)
+k as (select doc_id, n, edited, {KEPT_SQL.format(h='h')} as a, {KEPT_SQL.format(h='he')} as b, {KEPT_SQL.format(h='hn')} as c from h),
+u as (select *, least({UNTIL_SQL.format(s='a')}, {UNTIL_SQL.format(s='b')}) as ab, least({UNTIL_SQL.format(s='a')}, {UNTIL_SQL.format(s='c')}) as ac from k),
+f as (select *, list_filter(a, lambda x: x <= ab) as a1, list_filter(b, lambda x: x <= ab) as b1, list_filter(a, lambda x: x <= ac) as a2, list_filter(c, lambda x: x <= ac) as c2 from u)
 select doc_id, n as n_chars, sha256(edited) as edited_sha256, array_to_string(a, '') as fingerprint, array_to_string(b, '') as edited_fingerprint,
-  {LIKE_SQL.format(a='a', b='b')} as near_edited, {LIKE_SQL.format(a='a', b='c')} as near_next from k""")
+  {LIKE_SQL.format(a='a1', b='b1', whole_a='a', whole_b='b')} as near_edited, {LIKE_SQL.format(a='a2', b='c2', whole_a='a', whole_b='c')} as near_next from f""")
 def scaled_sketch_query(spark, sf_dir):
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
