@@ -19,17 +19,20 @@ from .common import no_clash, text_of, tokenizer_path
 LOOKAHEAD = 4               # characters behind a pre-token that its match may depend on, at most
 LEAF = 256                  # pre-tokens of a fresh leaf; a leaf is split beyond twice as many
 MOST_PIECES = 1_000_000
+LONGEST_HELD = 64           # characters of a pre-token that is kept
 EDIT_TYPE = "array<struct<start:bigint,length:bigint,insert:string>>"
 
 
 class _Counts(dict):
-    """Tokens of a pre-token, encoded once."""
+    """Tokens of a pre-token, encoded once; long ones are rare and encoded each time, so that the bytes held are bounded."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, piece):
+        if len(piece) > LONGEST_HELD:
+            return len(self.encode(piece))
         if len(self) >= MOST_PIECES:
             self.clear()
         n = self[piece] = len(self.encode(piece))

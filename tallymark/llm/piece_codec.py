@@ -21,6 +21,7 @@ from .units import UnitTable, grouped
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 TEXT_COLUMN = "text"
+LONG_UNIT, STRETCH = 2048, 1 << 16      # bytes of a unit that is solved alone, and of its text solved at once
 WINDOW = 4096              # places tried at once when a trie node is laid out
 
 
@@ -108,10 +109,13 @@ class Vocabulary:
 
     def viterbi(self, units):
         """Ids of every unit (non-empty UTF-8 byte strings): greatest total score, on equal scores the earlier start of the
-        last piece. Blanks are read as markers. All units of about one length advance together."""
+        last piece. Blanks are read as markers. All units of about one length advance together; long ones are solved alone."""
         units = [u.replace(b" ", MARK) for u in units]
         out = [None] * len(units)
-        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+        for k, u in enumerate(units):
+            if len(u) > LONG_UNIT:
+                out[k] = self._solve_long(u)
+        order = sorted((k for k in range(len(units)) if out[k] is None), key=lambda k: len(units[k]))
         at = 0
         while at < len(order):
             width = len(units[order[at]])
@@ -176,6 +180,52 @@ class Vocabulary:
                 e = s
             out[name] = ids[::-1]
 
+    def _solve_long(self, unit):
+        """As `_solve`, of one unit, stretch by stretch: all pieces that begin in a stretch are found in one walk down the trie from
+        every character at once; the scores then run over them in order of their beginnings."""
+        text = np.frombuffer(unit, np.uint8)
+        n, base, check, value = len(text), self.trie.base, self.trie.check, self.trie.value
+        piece, came = np.empty(n + 1, np.int32), np.empty(n + 1, np.int32)
+        ahead = max(self.longest, 4) + 1
+        best, by, start = [0.0], [-1], [0]
+        for lo in range(0, n, STRETCH):
+            hi = min(n, lo + STRETCH)
+            at = lo + np.flatnonzero((text[lo:hi] & 0xC0) != 0x80)
+            size = np.where(text[at] < 0x80, 1, np.where(text[at] < 0xE0, 2, np.where(text[at] < 0xF0, 3, 4)))
+            live, state, covered = np.arange(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+            begins, ends, ids = [], [], []
+            for depth in range(self.longest):
+                inside = at[live] + depth < n
+                live, state = live[inside], state[inside]
+                nxt = base[state] + text[at[live] + depth].astype(np.int64)
+                ok = (check[nxt] == state) & (nxt > 0)
+                live, state = live[ok], nxt[ok]
+                if not len(live):
+                    break
+                hit = value[state] >= 0
+                k = live[hit]
+                covered[k] |= depth + 1 == size[k]
+                begins.append(at[k]), ends.append(at[k] + depth + 1), ids.append(value[state[hit]])
+            begins.append(at[~covered]), ends.append((at + size)[~covered]), ids.append(np.full(int((~covered).sum()), -1, np.int32))
+            s, e, v = (np.concatenate(x) for x in (begins, ends, ids))
+            w = np.where(v >= 0, self.scores[v], self.unknown_score)
+            order = np.argsort(s, kind="stable")
+            room = hi - lo + ahead - len(best)
+            best, by, start = best + [-np.inf] * room, by + [-1] * room, start + [0] * room
+            for b, e_, v_, w_ in zip((s[order] - lo).tolist(), (e[order] - lo).tolist(), v[order].tolist(), w[order].tolist()):
+                score = best[b] + w_
+                if score > best[e_]:
+                    best[e_], by[e_], start[e_] = score, v_, b + lo
+            piece[lo:hi], came[lo:hi] = by[:hi - lo], start[:hi - lo]
+            best, by, start = best[hi - lo:], by[hi - lo:], start[hi - lo:]
+        piece[n], came[n] = by[0], start[0]
+        ids, e = [], n
+        while e:
+            b, p = int(came[e]), int(piece[e])
+            ids.extend([p] if p >= 0 else self.byte_ids[text[b:e]][::-1].tolist())
+            e = b
+        return ids[::-1]
+
     def decode(self, ids):
         """The text of ids: pieces joined, markers as blanks, the leading blank dropped; byte pieces that are no UTF-8 become
         U+FFFD. Control pieces have no text."""

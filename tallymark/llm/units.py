@@ -7,6 +7,7 @@ import numpy as np
 
 MOST_UNITS = 500_000
 SLOTS = 1 << 20
+LONG_BYTES = 8 << 20        # of units longer than a key, held at once
 LONGEST_KEY = 23
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -65,16 +66,18 @@ def _slots(keys):
 
 class UnitTable:
     """Looks up id sequences of units; `encode` turns a list of new units (bytes) into a list of id lists. When `most` units are
-    held a new table is begun and the last is kept aside: frequent units move over, rare ones are forgotten, so memory stays
-    bounded. `most` is at most half the slots, so the table never fills. Results do not depend on it."""
+    held, or `long_bytes` of units longer than a key, a new table is begun and the last is kept aside: frequent units move over, rare
+    and long ones are forgotten, so memory stays bounded but for the units of one call. `most` is at most half the slots, so the
+    table never fills. Results do not depend on it."""
 
-    def __init__(self, encode, most=MOST_UNITS, slots=SLOTS):
-        self.encode, self.most, self.size = encode, min(most, slots // 2), slots
+    def __init__(self, encode, most=MOST_UNITS, slots=SLOTS, long_bytes=LONG_BYTES):
+        self.encode, self.most, self.size, self.long_bytes = encode, min(most, slots // 2), slots, long_bytes
         self.aside = None
         self._clear()
 
     def _clear(self):
         self.table, self.long, self.count = np.zeros((self.size, 4), np.uint64), {}, 0
+        self.held = 0                                                         # bytes in `long`
         self.start, self.length, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def _begin_anew(self):
@@ -137,8 +140,11 @@ class UnitTable:
         found = self._find(self.table, keys)
         missing = np.flatnonzero(found < 0)
         longer = np.flatnonzero(lengths > LONGEST_KEY)
-        if self.count + len(missing) + len(longer) > self.most and self.count:
+        units = [raw[s:e] for s, e in zip(starts[longer].tolist(), ends[longer].tolist())]
+        fresh = list(set(units).difference(self.long))
+        if self.count and (self.count + len(missing) + len(fresh) > self.most or self.held + sum(map(len, fresh)) > self.long_bytes):
             self._begin_anew()
+            fresh = list(set(units))
             missing, found = np.arange(len(short)), np.full(len(short), -1, np.int64)
         if len(missing) and self.aside:
             old = self._find(self.aside[0], keys[missing])
@@ -157,11 +163,10 @@ class UnitTable:
             found[gap] = self._find(self.table, keys[gap])
         out = np.empty(len(starts), np.int64)
         out[short] = found
-        if len(longer):
-            units = [raw[s:e] for s, e in zip(starts[longer].tolist(), ends[longer].tolist())]
-            fresh = list(set(units).difference(self.long))
-            if fresh:
-                self.long.update(zip(fresh, self._encoded(fresh).tolist()))
+        if fresh:
+            self.long.update(zip(fresh, self._encoded(fresh).tolist()))
+            self.held += sum(map(len, fresh))
+        if units:
             out[longer] = [self.long[u] for u in units]
         return out
 

@@ -2,6 +2,7 @@
 import base64
 import random
 import signal
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,20 @@ def test_unit_table_forgets_without_changing_results():
         assert ids.tolist() == [x for w in words for x in (len(w), ord(w[0]))] + [2, ord("z")] and ends.tolist() == [2 * len(words), 2 * len(words), 2 * len(words) + 2]
 
 
+def test_unit_table_holds_a_bounded_number_of_bytes():
+    table = UnitTable(lambda units: [list(u[:3]) for u in units], long_bytes=10_000)
+    rng = random.Random(9)
+    for _ in range(200):
+        words = [bytes(rng.choices(b"xyz", k=rng.choice([3, 40, 900]))) for _ in range(8)] + [b"again-and-again-and-again-1"] * 2
+        ids, _ = table.encode_all(*word_slices([b" ".join(words)]))
+        assert ids.tolist() == [x for w in words for x in w[:3]]
+        assert table.held == sum(map(len, table.long)) <= 10_000
+    whole = b"q" * 50_000                                       # more than the bound in one call
+    assert table.encode_all(*word_slices([whole + b" ab"]))[0].tolist() == [113, 113, 113, 97, 98]
+    table.encode_all(*word_slices([b"p" * 30]))
+    assert table.held == 30
+
+
 @pytest.mark.parametrize("slots, most", [(64, 20), (64, 64)])
 def test_one_text_of_more_distinct_units_than_slots(slots, most):
     def stop(*_):
@@ -132,6 +147,27 @@ def test_pieces_are_the_best_segmentation_and_decode_exactly(spark):
     assert piece_codec.encode_decode(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [7, 100, 1 << 16])
+def test_long_units_are_solved_alike_alone_and_together(monkeypatch, stretch):
+    monkeypatch.setattr(piece_codec, "STRETCH", stretch)
+    v, _ = piece_codec.vocabulary(open(P.path("piece_bpe_32k.model"), "rb").read())
+    rng = random.Random(stretch)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABab01+/=", "漢字仮名のはをéß", "a", " ", "😀\U00010380\x00x", "the is and of ing"]
+    units = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice([1, 5, 300, 3000]))).encode().replace(b" ", piece_codec.MARK) for _ in range(40)]
+    for u in units:
+        out = [None]
+        v._solve([u], [0], out)
+        assert v._solve_long(u) == out[0]
+
+
+def test_a_long_text_without_blanks_is_encoded_in_seconds(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)), "".join(rng.choices("漢字仮名交じり文の", k=300_000))]
+    before = time.time()
+    rows = piece_codec.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("doc_id", "decoded").collect()
+    assert {r["doc_id"]: r["decoded"] for r in rows} == dict(enumerate(texts)) and time.time() - before < 60
+
+
 def test_double_array_holds_exactly_its_keys():
     rng = random.Random(2)
     keys = sorted({bytes(rng.randrange(256) for _ in range(rng.randrange(1, 5))) for _ in range(800)})
