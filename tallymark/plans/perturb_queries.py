@@ -186,6 +186,13 @@ def _(t):
     return q.select("id", F.col("task").alias("qid"), F.array_join(F.transform(v, lambda o: F.coalesce(o["desc"], F.lit("-"))), "|").alias("descs"))
 
 
+@query("A12_vary_instructions", sql(f"""select id, task as qid, case when {U("'wr'", "'instr'", 'id::varchar', 'task')} < 0.15e0 then '{{"question":"Judge '||task||'.","focus":"'||
+  list_extract(['Use only the information given.', 'Pick the single best fit.', 'Consider the whole message.'], ({h("'wr'", "'focus'", 'id::varchar', 'task')} % 3 + 1)::int)||'"}}' else 'Judge '||task||'.' end as instruction from questions""", "questions"))
+def _(t):
+    q = t.questions().select("id", F.col("task").alias("qid"), F.concat(F.lit("Judge "), F.col("task"), F.lit(".")).alias("instruction"))
+    return q.withColumn("instruction", A.vary_instructions("instruction", "wr", F.col("id").cast("string"), F.col("qid")))
+
+
 @query("A13_reshape_mcq", sql(f"select id, 'opt_'||list_position(ks, keys[label+1]) as label_key, array_to_string(list_transform(ks, lambda k: 'text '||k), ',') as texts from (select *, {perm_sql('keys', chr(39) + 'mcq' + chr(39), 'id::varchar')} as ks from questions where type='choice')", "questions"))
 def _(t):
     q = t.questions().filter(F.col("type") == "choice")

@@ -114,6 +114,26 @@ def test_structure_keys_follow_the_definition():
     assert k('["not",["not",["if",0,1,2]]]')[1] == k('["if",0,1,2]')[1] and k('["not",["if",0,1,2]]')[1] != k('["if",0,1,2]')[1]
 
 
+def test_structure_keys_keep_the_order_of_children_of_one_shape():
+    k = RU._structure_keys
+    assert k('["or",["and",0,1],["and",1,0]]')[0] != k('["or",["and",0,1],["and",0,1]]')[0]
+    assert k('["or",["and",0,1],["and",1,0]]') == k('["or",["and",7,3],["and",3,7]]')
+    assert k('["or",["and",0,1],["not",2]]') == k('["or",["not",2],["and",1,0]]')
+    assert k('["or",["and",0,1],0]') == k('["or",0,["and",0,1]]')
+
+
+def test_instructions_are_structured_for_a_share(spark):
+    import json
+    from pyspark.sql import functions as F
+    from tallymark.operators import perturb as A
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, None).when(F.col("id") % 100 == 1, "").otherwise('Say "which" \u00e9\nfits').alias("instr"))
+    got = rows.withColumn("now", A.vary_instructions("instr", "s", F.col("id").cast("string"))).collect()
+    changed = [r for r in got if r["now"] != r["instr"]]
+    assert all(r["now"] is None for r in got if r["instr"] is None) and 0.11 < len(changed) / len(got) < 0.19
+    assert all(json.loads(r["now"])["question"] == r["instr"] for r in changed) and {json.loads(r["now"])["focus"] for r in changed} == set(A.FOCUS)
+    assert rows.limit(0).withColumn("now", A.vary_instructions("instr", "s")).count() == 0
+
+
 def test_empty_populations_and_other_suites_are_refused(spark):
     from tallymark.operators import calibrate as C
     rows = spark.createDataFrame([(1, "unknowable", "clean", "t", "choice", [0.5, 0.5], 0)], "id int, source string, variant string, task string, type string, p array<double>, label int")
