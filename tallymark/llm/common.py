@@ -1,4 +1,5 @@
 """Shared helpers: words, stored intermediates, size-checked broadcasts."""
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -10,7 +11,12 @@ SPACE = " \t\n\x0b\x0c\r"                  # the blanks between words (fixed val
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "let", "no_clash", "small_side", "stored", "text_of", "words"]
+# Parquet options (fixed names): sorted hashes as packed differences; columns of repeated 64-bit words as dictionaries
+PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+LOOKED_UP = {"parquet.dictionary.page.size": str(16 << 20)}
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+__all__ = ["BROADCAST_BYTES", "LOOKED_UP", "PACKED", "SPACE", "WORD", "dropped", "let", "no_clash", "small_side", "stored", "text_of", "words"]
 
 
 def text_of(col):
@@ -23,11 +29,36 @@ def words(text):
     return let(F.btrim(text, F.lit(SPACE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
 
 
-def stored(df, name):
-    """The rows written as Parquet below the shared folder and read back: cuts lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df, name, by=None, options=None):
+    """The rows written as Parquet below the shared folder and read back: cuts lineage and survives lost executors. Shuffles
+    that the write needed are deleted when it ends, because nothing reads them again. `by` names a column of few values to lay
+    the files out by, `options` are the writer's."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    with _shuffles_end(spark):
+        write = df.write.options(**(options or {}))
+        (write.partitionBy(by) if by else write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def _shuffles_end(spark):
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
+
+
+def dropped(*tables):
+    """Deletes tables made by `stored` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df, row_bytes, limit=BROADCAST_BYTES):
