@@ -98,3 +98,20 @@ def test_minwise_values_estimate_and_bitmaps_bound(spark):
     assert len(a) - int(np.bitwise_count(x & ~y).sum()) >= 360
     long = rng.integers(0, 2**63, 40000, dtype=np.uint64)
     assert (near_dup.minwise(long) == near_dup.minwise(long[::-1].copy())).all()
+
+
+def test_stored_tables_keep_no_shuffles_and_can_be_dropped(spark, tmp_path):
+    import os
+    from tallymark.llm.common import CLEAN_UP, dropped, stored
+    before = spark.conf.get(CLEAN_UP, None)
+    rows = spark.range(1000).selectExpr("id % 7 as k", "cast(id % 2 as int) as half").groupBy("k", "half").count()
+    whole = stored(rows, "whole")
+    laid = stored(rows, "laid", by="half", options={"parquet.writer.version": "PARQUET_2_0"})
+    assert spark.conf.get(CLEAN_UP, None) == before
+    assert sorted(map(tuple, whole.collect())) == sorted((r["k"], r["half"], r["count"]) for r in laid.collect()) and whole.count() == 14
+    assert rows.count() == 14 and laid.filter("half = 1").count() == 7
+    dropped(whole, laid)
+    assert not os.path.exists(whole.stored_at.removeprefix("file:")) and not os.path.exists(laid.stored_at.removeprefix("file:"))
+    empty = stored(rows.limit(0), "none", by="half")
+    assert empty.count() == 0
+    dropped(empty)
